@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import ogg, packing
+from inkstone.llm import bpe, ogg, packing
 from inkstone.runtime import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(ogg.load(ogg.store(table(spark, sf_dir, "documents"))))
 
@@ -18,6 +22,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_bpe": op1_bpe,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
     }
