@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, ogg, packing
+from inkstone.llm import bpe, ogg, packing, quality_rules
 from inkstone.runtime import table
 
 
@@ -20,13 +20,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
+        "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op8_quality_rules": quality_rules.ORACLE_SQL,
+    }
