@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, ogg, packing, quality_rules
+from inkstone.llm import bpe, ogg, packing, quality_rules, simhash
 from inkstone.runtime import table
 
 
@@ -24,12 +24,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_simhash": op9_simhash,
     }
 
 
