@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, ogg, packing, quality_rules, simhash
+from inkstone.llm import bpe, ogg, packing, pii, quality_rules, simhash
 from inkstone.runtime import table
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(ogg.load(ogg.store(table(spark, sf_dir, "documents"))))
 
@@ -32,6 +36,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op5_personal_data": op5_personal_data,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
         "op8_quality_rules": op8_quality_rules,
