@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, ogg, packing, pii, quality_rules, simhash
+from inkstone.llm import bpe, ogg, packing, pii, quality_model, quality_rules, simhash
 from inkstone.runtime import table
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_quality_model": op2_quality_model,
         "op5_personal_data": op5_personal_data,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
