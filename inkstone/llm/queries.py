@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, ogg, packing, pii, quality_model, quality_rules, simhash
+from inkstone.llm import bpe, chat, ogg, packing, pii, quality_model, quality_rules, simhash, warc
 from inkstone.runtime import table
 
 
@@ -16,6 +16,11 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.as_tool_messages(table(spark, sf_dir, "conversations"))
+    return chat.link(messages, chat.tool_schemas(spark))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -37,19 +42,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_quality_model": op2_quality_model,
+        "op3_tool_calls": op3_tool_calls,
         "op5_personal_data": op5_personal_data,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
+        "op10_warc_derivatives": op10_warc_derivatives,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_tool_calls": chat.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_warc_derivatives": warc.ORACLE_SQL,
     }
