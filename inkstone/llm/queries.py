@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, chat, ogg, packing, pii, quality_model, quality_rules, simhash, warc
+from inkstone.llm import bpe, chat, lm_score, ogg, packing, pii, quality_model, quality_rules, simhash, warc
 from inkstone.runtime import table
 
 
@@ -21,6 +21,11 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(messages, chat.tool_schemas(spark))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lm_score.score(documents, lm_score.fit(documents))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def queries() -> dict:
         "op1_bpe": op1_bpe,
         "op2_quality_model": op2_quality_model,
         "op3_tool_calls": op3_tool_calls,
+        "op4_lm_score": op4_lm_score,
         "op5_personal_data": op5_personal_data,
         "op6_ogg_media": op6_ogg_media,
         "op7_packing": op7_packing,
