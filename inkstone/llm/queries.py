@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstone.llm import bpe, chat, lm_score, ogg, packing, pii, quality_model, quality_rules, simhash, warc
@@ -63,6 +64,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
         "op10_warc_derivatives": op10_warc_derivatives,
+        "pipeline": corpus_pipeline.run,
     }
 
 
