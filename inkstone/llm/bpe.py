@@ -6,8 +6,8 @@ before it, so the sum along a path is the word's number, and that number address
 sorted arrays in one file, which each Python worker maps into memory; ``size`` bounds it and what is broadcast.
 
 Encode: a worker walks the automaton for all new words of a block of documents at once. A word that is not in it is
-split and merged exactly, lowest rank first and leftmost among equals. Both kinds are then kept in a table of bounded
-size. The lexicon therefore changes speed, never results.
+split and merged exactly, lowest rank first and leftmost among equals, all unseen pieces of the block side by side. Both
+kinds are then kept in a table of bounded size. The lexicon therefore changes speed, never results.
 
 Text rules of the word vocabulary: its special strings are cut out first; the rest is NFC-normalised, lower-cased code
 point by code point and split at white space; a word splits into pieces by ``PIECES``; a piece's UTF-8 bytes are
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.columns import id_and_text, slices
+from inkstone.runtime import cut_lineage
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Code points that Python's split() drops and the vocabulary's pattern keeps.
@@ -56,6 +57,9 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """Ids, merges and special strings of a word-end BPE vocabulary file."""
 
+    BASE = 1 << 20
+    NEVER = 1 << 40
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -72,6 +76,14 @@ class Vocabulary:
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + _WORD_END] for c in letters]
+        # The same merges for many pieces at once: pairs in order, and a table of the pairs of single bytes.
+        pairs = np.array([a * self.BASE + b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pair_keys = pairs[order]
+        self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.made = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
+        for rank, new in self.merges.values():
+            self.made[rank] = new
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def merge(self, piece: bytes) -> list[int]:
@@ -110,9 +122,74 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [x for x in ids if x >= 0]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; NEVER where it does not merge or a side is missing (-1)."""
+        key = left * self.BASE + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_ranks[at], self.NEVER)
+
+    def merge_many(self, pieces: list[bytes], block: int = 8192) -> list[bytes]:
+        """Exact ids of each piece as 32-bit numbers: one merge in every open piece at a time."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_size = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        inner, final = np.array(self.inner), np.array(self.final)
+        for first in range(0, len(by_size), block):
+            part = by_size[first : first + block]
+            while part and len(pieces[part[-1]]) > 24:
+                i = part.pop()
+                out[i] = np.array(self.merge(pieces[i]), np.int32).tobytes()
+            if not part:
+                continue
+            sizes = np.array([len(pieces[i]) for i in part])
+            width = int(sizes[-1])
+            letters = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
+            place = np.arange(width)
+            ids = np.where(place < sizes[:, None], inner[letters], -1)
+            rows = np.arange(len(part))
+            ids[rows, sizes - 1] = final[letters[rows, sizes - 1]]
+            done = np.full_like(ids, -1)
+            ranks = np.full(ids.shape, self.NEVER)
+            if width > 1:
+                ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                at = ranks.argmin(axis=1)
+                each = np.arange(len(rows))
+                rank = ranks[each, at]
+                open_ = rank < self.NEVER
+                if not open_.all():
+                    done[rows[~open_]] = ids[~open_]
+                    rows, ids, ranks, at, rank = rows[open_], ids[open_], ranks[open_], at[open_], rank[open_]
+                    each = each[: len(rows)]
+                    if not len(rows):
+                        break
+                later = place > at[:, None]
+                ids = np.where(later, np.pad(ids[:, 1:], ((0, 0), (0, 1)), constant_values=-1), ids)
+                ranks = np.where(later, np.pad(ranks[:, 1:], ((0, 0), (0, 1)), constant_values=self.NEVER), ranks)
+                ids[each, at] = new = self.made[rank]
+                after = np.where(at + 1 < width, ids[each, np.minimum(at + 1, width - 1)], -1)
+                ranks[each, at] = self._ranks(new, after)
+                has = at > 0
+                ranks[each[has], at[has] - 1] = self._ranks(ids[each[has], at[has] - 1], new[has])
+            whole = done >= 0
+            flat = done[whole].astype(np.int32).tobytes()
+            ends = np.cumsum(whole.sum(axis=1)).tolist()
+            low = 0
+            for i, high in zip(part, ends, strict=True):
+                out[i] = flat[4 * low : 4 * high]
+                low = high
+        return out
+
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of a normalised, whitespace-free word."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,!" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return PIECES.findall(word)
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one normalised, whitespace-free word."""
-        return [i for piece in PIECES.findall(word) for i in self.merge(piece.encode())]
+        return [i for piece in self.pieces(word) for i in self.merge(piece.encode())]
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text; a special string is the word of its upper-case letters, which no other word has."""
@@ -251,23 +328,31 @@ class Transducer:
 class Encoder:
     """Encodes blocks of texts with a transducer in front of exact merging."""
 
-    def __init__(self, vocabulary: Vocabulary, transducer: Transducer, keep: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, transducer: Transducer, keep: int = 600_000):
         self.vocabulary, self.transducer, self.keep = vocabulary, transducer, keep
         self.known: dict[str, bytes] = {}
         self._restart()
 
     def _restart(self):
         self.known = {s.upper(): np.int32(i).tobytes() for s, i in self.vocabulary.special.items()}
+        self.merged: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
+        if len(self.known) + len(self.merged) + len(new) > self.keep:
             self._restart()
             new = [w for w in words if w not in self.known]
-        numbers = self.transducer.find([w.encode() for w in new])
-        for word, number in zip(new, numbers.tolist(), strict=True):
-            ids = self.transducer.output(number) if number >= 0 else self.vocabulary.encode_word(word)
-            self.known[word] = np.asarray(ids, np.int32).tobytes()
+        numbers = self.transducer.find([w.encode() for w in new]).tolist()
+        unseen = []
+        for word, number in zip(new, numbers, strict=True):
+            if number >= 0:
+                self.known[word] = self.transducer.output(number).astype(np.int32).tobytes()
+            else:
+                unseen.append((word, self.vocabulary.pieces(word)))
+        fresh = list({p for _, parts in unseen for p in parts if p not in self.merged})
+        self.merged.update(zip(fresh, self.vocabulary.merge_many([p.encode() for p in fresh]), strict=True))
+        for word, parts in unseen:
+            self.known[word] = b"".join(map(self.merged.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         split = [self.vocabulary.words(t) for t in texts]
@@ -278,10 +363,21 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, size: int, text_col: str = "text") -> list[str]:
-    """The ``size`` most frequent normalised words of all documents, ties by the word."""
+    """At most ``size`` most frequent normalised words of all documents, with every word of equal rank or none.
+
+    Words are counted over all documents; a histogram of the counts (at most 64 * 16 bins) gives the count from which on
+    there are few enough, so the driver gets that histogram and ``size`` words, whatever the number of partitions.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
-    counted = words.where("word <> ''").groupBy("word").count()
-    return [r.word for r in counted.orderBy(F.desc("count"), "word").limit(size).collect()]
+    counted = words.where("word <> ''").groupBy("word").count().withColumn("bin", F.floor(16 * F.log2("count")).cast("int"))
+    counted = cut_lineage(counted.where("count > 1").select("word", "bin"))
+    least, total = None, 0
+    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):
+        total += r.n
+        if total > size:
+            break
+        least = r.bin
+    return [] if least is None else [r.word for r in counted.where(F.col("bin") >= least).select("word").collect()]
 
 
 def fit_lexicon(docs: DataFrame, size: int = 50_000, vocab_path: str | None = None, longest: int = 64, text_col: str = "text") -> bytes:

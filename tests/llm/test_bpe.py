@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -47,6 +48,15 @@ def test_long_merge_equals_short():
         assert vocabulary._merge_long(first) == vocabulary.merge(piece)
 
 
+def test_side_by_side_merges_equal_single_ones():
+    vocabulary = bpe.load_vocabulary(PATH)
+    rng = random.Random(8)
+    pieces = [bytes(rng.choice(b"thereandinging\xc3\xa9.") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + [b"\0", b"\0\0a"]
+    got = vocabulary.merge_many(pieces, block=700)
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [vocabulary.merge(p) for p in pieces]
+    assert vocabulary.merge_many([]) == []
+
+
 def test_transducer_is_minimal_and_exact():
     rng = random.Random(4)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))).encode() for _ in range(600)}
