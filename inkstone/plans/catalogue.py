@@ -2,10 +2,309 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkstone.functions import canon
+from inkstone.functions.chars import LINE_END, WS, excerpt, split_lines, split_sentences, strip, token_count, word_count
+from inkstone.operators import audit as au
+from inkstone.operators import scorecard as sc
+from inkstone.operators.detectors import all_detectors
+from inkstone.operators.structure import lines_of, with_structure
+from inkstone.plans.dressing import dressed, dressed_sql
+from inkstone.plans.oracle import COUNTED_WORD, DRAFTS, SCORES, lit, prelude, sentences
+from inkstone.plans.oracle import excerpt as excerpt_sql
+from inkstone.plans.oracle import strip as strip_sql
+from inkstone.runtime import table
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        _QUERIES[name] = query
+        _ORACLES[name] = sql
+        return query
+
+    return add
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dressed(_raw(spark, sf_dir))
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("runner"), F.col("source").alias("task"), (F.col("doc_id") % 2 + 1).alias("generation"))
+    return dressed(raw).withColumn("condition", F.lit("baseline")).unionByName(raw.withColumn("condition", F.lit("treatment")))
+
+
+_RAW = "select doc_id, coalesce(text, '') as text, lang, source from documents"
+
+
+# Lines, sentences, words.
+
+
+@_register(
+    "lines_stats",
+    f"""select doc_id, count(*) filter (n < last or line <> '') as n_lines, count(*) filter ({strip_sql("line")} = '' and (n < last or line <> '')) as n_blank,
+    coalesce(max(length(line)), 0)::bigint as longest
+    from (select *, max(n) over (partition by doc_id) as last from (
+      select doc_id, unnest(string_split(regexp_replace({dressed_sql()}, {lit(LINE_END)}, chr(10), 'g'), chr(10))) as line,
+             generate_subscripts(string_split(regexp_replace({dressed_sql()}, {lit(LINE_END)}, chr(10), 'g'), chr(10)), 1) as n from documents))
+    group by doc_id""",
+)
+def lines_stats(spark, sf_dir):
+    lines = _dressed(spark, sf_dir).select("doc_id", split_lines(F.col("text")).alias("lines"))
+    blank = F.size(F.filter("lines", lambda x: strip(x) == ""))
+    longest = F.coalesce(F.array_max(F.transform("lines", lambda x: F.length(x))), F.lit(0))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), blank.cast("long").alias("n_blank"), longest.cast("long").alias("longest"))
+
+
+_SENTENCE_ROWS = f"""(select doc_id, lang, n, k, s, len(regexp_extract_all(s, {lit(COUNTED_WORD)})) as words, len(regexp_extract_all(s, {lit(f"[^{WS}]+")})) as tokens from (
+  select doc_id, lang, n, unnest({sentences(strip_sql("line"))}) as s, generate_subscripts({sentences(strip_sql("line"))}, 1) as k from (
+    select doc_id, lang, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)) where s <> '')"""
+
+
+def _sentence_rows(spark, sf_dir):
+    lines = _raw(spark, sf_dir).select("doc_id", "lang", F.posexplode(split_lines(F.col("text"))).alias("n", "line"))
+    rows = lines.select("doc_id", "lang", (F.col("n") + 1).alias("n"), F.posexplode(split_sentences(strip(F.col("line")))).alias("k", "s")).where("s <> ''")
+    return rows.select("doc_id", "lang", "n", (F.col("k") + 1).alias("k"), "s", word_count(F.col("s")).alias("words"), token_count(F.col("s")).alias("tokens"))
+
+
+@_register("sentence_words", f"select doc_id, count(*) as sentences, sum(words)::bigint as words, sum(tokens)::bigint as tokens, max(words)::bigint as longest from {_SENTENCE_ROWS} group by doc_id")
+def sentence_words(spark, sf_dir):
+    rows = _sentence_rows(spark, sf_dir)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), F.max("words").cast("long").alias("longest"))
+
+
+@_register("long_by_lang", f"select lang, count(*) as sentences, count(*) filter (words > 30) as long_sentences, max(words)::bigint as longest from {_SENTENCE_ROWS} group by lang")
+def long_by_lang(spark, sf_dir):
+    rows = _sentence_rows(spark, sf_dir)
+    return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.count_if(F.col("words") > 30).alias("long_sentences"), F.max("words").cast("long").alias("longest"))
+
+
+@_register("fence_masks", prelude() + "select doc_id, n::int as n, line, hidden, fenced from fences")
+def fence_masks(spark, sf_dir):
+    return _dressed(spark, sf_dir).select("doc_id", F.inline(lines_of(F.col("text")))).select("doc_id", "n", "line", "hidden", "fenced")
+
+
+@_register("paragraphs", prelude() + "select doc_id, start::int as start, n_lines::int as n_lines, joined from paras")
+def paragraphs(spark, sf_dir):
+    rows = with_structure(_dressed(spark, sf_dir)).select("doc_id", "lines", F.explode("paras").alias("p"))
+    part = F.slice("lines", F.col("p.start"), F.col("p.n_lines"))
+    return rows.select("doc_id", "p.start", "p.n_lines", F.array_join(F.transform(part, lambda x: strip(x["line"])), " ").alias("joined"))
+
+
+@_register("first_words", prelude() + "select f as first_word, count(*) as n from para_sentences where f <> '' group by f")
+def first_words(spark, sf_dir):
+    rows = with_structure(_dressed(spark, sf_dir)).select(F.explode("paras.firsts").alias("firsts")).select(F.explode("firsts").alias("first_word"))
+    return rows.where("first_word <> ''").groupBy("first_word").agg(F.count("*").alias("n"))
+
+
+# Detectors, one query each.
+
+_NAMES = {
+    "cliche": "RULE-05", "jargon": "RULE-06", "long_sentences": "RULE-12", "bullets": "RULE-A", "dash": "RULE-B", "same_starts": "RULE-C",
+    "opener": "RULE-D", "closers": "RULE-E", "heading_case": "RULE-G", "contraction": "RULE-I",
+}
+
+
+def _detector(rule: str) -> Query:
+    def query(spark, sf_dir):
+        column = next(c for (r, _), c in all_detectors().items() if r == rule)
+        rows = with_structure(_dressed(spark, sf_dir)).select("doc_id", F.inline(column))
+        return rows.select("doc_id", "line", F.col("column").alias("col"), "excerpt", "detail")
+
+    return query
+
+
+for _name, _rule in _NAMES.items():
+    _register(_name, prelude() + f"select doc_id, line, col, excerpt, detail from v where rule = '{_rule}'")(_detector(_rule))
+
+
+@_register(
+    "cliche_order",
+    prelude() + "select doc_id, string_agg(line || ':' || col || ' ' || detail, ' | ' order by ord, line, col) as found, count(*) as n from v where rule = 'RULE-05' group by doc_id",
+)
+def cliche_order(spark, sf_dir):
+    """Violation order inside a result: phrase first, then place."""
+    column = all_detectors()["RULE-05", "mechanical"]
+    rows = with_structure(_dressed(spark, sf_dir)).select("doc_id", column.alias("v")).where(F.size("v") > 0)
+    text = F.transform("v", lambda x: F.format_string("%d:%d %s", x["line"], x["column"], x["detail"]))
+    return rows.select("doc_id", F.array_join(text, " | ").alias("found"), F.size("v").cast("long").alias("n"))
+
+
+@_register(
+    "excerpts",
+    f"""with d as (select doc_id, {dressed_sql()} as t, (doc_id * 37) % 200 as pos from documents)
+    select doc_id, {excerpt_sql("t", "pos", 20)} as line_excerpt, {excerpt_sql("t", "pos", 10)} as para_excerpt from d""",
+)
+def excerpts(spark, sf_dir):
+    at = ((F.col("doc_id") * 37) % 200).cast("int")
+    return _dressed(spark, sf_dir).select("doc_id", excerpt(F.col("text"), at, 20).alias("line_excerpt"), excerpt(F.col("text"), at, 10).alias("para_excerpt"))
+
+
+# Audit.
+
+_RESULT = ["doc_id", "place", "rule", "severity", "detector", "status", "count", "note"]
+
+
+def _audited(spark, sf_dir, **options) -> DataFrame:
+    return au.audit(_dressed(spark, sf_dir).select("doc_id", "text"), **options)
+
+
+@_register("audit_results", prelude() + f"select {', '.join(_RESULT)} from audit")
+def audit_results(spark, sf_dir):
+    return au.rule_results(_audited(spark, sf_dir)).select(*_RESULT)
+
+
+@_register("audit_mech_only", prelude() + f"select {', '.join(_RESULT)} from mech")
+def audit_mech_only(spark, sf_dir):
+    return au.rule_results(_audited(spark, sf_dir, mechanical_only=True)).select(*_RESULT)
+
+
+@_register("audit_totals", prelude() + "select doc_id, sum(count)::int as total_violations, count(*) filter (status = 'skipped') as skipped from audit group by doc_id")
+def audit_totals(spark, sf_dir):
+    skipped = F.size(F.filter("rule_results", lambda r: r["status"] == "skipped")).cast("long")
+    return _audited(spark, sf_dir).select("doc_id", "total_violations", skipped.alias("skipped"))
+
+
+@_register("audit_violations", prelude() + "select doc_id, rule, line, col, excerpt, detail from v")
+def audit_violations(spark, sf_dir):
+    return au.violations(_audited(spark, sf_dir)).select("doc_id", "rule", "line", F.col("column").alias("col"), "excerpt", "detail")
+
+
+@_register("audit_raw_totals", prelude(_RAW) + "select lang, sum(count)::bigint as violations, count(distinct doc_id) as documents from audit join docs using (doc_id) group by lang")
+def audit_raw_totals(spark, sf_dir):
+    audited = au.audit(_raw(spark, sf_dir).select("doc_id", "lang", "text"))
+    return audited.groupBy("lang").agg(F.sum("total_violations").alias("violations"), F.count("*").alias("documents"))
+
+
+@_register("rule_totals", prelude() + "select rule, sum(count)::bigint as violations, count(*) filter (status = 'violation') as results from audit group by rule")
+def rule_totals(spark, sf_dir):
+    flat = au.rule_results(_audited(spark, sf_dir))
+    return flat.groupBy("rule").agg(F.sum("count").alias("violations"), F.count_if(F.col("status") == "violation").alias("results"))
+
+
+@_register("status_counts", prelude() + "select detector, status, count(*) as n from audit group by detector, status")
+def status_counts(spark, sf_dir):
+    return au.rule_results(_audited(spark, sf_dir)).groupBy("detector", "status").agg(F.count("*").alias("n"))
+
+
+@_register("skipped_rules", prelude() + "select string_agg(distinct rule, ',' order by rule) as rules, count(distinct rule) as n from audit where status = 'skipped'")
+def skipped_rules(spark, sf_dir):
+    found = au.rule_results(_audited(spark, sf_dir)).where("status = 'skipped'").agg(F.sort_array(F.collect_set("rule")).alias("r"))
+    return found.select(F.array_join("r", ",").alias("rules"), F.size("r").cast("long").alias("n"))
+
+
+@_register("top5_per_rule", prelude() + "select doc_id, rule, k::int as k, line, col, detail from (select *, row_number() over (partition by doc_id, rule order by ord, line, col) as k from v) where k <= 5")
+def top5_per_rule(spark, sf_dir):
+    hits = au.rule_results(_audited(spark, sf_dir)).where("status = 'violation'")
+    rows = hits.select("doc_id", "rule", F.posexplode(F.slice("violations", 1, 5)).alias("k", "v"))
+    return rows.select("doc_id", "rule", (F.col("k") + 1).alias("k"), "v.line", F.col("v.column").alias("col"), "v.detail")
+
+
+_ORDERED = "order by ord, line, col"
+
+
+@_register(
+    "review_json",
+    prelude()
+    + f""", vs as (select doc_id, rule, string_agg('{{"column":' || col || ',"detail":' || to_json(detail)::varchar || ',"excerpt":' || to_json(excerpt)::varchar || ',"line":' || line || '}}', ',' {_ORDERED}) as items from v group by doc_id, rule)
+    select doc_id, '{{"command":"review","file":"docs/' || doc_id || '.md","rule_results":[' || string_agg('{{"count":' || count || ',"detector":"' || detector || '","note":' || to_json(note)::varchar || ',"rule":"' || rule
+      || '","severity":"' || severity || '","status":"' || status || '","violations":[' || case when status = 'violation' then items else '' end || ']}}', ',' order by place)
+      || '],"rules_source":"package-bundle","total_violations":' || sum(count) || '}}' as review_json
+    from audit left join vs using (doc_id, rule) group by doc_id""",
+)
+def review_json(spark, sf_dir):
+    file = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return au.canonical_json(_audited(spark, sf_dir), canon.posix_path(file)).select("doc_id", "review_json")
+
+
+@_register(
+    "review_report",
+    prelude()
+    + """, shown as (select doc_id, rule, string_agg('    L' || line || ':C' || col || '  ' || detail || chr(10), '' order by k) as items
+      from (select *, row_number() over (partition by doc_id, rule order by ord, line, col) as k from v) where k <= 5 group by doc_id, rule)
+    select doc_id, 'review docs/' || doc_id || '.md: ' || sum(count) || ' violation(s)' || chr(10)
+      || coalesce(string_agg('  ' || rule || ' [' || severity || ', ' || detector || ']: ' || count || chr(10) || items, '' order by place) filter (status = 'violation'), '')
+      || '  (' || count(*) filter (status = 'skipped') || ' rule(s) skipped; they need a judge)' || chr(10) as report
+    from audit left join shown using (doc_id, rule) group by doc_id""",
+)
+def review_report(spark, sf_dir):
+    file = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return au.human_report(_audited(spark, sf_dir), file).select("doc_id", "report")
+
+
+# Comparison: plain texts (a) against dressed ones (b).
+
+_PAIRS = prelude(f"select doc_id * 2 as doc_id, coalesce(text, '') as text from documents union all select doc_id * 2 + 1, {dressed_sql()} from documents")
+_DELTAS = (
+    _PAIRS
+    + ", deltas as (select doc_id // 2 as doc_id, rule, coalesce(sum(count) filter (doc_id % 2 = 0), 0)::bigint as a, coalesce(sum(count) filter (doc_id % 2 = 1), 0)::bigint as b from mech group by all)"
+)
+
+
+@_register("compare_delta", _DELTAS + " select doc_id, rule, a, b, b - a as delta from deltas")
+def compare_delta(spark, sf_dir):
+    return au.compare(_raw(spark, sf_dir), _dressed(spark, sf_dir))
+
+
+@_register("compare_totals", _DELTAS + " select doc_id, sum(a)::bigint as total_a, sum(b)::bigint as total_b from deltas group by doc_id")
+def compare_totals(spark, sf_dir):
+    return au.compare_totals(compare_delta(spark, sf_dir))
+
+
+# Scorecards.
+
+
+@_register("task_scorecard", prelude(DRAFTS) + SCORES + "select t.runner, t.task, baseline, treatment, treatment - baseline as delta, coalesce(dominant, '—') as dominant from task_sums t left join dominant using (runner, task)")
+def task_scorecard(spark, sf_dir):
+    return sc.task_rows(sc.draft_counts(_drafts(spark, sf_dir)))
+
+
+@_register("rule_scorecard", prelude(DRAFTS) + SCORES + "select runner, rule, baseline, treatment, treatment - baseline as delta from rule_sums")
+def rule_scorecard(spark, sf_dir):
+    return sc.rule_rows(sc.draft_counts(_drafts(spark, sf_dir)))
+
+
+@_register(
+    "totals_pct",
+    prelude(DRAFTS) + SCORES + """select runner, baseline, treatment, treatment - baseline as delta,
+    case when baseline = 0 then 'n/a' else printf('%+.0f%%', 100.0 * (treatment - baseline) / baseline) end as pct from totals""",
+)
+def totals_pct(spark, sf_dir):
+    return sc.total_rows(sc.draft_counts(_drafts(spark, sf_dir)))
+
+
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@_register(
+    "rule_matrix",
+    prelude(DRAFTS)
+    + SCORES
+    + "select rule, "
+    + ", ".join(f"printf(case when x_{r} > 0 then '+%d' else '%d' end, x_{r}) as {r}" for r in _LANGS)
+    + " from (select rule, "
+    + ", ".join(f"coalesce(sum(treatment - baseline) filter (runner = '{r}'), 0)::bigint as x_{r}" for r in _LANGS)
+    + " from rule_sums group by rule)",
+)
+def rule_matrix(spark, sf_dir):
+    return sc.matrix(sc.rule_rows(sc.draft_counts(_drafts(spark, sf_dir))), _LANGS)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
