@@ -17,6 +17,7 @@ from inkstone.plans.dressing import dressed, dressed_sql
 from inkstone.plans.oracle import COUNTED_WORD, DRAFTS, SCORES, lit, prelude, sentences
 from inkstone.plans.oracle import excerpt as excerpt_sql
 from inkstone.plans.oracle import strip as strip_sql
+from inkstone.sources import benchmark, registry, rulepack
 from inkstone.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +133,7 @@ for _name, _rule in _NAMES.items():
 
 @_register(
     "cliche_order",
-    prelude() + "select doc_id, string_agg(line || ':' || col || ' ' || detail, ' | ' order by ord, line, col) as found, count(*) as n from v where rule = 'RULE-05' group by doc_id",
+    prelude() + "select doc_id, string_agg(line || ':' || col || ' ' || detail, ' | ' order by ord, line, col, seq) as found, count(*) as n from v where rule = 'RULE-05' group by doc_id",
 )
 def cliche_order(spark, sf_dir):
     """Violation order inside a result: phrase first, then place."""
@@ -205,14 +206,14 @@ def skipped_rules(spark, sf_dir):
     return found.select(F.array_join("r", ",").alias("rules"), F.size("r").cast("long").alias("n"))
 
 
-@_register("top5_per_rule", prelude() + "select doc_id, rule, k::int as k, line, col, detail from (select *, row_number() over (partition by doc_id, rule order by ord, line, col) as k from v) where k <= 5")
+@_register("top5_per_rule", prelude() + "select doc_id, rule, k::int as k, line, col, detail from (select *, row_number() over (partition by doc_id, rule order by ord, line, col, seq) as k from v) where k <= 5")
 def top5_per_rule(spark, sf_dir):
     hits = au.rule_results(_audited(spark, sf_dir)).where("status = 'violation'")
     rows = hits.select("doc_id", "rule", F.posexplode(F.slice("violations", 1, 5)).alias("k", "v"))
     return rows.select("doc_id", "rule", (F.col("k") + 1).alias("k"), "v.line", F.col("v.column").alias("col"), "v.detail")
 
 
-_ORDERED = "order by ord, line, col"
+_ORDERED = "order by ord, line, col, seq"
 
 
 @_register(
@@ -233,7 +234,7 @@ def review_json(spark, sf_dir):
     "review_report",
     prelude()
     + """, shown as (select doc_id, rule, string_agg('    L' || line || ':C' || col || '  ' || detail || chr(10), '' order by k) as items
-      from (select *, row_number() over (partition by doc_id, rule order by ord, line, col) as k from v) where k <= 5 group by doc_id, rule)
+      from (select *, row_number() over (partition by doc_id, rule order by ord, line, col, seq) as k from v) where k <= 5 group by doc_id, rule)
     select doc_id, 'review docs/' || doc_id || '.md: ' || sum(count) || ' violation(s)' || chr(10)
       || coalesce(string_agg('  ' || rule || ' [' || severity || ', ' || detector || ']: ' || count || chr(10) || items, '' order by place) filter (status = 'violation'), '')
       || '  (' || count(*) filter (status = 'skipped') || ' rule(s) skipped; they need a judge)' || chr(10) as report
@@ -302,6 +303,178 @@ def rule_matrix(spark, sf_dir):
     return sc.matrix(sc.rule_rows(sc.draft_counts(_drafts(spark, sf_dir))), _LANGS)
 
 
+# Files: canonical bytes, signatures, marked blocks, manifests.
+
+_OWNER = canon.OWNER
+_MESSY = "chr(65279) || replace(coalesce(text, ''), chr(10), case when doc_id % 2 = 0 then chr(13) || chr(10) else chr(13) end) || chr(10) || chr(10)"
+_CANON = "regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n+$', '') || chr(10)"
+
+
+def _messy(spark, sf_dir) -> DataFrame:
+    end = F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r")
+    text = F.concat(F.lit("\ufeff"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), end), F.lit("\n\n"))
+    return _raw(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+@_register("canonical_hash", f"select doc_id, sha256({_CANON}) as digest, strlen({_CANON})::bigint as n_bytes from documents")
+def canonical_hash(spark, sf_dir):
+    rows = _messy(spark, sf_dir)
+    return rows.select("doc_id", canon.canonical_hash(F.col("text")).alias("digest"), F.octet_length(canon.canonical(F.col("text"))).cast("long").alias("n_bytes"))
+
+
+_SIGNED = f"""{_CANON} || '<!-- owned-by: {_OWNER}; version: v1.2; sha256: ' || sha256({_CANON}) || ' -->' || chr(10)"""
+
+
+@_register(
+    "sign_verify",
+    f"""select doc_id, sha256({_SIGNED}) as signed_digest, 'valid' as untouched,
+    case when doc_id % 3 = 0 then 'mismatch' when doc_id % 3 = 1 then 'unsigned' else 'valid' end as touched, sha256({_CANON}) as declared from documents""",
+)
+def sign_verify(spark, sf_dir):
+    plain = _raw(spark, sf_dir).select("doc_id", canon.canonical(F.coalesce("text", F.lit(""))).alias("text"))
+    signed = plain.select("doc_id", canon.sign(F.col("text"), "1.2").alias("s"))
+    edited = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), "s")).when(F.col("doc_id") % 3 == 1, F.concat("s", F.lit("x"))).otherwise(F.col("s"))
+    return signed.select(
+        "doc_id", F.sha2("s", 256).alias("signed_digest"), canon.verify(F.col("s")).alias("untouched"), canon.verify(edited).alias("touched"), canon.signature(F.col("s"))["sha256"].alias("declared")
+    )
+
+
+_BLOCK = f"'<!-- BEGIN {_OWNER} v2.0 -->' || chr(10) || 'New ' || lang || chr(10) || '<!-- END {_OWNER} -->'"
+_OLD = f"'<!-- BEGIN {_OWNER} v1.0 -->' || chr(10) || 'old' || chr(10) || '<!-- END {_OWNER} -->'"
+
+
+def _with_block(spark, sf_dir) -> DataFrame:
+    """A third of the texts without a block, a third with one, a third with two beginnings."""
+    old = f"<!-- BEGIN {_OWNER} v1.0 -->\nold\n<!-- END {_OWNER} -->"
+    t = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("doc_id") % 3 == 0, t).when(F.col("doc_id") % 3 == 1, F.concat(t, F.lit(f"\n\n\n{old}\n\n"), t)).otherwise(F.concat(F.lit(f"<!-- BEGIN {_OWNER} -->\n{old}"), t))
+    return _raw(spark, sf_dir).select("doc_id", "lang", text.alias("text"))
+
+
+@_register(
+    "marker_upsert",
+    f"""select doc_id, case doc_id % 3 when 0 then 'create' when 1 then 'update-marker' else 'error' end as action,
+    sha256(case doc_id % 3 when 0 then t || case when t = '' then '' when t like '%' || chr(10) || chr(10) then '' when t like '%' || chr(10) then chr(10) else chr(10) || chr(10) end || {_BLOCK} || chr(10)
+      when 1 then t || chr(10) || chr(10) || chr(10) || {_BLOCK} || chr(10) || chr(10) || t else '<!-- BEGIN {_OWNER} -->' || chr(10) || {_OLD} || t end) as digest
+    from (select doc_id, lang, coalesce(text, '') as t from documents)""",
+)
+def marker_upsert(spark, sf_dir):
+    content = F.concat(F.lit("\nNew "), "lang", F.lit("\n\n"))
+    done = _with_block(spark, sf_dir).select("doc_id", canon.upsert_block(F.col("text"), "2.0", content).alias("x"))
+    return done.select("doc_id", "x.action", F.sha2("x.text", 256).alias("digest"))
+
+
+@_register(
+    "marker_remove",
+    f"""select doc_id, case doc_id % 3 when 0 then 'noop' when 1 then 'remove-marker' else 'error' end as action,
+    sha256(case doc_id % 3 when 0 then t when 1 then case when l <> '' and r <> '' then l || chr(10) || chr(10) || r else l || r end
+      else '<!-- BEGIN {_OWNER} -->' || chr(10) || {_OLD} || t end) as digest
+    from (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '\\n+$', '') as l, regexp_replace(coalesce(text, ''), '^\\n+', '') as r from documents)""",
+)
+def marker_remove(spark, sf_dir):
+    done = _with_block(spark, sf_dir).select("doc_id", canon.remove_block(F.col("text")).alias("x"))
+    return done.select("doc_id", "x.action", F.sha2("x.text", 256).alias("digest"))
+
+
+_PATH = "'docs/' || lang || '/' || doc_id || '.md'"
+
+
+@_register(
+    "manifest_drift",
+    f"""select {_PATH} as path, case when doc_id % 5 = 0 then 'missing' when doc_id % 5 = 1 then 'drifted' else 'unchanged' end as state from documents where doc_id % 7 <> 0
+    union all select {_PATH}, 'unlisted' from documents where doc_id % 7 = 0 and doc_id % 5 <> 0""",
+)
+def manifest_drift(spark, sf_dir):
+    path = F.concat(F.lit("docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = _raw(spark, sf_dir).select("doc_id", path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    manifest = rows.where("doc_id % 7 <> 0").select("path", canon.canonical_hash(F.col("text")).alias("sha256"))
+    present = rows.where("doc_id % 5 <> 0").select("path", F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("edited "), "text")).otherwise(F.col("text")).alias("text"))
+    return registry.drift(manifest, present)
+
+
+@_register(
+    "surface_coverage",
+    """with t as (select lang as tool, list_sort(list_distinct(list(source))) as active from documents group by lang),
+    g as (select lang as tool, list_sort(list_distinct(list(source))) as covered from documents where doc_id % 3 = 0 group by lang)
+    select tool, array_to_string(active, ',') as active, array_to_string(list_sort(list_filter(active, lambda x: list_contains(covered, x))), ',') as served,
+           array_to_string(list_sort(list_filter(active, lambda x: not list_contains(covered, x))), ',') as uncovered from t join g using (tool)""",
+)
+def surface_coverage(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    targets = raw.groupBy(F.col("lang").alias("tool")).agg(F.collect_set("source").alias("active"))
+    covered = raw.where("doc_id % 3 = 0").groupBy(F.col("lang").alias("tool")).agg(F.collect_set("source").alias("covered"))
+    return registry.coverage(targets, covered)
+
+
+# Rule packs: each language's documents as rules of a pack.
+
+_RULE_TEXT = "substr(regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g'), 1, 60)"
+
+
+def _packs(spark, sf_dir) -> DataFrame:
+    rows = _raw(spark, sf_dir).select("doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " "), 1, 60).alias("t"), "lang")
+    rule = lambda k, sev: F.concat(
+        F.lit(f"#### RULE-{k}: Title {k} of "), "lang", F.lit(f"  \n\n- **severity**: {sev}\n- **scope**: all of "), "lang",
+        F.lit("\n- **source**: own\n\n##### Directive\n\n"), "t", F.lit("\n\n##### BAD → GOOD\n\n- BAD: one "), "lang", F.lit("\n- GOOD: two\n- BAD: three\n\n##### Rationale for AI Agent\n\nBecause "), "lang", F.lit(".\n\n"),
+    )
+    return rows.select("doc_id", F.concat(F.lit("<!-- head -->\n# Pack\n\nIntro.\n\n"), rule("01", "Critical"), rule("A", "low extra")).alias("text"))
+
+
+@_register(
+    "rulepack_parse",
+    f"""select doc_id, k as ord, 'RULE-' || id as rule, 'Title ' || id || ' of ' || lang as title, sev as severity, 'all of ' || lang as scope, 'own' as source,
+    regexp_replace({_RULE_TEXT}, '^ +| +$', '', 'g') as directive, 'Because ' || lang || '.' as rationale
+    from documents cross join (values (1, '01', 'critical'), (2, 'A', 'low')) as r(k, id, sev)""",
+)
+def rulepack_parse(spark, sf_dir):
+    return rulepack.parse(_packs(spark, sf_dir), "doc_id")
+
+
+@_register(
+    "rulepack_compact",
+    f"""select doc_id, 2 as rules, sha256('<!-- head -->' || chr(10) || '# Pack' || chr(10) || chr(10) || 'Intro.' || chr(10) || chr(10) || string_agg(
+      '#### RULE-' || id || ': Title ' || id || ' of ' || lang || chr(10) || chr(10) || '##### Directive' || chr(10) || chr(10) || regexp_replace({_RULE_TEXT}, '^ +| +$', '', 'g') || chr(10) || chr(10)
+      || '- BAD: one ' || lang || chr(10) || '- GOOD: two' || chr(10), chr(10) order by k)) as digest
+    from documents cross join (values (1, '01'), (2, 'A')) as r(k, id) group by doc_id""",
+)
+def rulepack_compact(spark, sf_dir):
+    return rulepack.compact(_packs(spark, sf_dir), "doc_id").select("doc_id", "rules", F.sha2("compact", 256).alias("digest"))
+
+
+# Benchmark files: written from scorecards, then read again.
+
+
+@_register("scorecard_round_trip", prelude(DRAFTS) + SCORES + "select runner, rule, r.baseline, r.treatment, r.treatment - r.baseline as delta, t.baseline as total_baseline, t.treatment as total_treatment from rule_sums r join totals t using (runner)")
+def scorecard_round_trip(spark, sf_dir):
+    counts = sc.draft_counts(_drafts(spark, sf_dir))
+    return benchmark.scan_scorecards(benchmark.render_scorecards(counts, "1.0", 2))
+
+
+@_register(
+    "matrix_text",
+    prelude(DRAFTS)
+    + SCORES
+    + """, rows as (select 1 as part, runner as k, '| ' || runner || ' | ' || baseline || ' | ' || treatment || ' | ' || printf(case when treatment > baseline then '+%d' else '%d' end, treatment - baseline)
+      || ' | ' || case when baseline = 0 then 'n/a' else printf('%+.0f%%', 100.0 * (treatment - baseline) / baseline) end || ' |' as line from totals
+    union all select 2, rule, '| ' || rule || ' | ' || """
+    + " || ' | ' || ".join(f"printf(case when x_{r} > 0 then '+%d' else '%d' end, x_{r})" for r in _LANGS)
+    + " || ' |' from (select rule, "
+    + ", ".join(f"coalesce(sum(treatment - baseline) filter (runner = '{r}'), 0)::bigint as x_{r}" for r in _LANGS)
+    + " from rule_sums group by rule)) select part, k, line from rows",
+)
+def matrix_text(spark, sf_dir):
+    counts = sc.draft_counts(_drafts(spark, sf_dir))
+    return benchmark.matrix_lines(counts, _LANGS)
+
+
+@_register("task_file_scan", "select 'file-' || lang as file, 'task-' || doc_id as task, substr(regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g'), 1, 60) || chr(10) || lang as prompt from documents")
+def task_file_scan(spark, sf_dir):
+    rows = _raw(spark, sf_dir).select("lang", "doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " "), 1, 60).alias("t"))
+    one = F.concat(F.lit('<task id="task-'), F.col("doc_id").cast("string"), F.lit('">\n<prompt>\n'), "t", F.lit("\n"), "lang", F.lit("\n</prompt>\n</task>\n"))
+    files = rows.groupBy("lang", F.pmod("doc_id", F.lit(50)).alias("part")).agg(F.array_join(F.sort_array(F.collect_list(one)), "\n").alias("text"))
+    return benchmark.scan_tasks(files.select(F.concat(F.lit("file-"), "lang").alias("file"), F.concat(F.lit("# Tasks\n\n"), "text").alias("text")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -49,7 +49,7 @@ BOUND = f"[^{WORD}]"
 
 
 def prelude(source: str = f"select doc_id, {dressed_sql()} as text, lang, source from documents") -> str:
-    """Common table expressions from texts to violations ``v`` (doc_id, rule, kind, ord, line, col, excerpt, detail)."""
+    """Common table expressions from texts to violations ``v`` (doc_id, rule, ord, seq, line, col, excerpt, detail)."""
     tokens = lit(d.TITLE_TOKEN)
     lower = ", ".join(lit(w) for w in d.LOWER_IN_TITLES)
     upper = lambda x: f"regexp_matches({x}, '^[A-Z0-9]')"
@@ -147,20 +147,20 @@ bullets as (
 ),
 lists as (select doc_id, min(n) as start, arg_min(line, n) as line, count(*) as items, max(tokens) as most from bullets group by doc_id, island),
 v0 as (
-  select doc_id, 'RULE-B' as rule, 0 as ord, n as line, c as col, {excerpt("line", "c - 1", 20)} as excerpt, kind || '-dash as casual punctuation' as detail from dash
-  union all select doc_id, 'RULE-I', 0, n, c, {excerpt("line", "c - 1", 20)}, 'contraction ''' || m || '''' from contraction
-  union all select doc_id, 'RULE-06', 0, n, c, {excerpt("line", "c - 1", 20)}, 'jargon / AI-tell ''' || m || '''' from jargon where m <> ''
-  union all select doc_id, 'RULE-05', ord, n, c, {excerpt("line", "c - 1", 20)}, 'cliché phrase ''' || phrase || '''' from cliche
-  union all select doc_id, 'RULE-D', 0, n, c, {excerpt("line", "c - 1", 20)}, 'transition opener ''' || m || '''' from opener where m is not null
-  union all select doc_id, 'RULE-G', 0, n, 1, {excerpt("line", "0", 20)}, 'heading not in title case; violating tokens: ' || array_to_string(bad, ', ') from heading where len(bad) > 0
-  union all select doc_id, 'RULE-12', k, n, 1, {excerpt("s", "0", 20)}, 'sentence length ' || words || ' words (>30)' from counted where words > 30
-  union all select doc_id, 'RULE-C', 0, start, 1, {excerpt("s", "0", 10)}, 'consecutive sentences start with ''' || w || '''' from same
-  union all select doc_id, 'RULE-E', 0, start + n_lines - 1, 1, {excerpt("s", "0", 10)}, 'paragraph ends with a summary / restatement' from closer
-  union all select doc_id, 'RULE-A', 0, start, 1, {excerpt("line", "0", 10)},
+  select doc_id, 'RULE-B' as rule, 0 as ord, 0 as seq, n as line, c as col, {excerpt("line", "c - 1", 20)} as excerpt, kind || '-dash as casual punctuation' as detail from dash
+  union all select doc_id, 'RULE-I', 0, 0, n, c, {excerpt("line", "c - 1", 20)}, 'contraction ''' || m || '''' from contraction
+  union all select doc_id, 'RULE-06', 0, 0, n, c, {excerpt("line", "c - 1", 20)}, 'jargon / AI-tell ''' || m || '''' from jargon where m <> ''
+  union all select doc_id, 'RULE-05', ord, 0, n, c, {excerpt("line", "c - 1", 20)}, 'cliché phrase ''' || phrase || '''' from cliche
+  union all select doc_id, 'RULE-D', 0, 0, n, c, {excerpt("line", "c - 1", 20)}, 'transition opener ''' || m || '''' from opener where m is not null
+  union all select doc_id, 'RULE-G', 0, 0, n, 1, {excerpt("line", "0", 20)}, 'heading not in title case; violating tokens: ' || array_to_string(bad, ', ') from heading where len(bad) > 0
+  union all select doc_id, 'RULE-12', 0, k, n, 1, {excerpt("s", "0", 20)}, 'sentence length ' || words || ' words (>30)' from counted where words > 30
+  union all select doc_id, 'RULE-C', 0, 0, start, 1, {excerpt("s", "0", 10)}, 'consecutive sentences start with ''' || w || '''' from same
+  union all select doc_id, 'RULE-E', 0, 0, start + n_lines - 1, 1, {excerpt("s", "0", 10)}, 'paragraph ends with a summary / restatement' from closer
+  union all select doc_id, 'RULE-A', 0, 0, start, 1, {excerpt("line", "0", 10)},
          case when items <= 2 then 'list has only ' || items || ' item(s); consider prose' else 'list has ' || items || ' items all ≤ 8 words; consider prose' end
        from lists where items <= 2 or most <= 8
 ),
-v as (select doc_id, rule, ord, line::int as line, col::int as col, excerpt, detail from v0),
+v as (select doc_id, rule, ord, seq, line::int as line, col::int as col, excerpt, detail from v0),
 catalogue(place, rule, severity, detector, note, note_mech) as (values {RESULTS}),
 counts as (select doc_id, rule, count(*) as n from v group by doc_id, rule),
 audit as (
