@@ -58,8 +58,8 @@ def scan_scorecards(files: DataFrame) -> DataFrame:
     )
     broken = F.when(F.col("t1") == "", "no totals row").when(~F.col("sectioned"), "no section of rules")
     broken = broken.when((F.col("t1").cast("long") + F.col("t2").cast("long") > 0) & (F.size("rows") == 0), "violations but no rows of rules")
-    checked = F.when(broken.isNotNull(), F.raise_error(F.concat("file", F.lit(": "), broken)).cast("string")).otherwise(F.col("runner"))
-    flat = cards.select(checked.alias("runner"), "t1", "t2", F.inline("rows"))
+    checked = F.when(broken.isNotNull(), F.raise_error(F.concat("file", F.lit(": "), broken))).otherwise(F.col("rows"))
+    flat = cards.select("runner", "t1", "t2", F.inline(checked))
     number = lambda c: F.col(c).cast("long")
     return flat.select("runner", F.col("c1").alias("rule"), number("c2").alias("baseline"), number("c3").alias("treatment"), number("c4").alias("delta"), number("t1").alias("total_baseline"), number("t2").alias("total_treatment"))
 
