@@ -21,21 +21,17 @@ from pyspark.sql import functions as F
 DROPPED = ("script", "style", "noscript", "template", "svg")
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|section|article|aside|main|header|footer|nav|title|head|body|html|blockquote|pre|form|hr)(?:[ \t\r\n/][^>]*)?>"
 TAG = r"<[!/?a-zA-Z][^>]*>"
-COMMENT = r"(?s)<!--.*?-->"
 # Named references of the characters that markup needs.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
-EDGES = r"(?m)^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$"
 
 
-def _dropped(name: str) -> str:
-    return rf"(?is)<{name}(?:[ \t\r\n/][^>]*)?>.*?</{name}[ \t\r\n]*>"
+#: Comments and dropped elements in one pattern: one pass over the page.
+UNSEEN = "(?is)<!--.*?-->|" + "|".join(rf"<{name}(?:[ \t\r\n/][^>]*)?>.*?</{name}[ \t\r\n]*>" for name in DROPPED)
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page: one line per block, no blank lines."""
-    text = F.regexp_replace(html, COMMENT, " ")
-    for name in DROPPED:
-        text = F.regexp_replace(text, _dropped(name), " ")
+    text = F.regexp_replace(html, UNSEEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
@@ -114,9 +110,7 @@ def _sql(pattern: str) -> str:
 
 
 def _oracle() -> str:
-    text = f"regexp_replace(payload, {_sql(COMMENT)}, ' ', 'g')"
-    for name in DROPPED:
-        text = f"regexp_replace({text}, {_sql(_dropped(name))}, ' ', 'g')"
+    text = f"regexp_replace(payload, {_sql(UNSEEN)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {_sql(BREAKS)}, chr(10), 'g'), {_sql(TAG)}, '', 'g')"
     for name, char in ENTITIES.items():
         text = f"replace({text}, {_sql(name)}, {_sql(char)})"
