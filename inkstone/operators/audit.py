@@ -51,7 +51,8 @@ def audit(docs: DataFrame, text_col: str = "text", mechanical_only: bool = False
 def rule_results(audited: DataFrame) -> DataFrame:
     """24 rows per document."""
     keys = [c for c in audited.columns if c not in ("rule_results", "total_violations")]
-    return audited.select(*keys, F.inline("rule_results"))
+    # The outer form: for the other one the optimizer adds a filter on the array's size, which runs every detector again.
+    return audited.select(*keys, F.inline_outer("rule_results"))
 
 
 def violations(audited: DataFrame) -> DataFrame:
@@ -61,10 +62,6 @@ def violations(audited: DataFrame) -> DataFrame:
     return flat.select(*keys, "rule", "severity", "detector", (F.col("at") + 1).alias("ordinal"), "v.*")
 
 
-def _by_rule(audited: DataFrame, keys: list[str]) -> DataFrame:
-    return audited.select(*keys, F.explode("rule_results").alias("r")).groupBy(*keys, F.col("r.rule").alias("rule")).agg(F.sum("r.count").alias("n"))
-
-
 def compare(a: DataFrame, b: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """``key, rule, a, b, delta`` for each pair of texts with equal keys; mechanical rules unless told otherwise.
 
