@@ -40,6 +40,6 @@ def lf_text(text: Column) -> Column:
 
 
 def write_texts(rows: DataFrame, path: str, text_col: str = "text", by: list[str] | None = None) -> None:
-    """One record per text, ended by its own line end; files lie in a folder for each value of ``by``."""
-    out = rows.select(*(by or []), lf_text(F.col(text_col)).alias("value")).write
-    (out.partitionBy(*by) if by else out).option("lineSep", "\n\x00").text(path)
+    """Texts with LF line ends, each ended by exactly one; files lie in a folder for each value of ``by``."""
+    out = rows.select(*(by or []), F.regexp_replace(lf_text(F.col(text_col)), r"\n\z", "").alias("value")).write
+    (out.partitionBy(*by) if by else out).text(path)  # the writer adds the last line end
