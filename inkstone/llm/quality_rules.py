@@ -118,17 +118,21 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **l
 def apply(docs: DataFrame, text_col: str = "text", **limits: int) -> DataFrame:
     """The kept rows of ``docs`` with cleaned texts; every column stays, ``n_chars`` follows the text if there is one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = words_of(text)
-    failed = _let(words, lambda w: _base_failed(F.size(w), repeated_window_words(w)))
     mark = "__cleaned"
     while mark in docs.columns:
         mark += "_"
-    cleaned = docs.withColumn(mark, clean_lines(text, **limits))
-    kept = cleaned.where(~failed & (2 * word_characters(F.col(mark)) >= word_characters(text)))
+
+    def good(x: Column) -> Column:
+        failed = _let(words_of(text), lambda w: _base_failed(F.size(w), repeated_window_words(w)))
+        return ~failed & (2 * word_characters(x[mark]) >= word_characters(text))
+
+    # A filter inside the row: a filter over rows would be pushed below the projection and clean every text twice. The
+    # outer form because for the other one the optimizer adds a filter on the array's size, which would do the same.
+    cleaned = docs.select("*", F.inline_outer(F.filter(F.array(F.struct(clean_lines(text, **limits).alias(mark))), good))).where(F.col(mark).isNotNull())
     out = {text_col: F.col(mark)}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(mark).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    return cleaned.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 
 # The same rows in DuckDB's SQL.
