@@ -105,7 +105,10 @@ def links(fps: DataFrame, distance: int = 4, limit: int = 64, salts: int = 8) ->
     shared = 8 - distance
     if not 0 < shared < 8 or distance % 2:
         raise ValueError("distance must be 2, 4 or 6")
-    lists = fps.select("fp", F.posexplode(_longs(position_masks(shared))).alias("place", "mask"))
+    # Dealt anew first: fingerprints are small, so few partitions hold them, and each gives 70 rows. By a hash, since a
+    # deal by fp itself would be left out as already there, and then coalesced.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.posexplode(_longs(position_masks(shared))).alias("place", "mask"))
     lists = lists.select("place", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
     sizes = lists.groupBy("place", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     sizes = cut_lineage(sizes.where("n >= 2"))
