@@ -363,21 +363,30 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, size: int, text_col: str = "text") -> list[str]:
-    """At most ``size`` most frequent normalised words of all documents, with every word of equal rank or none.
+    """The ``size`` most frequent normalised words of all documents that stand there more than once."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
+    counted = words.where("word <> ''").groupBy("word").count()
+    return top_words(cut_lineage(counted.where("count > 1")), size)
+
+
+def top_words(counted: DataFrame, size: int) -> list[str]:
+    """The first ``size`` words of ``word, count`` by count descending, then word.
 
-    Words are counted over all documents; a histogram of the counts (at most 64 * 16 bins) gives the count from which on
-    there are few enough, so the driver gets that histogram and ``size`` words, whatever the number of partitions.
+    A histogram of the counts (at most 64 * 16 bins) gives the bins that are taken whole and the one that is split, so
+    only words of that bin are sorted; the driver gets the histogram and ``size`` words, whatever the partitions.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
-    counted = words.where("word <> ''").groupBy("word").count().withColumn("bin", F.floor(16 * F.log2("count")).cast("int"))
-    counted = cut_lineage(counted.where("count > 1").select("word", "bin"))
-    least, total = None, 0
-    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):
-        total += r.n
-        if total > size:
+    binned = counted.select("word", "count", F.floor(16 * F.log2("count")).cast("int").alias("bin"))
+    least, last, total = None, None, 0
+    for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):
+        if total + r.n > size:
+            last = r.bin
             break
+        total += r.n
         least = r.bin
-    return [] if least is None else [r.word for r in counted.where(F.col("bin") >= least).select("word").collect()]
+    found = [] if least is None else binned.where(F.col("bin") >= least).select("word").collect()
+    if last is not None and total < size:
+        found += binned.where(F.col("bin") == last).orderBy(F.desc("count"), "word").select("word").limit(size - total).collect()
+    return [r.word for r in found]
 
 
 def fit_lexicon(docs: DataFrame, size: int = 50_000, vocab_path: str | None = None, longest: int = 64, text_col: str = "text") -> bytes:

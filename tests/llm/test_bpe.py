@@ -89,3 +89,11 @@ def test_operator_on_awkward_tables(spark, library):
     back = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {r.doc_id: r.decoded for r in got}
     assert bpe.token_digests(bpe.encode(docs.limit(0), decoded=True)).count() == 0
+
+
+def test_frequent_words_split_the_last_bin(spark):
+    copied = " ".join(f"copy{i:03d}" for i in range(200))
+    docs = spark.createDataFrame([(i, copied) for i in range(40)] + [(90 + i, "often " * 50 + "copy007 rare rare") for i in range(2)], "doc_id long, text string")
+    assert sorted(bpe.frequent_words(docs, 95)) == sorted(["often", "copy007", *(f"copy{i:03d}" for i in range(94) if i != 7)])
+    assert len(bpe.frequent_words(docs, 1)) == 1 and bpe.frequent_words(docs, 0) == []
+    assert len(bpe.frequent_words(docs, 202)) == 202 == len(bpe.frequent_words(docs, 999))
