@@ -1,14 +1,20 @@
 """Language-model scoring: masked pseudo-likelihood from a small bidirectional window network.
 
-Tokens are lower-cased words: the ``words`` most frequent ones of the corpus, and ``BUCKETS`` classes (by length and last
-letters) for all others; id 0 is the edge of a text. The network predicts each token from the tokens at its two sides:
-hidden = tanh(left[l] + right[r] + bias), logits = hidden @ out + offset. A document's score is the sum over all its
-tokens of log p(token | left, right).
-
-Because a window is one of size**3 cells, training sees the whole corpus exactly: each task counts its windows by cell,
-Spark adds the counts, and the network is trained in numpy on them, weighted by count. What tasks send grows with the
-corpus; what reaches the driver is at most one number per cell, a bound set by ``words`` alone, whatever the corpus.
-Scoring is a lookup in the network's table of log-probabilities, in one pass without a shuffle.
+Tokens are lower-cased words. Symbols of the network are the ``words`` most frequent words of the corpus (20,000) and
+``BUCKETS`` classes (by length and last letters) for all others; id 0 is the edge of a text. The network predicts each
+symbol from the symbols at its two sides: hidden = tanh(left[l] + right[r] + bias); a gate gives the log-probability of
+a symbol's group (``width`` neighbours in the vocabulary), and hidden @ out + offset that of the symbol in its group, so
+that a token costs two short softmaxes, and a small vocabulary is one group. A word of a class adds
+log p(word | class) from its count in all documents. A document's score is the sum over all its tokens.
+
+Words are counted over the whole corpus with a combine before the shuffle. Training visits every document: each task
+trains a copy of the network on mini-batches of the windows of its documents, counted by cell, and sends its changes in
+pieces; Spark adds the pieces, each symbol's weighted by how often the task met it; the driver gets one network. That is
+repeated ``rounds`` times, over another share of the documents each time, or over all of them where they are few. Scoring
+is one pass; words of classes are then joined with their counts.
+
+Words that the corpus does not hold share the weight of the words that stand once in their class (Good and Turing), at
+six bits a letter.
 
 Defined results: null and empty texts have no tokens, score 0.0 and a null mean. Rows that repeat count and score as rows
 of their own. Extra columns are not carried. An empty corpus leaves the network as it starts, which is near uniform;
@@ -17,7 +23,9 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.bpe import frequent_words
+from inkstone.llm.bpe import top_words
 from inkstone.llm.columns import id_and_text, slices
 from inkstone.runtime import cut_lineage
 
 BUCKETS = 32
 EDGE = 0
+LETTER = 6 * math.log(2)
 
 
 class TokenIds(dict):
@@ -67,22 +76,80 @@ def cells(ids: np.ndarray, size: int) -> np.ndarray:
     return (ids[:-2] * size + ids[2:]) * size + ids[1:-1]
 
 
+def count_cells(texts: list[str], ids: TokenIds) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of some texts and how often each stands there."""
+    ids.trim()
+    found = [cells(ids.of(t), ids.size) for t in texts]
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+
+
 def window_counts(plain: DataFrame, words: list[str]) -> DataFrame:
     """``cell, n``: how often each window stands in the corpus."""
 
     def run(batches):
         ids = TokenIds(words)
-        total = np.zeros(ids.size**3, np.int64)
         for batch in slices(batches):
+            cell, n = count_cells(batch.column(1).to_pylist(), ids)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    return plain.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def word_counts(plain: DataFrame, most: int = 300_000) -> DataFrame:
+    """``word, count`` over all documents; a task holds about ``most`` words at once."""
+
+    def run(batches):
+        found = Counter()
+
+        def told():
+            rows = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            found.clear()
+            return rows
+
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                found.update(text.lower().split())
+            if len(found) > most:
+                yield told()
+        yield told()
+
+    return plain.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def class_totals(counted: DataFrame, words: list[str]) -> np.ndarray:
+    """For each symbol of ``words`` and the classes: tokens, and words that stand once."""
+
+    def run(batches):
+        ids = TokenIds(words)
+        total = np.zeros((2, ids.size), np.int64)
+        for batch in batches:
             ids.trim()
-            found = [cells(ids.of(t), ids.size) for t in batch.column(1).to_pylist()]
-            np.add(total, np.bincount(np.concatenate(found), minlength=len(total)), out=total)
-        there = np.flatnonzero(total)
-        for at in range(0, len(there), 1 << 16):
-            part = there[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
+            at = np.fromiter(map(ids.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            n = batch.column(1).to_numpy()
+            np.add.at(total[0], at, n)
+            np.add.at(total[1], at[n == 1], 1)
+        there = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (there, total[0, there], total[1, there])], ["id", "n", "once"])
+
+    sums = counted.select("word", "count").mapInArrow(run, "id long, n long, once long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
+    out = np.zeros((2, TokenIds(words).size), np.int64)
+    for r in sums.collect():
+        out[:, r.id] = r.n, r.once
+    return out
 
-    return plain.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sum of the rows of each."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.diff(ids, prepend=-1))
+    return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
 @dataclass
@@ -92,35 +159,101 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     offset: np.ndarray
+    gate: np.ndarray
+    gate_offset: np.ndarray
 
     @classmethod
     def start(cls, size: int, hidden: int, seed: int) -> Network:
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.3, (size, hidden)), rng.normal(0, 0.3, (size, hidden)), np.zeros(hidden), rng.normal(0, 0.1, (hidden, size)), np.zeros(size))
+        groups = -(-size // cls.width_of(size))
+        return cls(
+            rng.normal(0, 0.3, (size, hidden)), rng.normal(0, 0.3, (size, hidden)), np.zeros(hidden), rng.normal(0, 0.1, (hidden, size)), np.zeros(size),
+            rng.normal(0, 0.1, (hidden, groups)), np.zeros(groups),
+        )
+
+    @staticmethod
+    def width_of(size: int) -> int:
+        return max(64, math.isqrt(size) + 1)
+
+    @property
+    def width(self) -> int:
+        return self.width_of(len(self.offset))
+
+    def hidden(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+        return np.tanh(self.left[l] + self.right[r] + self.bias)
+
+    def groups(self, token: np.ndarray):
+        """(group, its tokens' places in a sorted array, its columns) of each group there."""
+        group = token // self.width
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(token)], strict=True):
+            g = int(group[a])
+            yield g, slice(a, b), slice(g * self.width, min((g + 1) * self.width, len(self.offset)))
 
     def forward(self, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
-        """Hidden values and log-probabilities of all tokens for windows of left and right tokens."""
-        h = np.tanh(self.left[l] + self.right[r] + self.bias)
-        logits = h @ self.out + self.offset
-        logits -= logits.max(axis=1, keepdims=True)
-        return h, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        """Hidden values and log-probabilities of all symbols for windows of left and right symbols."""
+        h = self.hidden(l, r)
+        logp = h @ self.out + self.offset
+        gate = _log_softmax(h @ self.gate + self.gate_offset)
+        for g, _, cols in self.groups(np.arange(len(self.offset))):
+            logp[:, cols] = _log_softmax(logp[:, cols]) + gate[:, g : g + 1]
+        return h, logp
+
+    def log_prob(self, l: np.ndarray, r: np.ndarray, token: np.ndarray, block: int = 8192) -> np.ndarray:  # noqa: E741
+        """Log-probability of one symbol for each window."""
+        found = np.empty(len(token), self.out.dtype)
+        order = np.argsort(token, kind="stable")
+        for at in range(0, len(order), block):
+            part = order[at : at + block]
+            h, t = self.hidden(l[part], r[part]), token[part]
+            p = _log_softmax(h @ self.gate + self.gate_offset)[np.arange(len(part)), t // self.width]
+            for _, rows, cols in self.groups(t):
+                z = _log_softmax(h[rows] @ self.out[:, cols] + self.offset[cols])
+                p[rows] += z[np.arange(len(z)), t[rows] - cols.start]
+            found[part] = p
+        return found
+
+    def window_gradients(self, l: np.ndarray, r: np.ndarray, token: np.ndarray, n: np.ndarray, total: float) -> tuple[float, list]:  # noqa: E741
+        """Loss and gradients, over ``total``, of windows that stand n times; those of left and right as (ids, rows)."""
+        order = np.argsort(token, kind="stable")
+        l, r, token, n = l[order], r[order], token[order], n[order].astype(self.out.dtype)  # noqa: E741
+        h, every = self.hidden(l, r), np.arange(len(token))
+        logp = _log_softmax(h @ self.gate + self.gate_offset)
+        loss = -float(n @ logp[every, token // self.width])
+        w = (n / total).astype(self.out.dtype)
+        d = np.exp(logp) * w[:, None]
+        d[every, token // self.width] -= w
+        d_gate, d_gate_offset, dh = h.T @ d, d.sum(axis=0), d @ self.gate.T
+        d_out, d_offset = np.zeros_like(self.out), np.zeros_like(self.offset)
+        for _, rows, cols in self.groups(token):
+            z = _log_softmax(h[rows] @ self.out[:, cols] + self.offset[cols])
+            at = np.arange(len(z)), token[rows] - cols.start
+            loss -= float(n[rows] @ z[at])
+            d = np.exp(z) * w[rows, None]
+            d[at] -= w[rows]
+            d_out[:, cols], d_offset[cols] = h[rows].T @ d, d.sum(axis=0)
+            dh[rows] += d @ self.out[:, cols].T
+        dh *= 1 - h * h
+        return loss / total, [_sums(l, dh), _sums(r, dh), dh.sum(axis=0), d_out, d_offset, d_gate, d_gate_offset]
 
     def gradients(self, l: np.ndarray, r: np.ndarray, counts: np.ndarray) -> tuple[float, list[np.ndarray]]:  # noqa: E741
         """Mean loss and its gradients for windows with a row of token counts each."""
-        total = counts.sum()
-        h, logp = self.forward(l, r)
-        d = (np.exp(logp) * counts.sum(axis=1, keepdims=True) - counts) / total
-        dh = (d @ self.out.T) * (1 - h * h)
-        dl, dr = np.zeros_like(self.left), np.zeros_like(self.right)
-        np.add.at(dl, l, dh)
-        np.add.at(dr, r, dh)
-        return float(-(counts * logp).sum() / total), [dl, dr, dh.sum(axis=0), h.T @ d, d.sum(axis=0)]
+        row, token = np.nonzero(counts)
+        loss, grads = self.window_gradients(l[row], r[row], token, counts[row, token], counts.sum())
+        for k, p in enumerate((self.left, self.right)):
+            ids, rows = grads[k]
+            grads[k] = np.zeros_like(p)
+            grads[k][ids] = rows
+        return loss, grads
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.left, self.right, self.bias, self.out, self.offset]
+        return [self.left, self.right, self.bias, self.out, self.offset, self.gate, self.gate_offset]
+
+    def copy(self, kind=None) -> Network:
+        return Network(*(p.astype(kind or p.dtype) for p in self.parameters()))
 
     def table(self) -> np.ndarray:
-        """Log-probability of each cell."""
+        """Log-probability of each cell; for small vocabularies."""
         size = len(self.offset)
         out = np.empty((size, size, size), np.float32)
         for l in range(size):  # noqa: E741
@@ -128,72 +261,176 @@ class Network:
         return out.reshape(-1)
 
 
-def train(network: Network, cell: np.ndarray, n: np.ndarray, passes: int = 20, block: int = 512, rate: float = 0.02, seed: int = 5) -> list[float]:
-    """Adam on window counts; the losses of the passes. A block of contexts weighs as much as its share of the corpus."""
-    size = len(network.offset)
-    context, token = np.divmod(cell, size)
-    seen, row = np.unique(context, return_inverse=True)
-    if not len(seen):
-        return []
-    network.offset[:] = np.log(np.bincount(token, n, size) + 1.0)
-    network.offset -= network.offset.mean()
-    order = np.argsort(row, kind="stable")
-    row, token, n = row[order], token[order], n[order].astype(float)
-    starts = np.searchsorted(row, np.arange(len(seen) + 1))
-    rng = np.random.default_rng(seed)
-    m = [np.zeros_like(p) for p in network.parameters()]
-    v = [np.zeros_like(p) for p in network.parameters()]
-    mean_mass, step, losses = n.sum() / len(seen), 0, []
-    passes = max(passes, 400 if len(seen) < block else 0)  # few contexts: many short passes
-    for epoch in range(passes):
-        mix, loss = rng.permutation(len(seen)), 0.0
-        for at in range(0, len(seen), block):
-            part = mix[at : at + block]
-            counts = np.zeros((len(part), size))
-            for i, c in enumerate(part):
-                counts[i, token[starts[c] : starts[c + 1]]] = n[starts[c] : starts[c + 1]]
-            got, grads = network.gradients(seen[part] // size, seen[part] % size, counts)
-            share = counts.sum() / (mean_mass * len(part))
-            loss += got * counts.sum()
-            step += 1
-            for p, g, a, b in zip(network.parameters(), grads, m, v, strict=True):
-                g = g * share
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= rate / (1 + 6 * epoch / passes) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-        losses.append(loss / n.sum())
-    return losses
+def train(network: Network, cell: np.ndarray, n: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator, least: int = 128, rate: float = 0.1) -> None:
+    """Adagrad on counted windows in mini-batches, about ``least`` steps or more; ``squares`` are its sums so far."""
+    if not len(cell):
+        return
+    size, mean, steps = len(network.offset), n.mean(), 0
+    batch = min(max(len(cell) // least, 256), 8192)
+    while steps < least:
+        mix = rng.permutation(len(cell))
+        for at in range(0, len(mix), batch):
+            part = mix[at : at + batch]
+            context, token = np.divmod(cell[part], size)
+            _, grads = network.window_gradients(context // size, context % size, token, n[part], mean * len(part))
+            steps += 1
+            for p, g, s in zip(network.parameters(), grads, squares, strict=True):
+                at_rows, g = g if isinstance(g, tuple) else (slice(None), g)
+                s[at_rows] += g * g
+                p[at_rows] -= rate * g / np.sqrt(s[at_rows] + 1e-8)
+
+
+def _pieces(network: Network, rows: int = 1024) -> list[list[tuple]]:
+    """Pieces in which a network travels: for each, (parameter, slice, whose count weighs it)."""
+    size, found = len(network.offset), [[(k, slice(None), None) for k in (2, 5, 6)]]
+    for at in range(0, size, rows):
+        part = slice(at, min(size, at + rows))
+        found.append([(0, part, 0), (1, part, 1), (3, (slice(None), part), 2), (4, part, 2)])
+    return found
+
+
+def train_round(plain: DataFrame, words: list[str], network: Network, seed: int, block: int = 1_000_000) -> Network:
+    """The network after each task has trained on the windows of its documents and their changes have been added up."""
+    shared = plain.sparkSession.sparkContext.broadcast(network.copy(np.float32).parameters())
+
+    def run(batches):
+        start, ids = Network(*shared.value), TokenIds(words)
+        own, rng = start.copy(), np.random.default_rng(seed)
+        squares = [np.full_like(p, 1e-4) for p in own.parameters()]
+        met = np.zeros((3, ids.size))
+        held: list[tuple] = []
+        waiting = 0
+
+        def learn():
+            cell, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([k for _, k in held]))
+            context, token = np.divmod(cell, ids.size)
+            for k, at in enumerate((context // ids.size, context % ids.size, token)):
+                met[k] += np.bincount(at, n, ids.size)
+            train(own, cell, n, squares, rng)
+            held.clear()
+
+        for batch in slices(batches):
+            held.append(count_cells(batch.column(1).to_pylist(), ids))
+            waiting += len(held[-1][0])
+            if waiting >= block:
+                learn()
+                waiting = 0
+        if waiting:
+            learn()
+        if not met.any():
+            return
+        change = [a - b for a, b in zip(own.parameters(), start.parameters(), strict=True)]
+        numbers, weights, changes = [], [], []
+        for number, piece in enumerate(_pieces(own)):
+            by = [np.atleast_1d(met[w, s[-1] if isinstance(s, tuple) else s] if w is not None else met[2].sum()).astype(np.float32) for _, s, w in piece]
+            numbers.append(number)
+            weights.append(np.concatenate(by).tobytes())
+            changes.append(np.concatenate([change[k][s].ravel() for k, s, _ in piece]).astype(np.float16).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(weights, pa.binary()), pa.array(changes, pa.binary())], ["piece", "weights", "changes"])
+
+    pieces = _pieces(network)
+    shapes = [[(network.parameters()[k][s].shape, w, isinstance(s, tuple)) for k, s, w in piece] for piece in pieces]
+
+    def add(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for number, weights, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by, all_of, at, out = np.frombuffer(weights, np.float32), np.frombuffer(changes, np.float16).astype(np.float32), 0, []
+                for shape, w, turned in shapes[number]:
+                    n = 1 if w is None else shape[-1] if turned else shape[0]
+                    weight, by = by[:n], by[n:]
+                    many = int(np.prod(shape))
+                    value = all_of[at : at + many].reshape(shape)
+                    at += many
+                    weight = weight if turned or w is None else weight.reshape(-1, *[1] * (len(shape) - 1))
+                    out += [(value * weight).astype(np.float64), weight.astype(np.float64)]
+                old = sums.get(number)
+                sums[number] = out if old is None else [a + b for a, b in zip(old, out, strict=True)]
+        for number, out in sums.items():
+            means = [(v / np.maximum(w, 1e-9)).astype(np.float32).tobytes() for v, w in zip(out[::2], out[1::2], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(means)], pa.binary())], ["piece", "means"])
+
+    sent = plain.mapInArrow(run, "piece int, weights binary, changes binary")
+    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = network.copy()
+    for r in sent.repartition(parts, "piece").mapInArrow(add, "piece int, means binary").collect():
+        means, at = np.frombuffer(r.means, np.float32), 0
+        for (k, s, _), (shape, _, _) in zip(pieces[r.piece], shapes[r.piece], strict=True):
+            many = int(np.prod(shape))
+            out.parameters()[k][s] += means[at : at + many].reshape(shape)
+            at += many
+    shared.unpersist()
+    return out
 
 
 @dataclass
 class Scorer:
     words: list[str]
     network: Network
+    totals: np.ndarray
+    counted: DataFrame
 
 
-def fit(docs: DataFrame, words: int = 95, hidden: int = 24, passes: int = 20, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """A network of the whole corpus."""
+def fit(docs: DataFrame, words: int = 20_000, hidden: int = 24, rounds: int = 3, seed: int = 5, few: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """A network of the whole corpus, and the counts of all its words."""
     plain = id_and_text(docs, id_col, text_col)
-    vocabulary = sorted(frequent_words(plain, words))
-    counts = cut_lineage(window_counts(plain, vocabulary)).toArrow()
-    cell, n = (counts.column(c).to_numpy() for c in ("cell", "n"))
-    order = np.argsort(cell)
-    network = Network.start(TokenIds(vocabulary).size, hidden, seed)
-    train(network, cell[order].astype(np.int64), n[order], passes, seed=seed)
-    return Scorer(vocabulary, network)
+    counted = cut_lineage(word_counts(plain))
+    vocabulary = sorted(top_words(counted.where("count > 1"), words), key=lambda w: w[::-1])  # like endings, one group
+    totals = class_totals(counted, vocabulary)
+    network, tokens = Network.start(TokenIds(vocabulary).size, hidden, seed), int(totals[0].sum())
+    if tokens:
+        network.offset[:] = np.log(totals[0] + 0.1)
+        network.offset -= network.offset.mean()
+        network.gate_offset[:] = np.log(np.add.reduceat(totals[0], np.arange(0, len(totals[0]), network.width)) + 0.1)
+        for k in range(rounds):
+            turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k
+            share = plain if tokens <= few else plain.where(turn)
+            network = train_round(share.coalesce(1 + tokens // 200_000), vocabulary, network, seed + k)
+    return Scorer(vocabulary, network, totals, counted)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of each text."""
+    plain = id_and_text(docs, id_col, text_col)
+    shared = plain.sparkSession.sparkContext.broadcast((scorer.words, scorer.network.copy(np.float32).parameters()))
+    n, once = scorer.totals.astype(float)
+    unseen = (once + 1 / (n + 1)) / (n + 1)  # the share of a class that is left to words the corpus does not hold
+    per_word = np.log1p(-np.minimum(unseen, 1 - 1e-12)) - np.log(np.maximum(n, 1))
+    per_unseen = np.log(unseen)
 
     def run(batches):
-        ids = TokenIds(scorer.words)
-        table = scorer.network.table()
+        words, parameters = shared.value
+        ids, network = TokenIds(words), Network(*parameters)
+        kind = pa.struct([("word", pa.string()), ("seen", pa.float64()), ("unseen", pa.float64())])
         for batch in slices(batches):
             ids.trim()
-            found = [table[cells(ids.of(t), ids.size)] for t in batch.column(1).to_pylist()]
-            n, total = [len(f) for f in found], [float(f.sum(dtype=np.float64)) for f in found]
-            mean = [t / k if k else None for t, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            n_tokens, total, offsets, rare, of = [], [], [0], [], []
+            texts = batch.column(1).to_pylist()
+            coded = [ids.of(t) for t in texts]
+            cell, where = np.unique(np.concatenate([cells(c, ids.size) for c in coded]), return_inverse=True)
+            context, token = np.divmod(cell, ids.size)
+            logp, at = network.log_prob(context // ids.size, context % ids.size, token)[where], 0
+            for text, code in zip(texts, coded, strict=True):
+                n_tokens.append(len(code) - 2)
+                total.append(float(logp[at : at + len(code) - 2].sum(dtype=np.float64)))
+                at += len(code) - 2
+                places = np.flatnonzero(code[1:-1] >= ids.first)
+                if len(places):
+                    split = text.lower().split()
+                    rare += [split[i] for i in places.tolist()]
+                    of.append(code[1:-1][places])
+                offsets.append(len(rare))
+            of = np.concatenate(of) if of else np.zeros(0, np.int64)
+            others = per_unseen[of] - LETTER * np.fromiter(map(len, rare), np.int64, len(rare))
+            entries = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(per_word[of]), pa.array(others)], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(total, pa.float64()), lists], ["doc_id", "n_tokens", "of_symbols", "rare"])
+
+    found = plain.mapInArrow(run, "doc_id long, n_tokens long, of_symbols double, rare array<struct<word:string,seen:double,unseen:double>>")
+    found = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
+    each = found.select("row", F.explode("rare").alias("x")).select("row", "x.*")
+    of_words = F.sum(F.coalesce(F.log("count") + F.col("seen"), F.col("unseen"))).alias("of_words")
+    sums = each.join(scorer.counted, "word", "left").groupBy("row").agg(of_words)
+    told = found.drop("rare").join(sums, "row", "left").withColumn("log_prob", F.col("of_symbols") + F.coalesce("of_words", F.lit(0.0)))
+    return told.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

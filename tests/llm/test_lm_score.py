@@ -66,3 +66,37 @@ def test_scores_are_sums_of_normalised_conditionals(spark):
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, lm.fit(docs)).count() == 0
+
+
+def test_words_outside_the_vocabulary_are_predicted(spark):
+    texts = [*corpus(200), "the zzgrass sees some zzwater and"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scorer = lm.fit(docs, words=4)
+    rows = [(0, "the bird sees some grass and"), (1, "the zird sees some zzgrass and"), (2, "the xkqv sees some qqqss and")]
+    got = {r.doc_id: r.log_prob for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), scorer).collect()}
+    # junk of the same length and last letters falls into the same classes
+    ids = lm.TokenIds(scorer.words)
+    assert ids["bird"] == ids["zird"] and ids.size == 4 + 1 + lm.BUCKETS
+    assert got[0] > got[1] + 5 and got[0] > got[2] + 5
+    totals = Counter(w for t in texts for w in t.split())
+    assert {r.word: r["count"] for r in scorer.counted.collect()} == dict(totals)
+
+
+def test_groups_give_normalised_conditionals_and_right_gradients():
+    net = lm.Network.start(150, 4, 1)
+    assert len(net.gate_offset) == 3
+    rng = np.random.default_rng(2)
+    l, r, t, n = rng.integers(0, 150, 40), rng.integers(0, 150, 40), rng.integers(0, 150, 40), rng.integers(1, 5, 40)  # noqa: E741
+    every = net.forward(l, r)[1]
+    assert np.allclose(np.exp(every).sum(axis=1), 1) and np.allclose(every[np.arange(40), t], net.log_prob(l, r, t, block=16))
+    counts = np.zeros((40, 150))
+    counts[np.arange(40), t] = n
+    _, grads = net.gradients(l, r, counts)
+    for p, g in zip(net.parameters(), grads, strict=True):
+        at = tuple(x[0] for x in np.nonzero(g))
+        p[at] += 1e-5
+        high = net.gradients(l, r, counts)[0]
+        p[at] -= 2e-5
+        low = net.gradients(l, r, counts)[0]
+        p[at] += 1e-5
+        assert abs((high - low) / 2e-5 - g[at]) < 1e-6
