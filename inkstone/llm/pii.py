@@ -1,8 +1,9 @@
 """Personal data: base patterns, and bootstrapped extraction of what they miss.
 
 Base spans (email, ip, card, phone) come from one pass over the texts. They are the seeds. The same pass lists
-candidates: runs of one to ``max_tokens`` neighbouring tokens with at least five digits or an ``@`` that touch no base
-span, such as a telephone number that the greedy base pattern ran together with the card number after it.
+candidates: runs of neighbouring tokens with five to ``most_digits`` digits, in whatever number of groups, or an ``@``
+that touch no base span, such as a telephone number that the greedy base pattern ran together with the card number after
+it. Marks behind a token do not belong to it, and end a run unless they are closing brackets.
 
 Each seed and candidate induces lexical patterns: its written shape (digits as 0, letters as a), and its cue, the word
 before it if that ends in a colon, an equals sign or a hash, together with the characters it uses. Patterns and
@@ -122,19 +123,22 @@ def _patterns(text: str, start: int, surface: str) -> list[str]:
     return found
 
 
-def instances(text: str, spans: list[Span], max_tokens: int = 3, longest: int = 64) -> list[tuple]:
+def instances(text: str, spans: list[Span], most_digits: int = 19, longest: int = 64) -> list[tuple]:
     """Seeds and candidates of a text: (start, end, surface, seed's kind or '', patterns)."""
     found = [(a, b, text[a:b], kind, _patterns(text, a, text[a:b])) for kind, a, b in spans if b - a <= longest]
     taken = sorted((a, b) for _, a, b in spans)
-    run: list[tuple[int, int]] = []
+    run: list[tuple[int, int, int, int]] = []  # start, end without marks, end, digits
     at = 0
 
     def grams():
-        for i in range(len(run)):
-            for j in range(i, min(i + max_tokens, len(run))):
-                a, b = run[i][0], run[j][1]
+        for i, (a, *_) in enumerate(run):
+            digits = 0
+            for j in range(i, len(run)):
+                b, digits = run[j][1], digits + run[j][3]
+                if b - a > longest or digits > most_digits:
+                    break
                 surface = text[a:b]
-                if b - a <= longest and (sum(map(str.isdigit, surface)) >= 5 or "@" in surface):
+                if digits >= 5 or "@" in surface:
                     found.append((a, b, surface, "", _patterns(text, a, surface)))
 
     for m in _TOKEN.finditer(text):
@@ -147,13 +151,13 @@ def instances(text: str, spans: list[Span], max_tokens: int = 3, longest: int =
             run = []
             continue
         edge = [e.end() if e.start() == 0 else e.start() for e in _EDGE.finditer(m[0])]
-        low, high = a + (edge[0] if edge else 0), a + (edge[-1] if len(edge) > 1 else b - a)
-        if run and (text[run[-1][1] : low] != " "):
+        low, high = a + (edge[0] if edge else 0), a + (edge[1] if len(edge) > 1 else b - a)
+        if run and (text[run[-1][2] : low] != " "):
             grams()
             run = []
         if low < high:
-            run.append((low, high))
-        if high < b:  # something was cut off behind the token: no longer run goes over it
+            run.append((low, high, b, sum(map(str.isdigit, text[low:high]))))
+        if text[high:b].strip(")"):  # more than brackets was cut off behind the token: no longer run goes over it
             grams()
             run = []
     grams()
@@ -168,7 +172,7 @@ def _join(spans: list[Span]) -> str:
 _SCAN = "doc_id long, text_hash long, base string, found array<struct<start:long,end:long,surface:string,kind:string,patterns:array<string>,valid:array<string>>>"
 
 
-def scan(docs: DataFrame, max_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, most_digits: int = 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and instances of each row."""
 
     def run(batches):
@@ -178,7 +182,7 @@ def scan(docs: DataFrame, max_tokens: int = 3, id_col: str = "doc_id", text_col:
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
                 base.append(_join(spans))
-                rows = instances(text, spans, max_tokens) if spans or _HINT.search(text) else []
+                rows = instances(text, spans, most_digits) if spans or _HINT.search(text) else []
                 found.append([(a, b, s, k, p, [] if k else valid_kinds(s)) for a, b, s, k, p in rows])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(base), pa.array(found, pa.list_(kind))], ["doc_id", "text_hash", "base", "found"]
@@ -205,9 +209,9 @@ def score_graph(edges: DataFrame, rounds: int = 3, support: float = 3.0, useful:
     return scores
 
 
-def find(docs: DataFrame, accept: float = 0.7, rounds: int = 3, support: float = 3.0, max_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, accept: float = 0.7, rounds: int = 3, support: float = 3.0, most_digits: int = 19, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows with ``doc_id, text_hash, base``; added spans ``doc_id, text_hash, kind, start, end, score``)."""
-    scanned = cut_lineage(scan(docs, max_tokens, id_col, text_col))
+    scanned = cut_lineage(scan(docs, most_digits, id_col, text_col))
     each = scanned.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "surface", "kind")
     good = score_graph(edges, rounds, support).where(F.col("score") >= accept)

@@ -94,3 +94,35 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert by[0].text == "Call now <PHONE> today é. Pay <CARD> soon." and by[40].text is None and by[41].text == ""
     assert by[42].text.endswith("words <EMAIL>")
     assert pii.redact(docs.limit(0)).count() == 0 and pii.report(docs.limit(0)).count() == 0
+
+
+def grouped(i):
+    bare = card(i)
+    return " ".join(bare[k : k + 4] for k in range(0, 16, 4))
+
+
+def test_numbers_of_four_groups_and_before_marks_are_discovered(spark):
+    a, b = grouped(123456789012), grouped(987654321098)
+    cases = {
+        100: ("+44 20 7946 0958 4111 1111 1111 1111", {"phone": ["+44 20 7946 0958"], "card": ["4111 1111 1111 1111"]}),
+        101: (f"{a} {b}", {"card": [a, b]}),
+        102: (f"Pay +1 (269) 555-3296 {CARD}.", {"phone": ["+1 (269) 555-3296"], "card": [CARD]}),
+        103: (f"Pay {CARD} {card(77)}, or not", {"card": [CARD, card(77)]}),
+    }
+    rows = [(i, f"Call +1 ({200 + i}) 555-{1000 + i} or +44 20 7946 {1000 + i} now. Pay {card(i)} or {grouped(10**11 + 7 * i)} soon.") for i in range(30)]
+    rows += [(i, t) for i, (t, _) in cases.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.report(docs).collect()}
+    for i, (text, want) in cases.items():
+        assert pii.base_spans(text) == []
+        found = {}
+        for kind, start, end in spans[i]:
+            found.setdefault(kind, []).append(text[int(start) : int(end)])
+        assert found == want, text
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert masked[100] == "<PHONE> <CARD>" and masked[101] == "<CARD> <CARD>"
+    assert masked[102] == "Pay <PHONE> <CARD>." and masked[103] == "Pay <CARD> <CARD>, or not"
+
+
+def test_long_runs_of_numbers_take_linear_time():
+    assert len(pii.instances("1 " * 100_000, [])) < 2_000_000
