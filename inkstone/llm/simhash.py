@@ -17,8 +17,8 @@ from alternating star contraction over checkpointed links; nothing about documen
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link like others. Rows with
 equal text, or equal doc_id, keep their rows in ``near_duplicates``. A null doc_id gets its group's id, and null if the
-group has no other. ``keep_one`` gives one row for each surviving doc_id and keeps rows whose doc_id is null. Empty
-tables give no rows; extra columns stay out of ``near_duplicates`` and are carried by ``keep_one``.
+group has no other. ``keep_one`` gives one row for each group, whatever its ids: unlike texts under one doc_id stay, and copies
+without a doc_id go. Empty tables give no rows; extra columns stay out of ``near_duplicates`` and are carried by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -56,15 +56,18 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: each text's fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id, fp``: each text's fingerprint as a signed 64-bit number; with ``hashed`` also ``text_hash``."""
 
     def run(batches):
         for batch in slices(batches):
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            more = [batch.column(2)] if hashed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *more], ["doc_id", "fp", "text_hash"][: 2 + hashed])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    plain = id_and_text(docs, id_col, text_col)
+    plain = plain.withColumn("text_hash", F.xxhash64("text")) if hashed else plain
+    return plain.mapInArrow(run, "doc_id long, fp long" + ", text_hash long" * hashed)
 
 
 def position_masks(shared: int = 4, positions: int = 8) -> list[int]:
@@ -164,13 +167,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def roots(classes: DataFrame, distance: int, limit: int) -> DataFrame:
+    """``classes`` (one row for each ``fp``) with the smallest fingerprint that links reach as ``root``."""
+    found = components(links(classes.select("fp"), distance, limit))
+    nodes = found.select(F.col("node").alias("fp"), "root").unionAll(found.select(F.col("root").alias("fp"), "root").distinct())
+    return classes.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of each row; ``component_id`` is the smallest doc_id that links reach."""
     fps = cut_lineage(fingerprints(docs, width, id_col, text_col))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(classes.select("fp"), distance, limit))
-    nodes = found.select(F.col("node").alias("fp"), "root").unionAll(found.select(F.col("root").alias("fp"), "root").distinct())
-    rooted = classes.join(nodes, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    rooted = roots(classes, distance, limit)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.join(smallest, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
@@ -181,10 +189,14 @@ def fingerprint_text(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group."""
-    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    ids = F.col(f"`{id_col}`").cast("long")
-    kept = docs.join(first, ids == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionAll(docs.where(ids.isNull()))
+def keep_one(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest id (null is the greatest), then text hash."""
+    fps = cut_lineage(fingerprints(docs, width, id_col, text_col, hashed=True))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    classes = fps.groupBy("fp").agg(F.min(order).alias("first"))
+    first = roots(classes, distance, limit).groupBy("root").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__first"), F.col("first.text_hash").alias("__first_hash"))
+    keyed = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
+    keyed = keyed.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    same = F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__hash") == F.col("__first_hash"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")

@@ -92,3 +92,10 @@ def test_operator_on_awkward_tables(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and None in ids and 8 in ids and 9 not in ids and 77 not in ids
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_goes_by_text_not_by_id_alone(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "one two three four five six", "le chat dort dans la maison")
+    rows = [(7, one), (7, two), (7, two), (8, one), (None, three), (None, three), (None, two)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, one), (7, two), (None, three)], key=str)
