@@ -10,8 +10,8 @@ log p(word | class) from its count in all documents. A document's score is the s
 Words are counted over the whole corpus with a combine before the shuffle. Training visits every document: each task
 trains a copy of the network on mini-batches of the windows of its documents, counted by cell, and sends its changes in
 pieces; Spark adds the pieces, each symbol's weighted by how often the task met it; the driver gets one network. That is
-repeated ``rounds`` times, over another share of the documents each time, or over all of them where they are few. Scoring
-is one pass; words of classes are then joined with their counts.
+repeated ``rounds`` times, over another share of the documents each time, so that every document trains once, whatever
+the corpus's size. Scoring is one pass; words of classes are then joined with their counts.
 
 Words that the corpus does not hold share the weight of the words that stand once in their class (Good and Turing), at
 six bits a letter.
@@ -144,6 +144,15 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _softmax_at(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials in place of ``z``, their sums, the log-probability at one column of each row); one exponential a cell."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    sums = z.sum(axis=1)
+    return z, sums, chosen - np.log(sums)
+
+
 def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and the sum of the rows of each."""
     order = np.argsort(ids, kind="stable")
@@ -202,35 +211,35 @@ class Network:
     def log_prob(self, l: np.ndarray, r: np.ndarray, token: np.ndarray, block: int = 8192) -> np.ndarray:  # noqa: E741
         """Log-probability of one symbol for each window."""
         found = np.empty(len(token), self.out.dtype)
-        order = np.argsort(token, kind="stable")
-        for at in range(0, len(order), block):
-            part = order[at : at + block]
-            h, t = self.hidden(l[part], r[part]), token[part]
-            p = _log_softmax(h @ self.gate + self.gate_offset)[np.arange(len(part)), t // self.width]
+        for at in range(0, len(token), block):
+            order = np.argsort((token[at : at + block] // self.width).astype(np.int16), kind="stable")
+            part = order + at
+            t, h = token[part], self.hidden(l[part], r[part])
+            p = _softmax_at(h @ self.gate + self.gate_offset, t // self.width)[2]
             for _, rows, cols in self.groups(t):
-                z = _log_softmax(h[rows] @ self.out[:, cols] + self.offset[cols])
-                p[rows] += z[np.arange(len(z)), t[rows] - cols.start]
+                p[rows] += _softmax_at(h[rows] @ self.out[:, cols] + self.offset[cols], t[rows] - cols.start)[2]
             found[part] = p
         return found
 
     def window_gradients(self, l: np.ndarray, r: np.ndarray, token: np.ndarray, n: np.ndarray, total: float) -> tuple[float, list]:  # noqa: E741
         """Loss and gradients, over ``total``, of windows that stand n times; those of left and right as (ids, rows)."""
-        order = np.argsort(token, kind="stable")
-        l, r, token, n = l[order], r[order], token[order], n[order].astype(self.out.dtype)  # noqa: E741
+        group = (token // self.width).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        l, r, token, n, group = l[order], r[order], token[order], n[order].astype(self.out.dtype), group[order]  # noqa: E741
         h, every = self.hidden(l, r), np.arange(len(token))
-        logp = _log_softmax(h @ self.gate + self.gate_offset)
-        loss = -float(n @ logp[every, token // self.width])
         w = (n / total).astype(self.out.dtype)
-        d = np.exp(logp) * w[:, None]
-        d[every, token // self.width] -= w
+        d, sums, logp = _softmax_at(h @ self.gate + self.gate_offset, group)
+        loss = -float(n @ logp)
+        d *= (w / sums)[:, None]
+        d[every, group] -= w
         d_gate, d_gate_offset, dh = h.T @ d, d.sum(axis=0), d @ self.gate.T
         d_out, d_offset = np.zeros_like(self.out), np.zeros_like(self.offset)
         for _, rows, cols in self.groups(token):
-            z = _log_softmax(h[rows] @ self.out[:, cols] + self.offset[cols])
-            at = np.arange(len(z)), token[rows] - cols.start
-            loss -= float(n[rows] @ z[at])
-            d = np.exp(z) * w[rows, None]
-            d[at] -= w[rows]
+            at = token[rows] - cols.start
+            d, sums, logp = _softmax_at(h[rows] @ self.out[:, cols] + self.offset[cols], at)
+            loss -= float(n[rows] @ logp)
+            d *= (w[rows] / sums)[:, None]
+            d[every[: len(at)], at] -= w[rows]
             d_out[:, cols], d_offset[cols] = h[rows].T @ d, d.sum(axis=0)
             dh[rows] += d @ self.out[:, cols].T
         dh *= 1 - h * h
@@ -261,12 +270,12 @@ class Network:
         return out.reshape(-1)
 
 
-def train(network: Network, cell: np.ndarray, n: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator, least: int = 128, rate: float = 0.1) -> None:
-    """Adagrad on counted windows in mini-batches, about ``least`` steps or more; ``squares`` are its sums so far."""
+def train(network: Network, cell: np.ndarray, n: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator, least: int = 48, most: int = 8192, rate: float = 0.1) -> None:
+    """Adagrad on counted windows in mini-batches of up to ``most``, about ``least`` steps or more; ``squares`` are its sums so far."""
     if not len(cell):
         return
     size, mean, steps = len(network.offset), n.mean(), 0
-    batch = min(max(len(cell) // least, 256), 8192)
+    batch = min(max(len(cell) // least, 256), most)
     while steps < least:
         mix = rng.permutation(len(cell))
         for at in range(0, len(mix), batch):
@@ -372,7 +381,7 @@ class Scorer:
     counted: DataFrame
 
 
-def fit(docs: DataFrame, words: int = 20_000, hidden: int = 24, rounds: int = 3, seed: int = 5, few: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def fit(docs: DataFrame, words: int = 20_000, hidden: int = 24, rounds: int = 3, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A network of the whole corpus, and the counts of all its words."""
     plain = id_and_text(docs, id_col, text_col)
     counted = cut_lineage(word_counts(plain))
@@ -385,8 +394,7 @@ def fit(docs: DataFrame, words: int = 20_000, hidden: int = 24, rounds: int = 3,
         network.gate_offset[:] = np.log(np.add.reduceat(totals[0], np.arange(0, len(totals[0]), network.width)) + 0.1)
         for k in range(rounds):
             turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k
-            share = plain if tokens <= few else plain.where(turn)
-            network = train_round(share.coalesce(1 + tokens // 200_000), vocabulary, network, seed + k)
+            network = train_round(plain.where(turn).coalesce(1 + tokens // 200_000), vocabulary, network, seed + k)
     return Scorer(vocabulary, network, totals, counted)
 
 
