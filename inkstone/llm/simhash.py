@@ -87,8 +87,12 @@ def _longs(values: list[int]):
 
 
 def list_edges(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links inside one short inverted list that connect what all its close pairs connect."""
+    """Links inside one short inverted list that connect what all its close pairs connect: shared positional bytes are
+    tallied for its pairs, those with the guaranteed minimum are retained and verified by their bits."""
+    bytes_of = members.view(np.uint8).reshape(-1, 8)
+    tally = (bytes_of[:, None] == bytes_of[None, :]).sum(axis=2)
     apart = np.bitwise_count((members[:, None] ^ members[None, :]).view(np.uint64))
+    apart[tally < 8 - distance] = 64
     left = set(range(len(members)))
     edges = []
     while left:  # walk outwards from one member along close pairs
@@ -167,20 +171,28 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def with_roots(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``nodes`` (distinct ``name``) with the root that ``components`` found, or themselves, as ``root``."""
+    told = found.select(F.col("node").alias(name), "root").unionAll(found.select(F.col("root").alias(name), "root").distinct())
+    return nodes.join(told, name, "left").withColumn("root", F.coalesce("root", name))
+
+
 def roots(classes: DataFrame, distance: int, limit: int) -> DataFrame:
     """``classes`` (one row for each ``fp``) with the smallest fingerprint that links reach as ``root``."""
-    found = components(links(classes.select("fp"), distance, limit))
-    nodes = found.select(F.col("node").alias("fp"), "root").unionAll(found.select(F.col("root").alias("fp"), "root").distinct())
-    return classes.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return with_roots(classes, components(links(classes.select("fp"), distance, limit)), "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of each row; ``component_id`` is the smallest doc_id that links reach."""
     fps = cut_lineage(fingerprints(docs, width, id_col, text_col))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = roots(classes, distance, limit)
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
+    rooted = cut_lineage(roots(classes, distance, limit))
+    # Only groups of several fingerprints need the join; it is dealt over salts, since one group may hold very many.
+    salts = 16
+    grouped = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    grouped = grouped.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+    labels = dealt.join(grouped, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -194,7 +206,11 @@ def keep_one(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 64
     fps = cut_lineage(fingerprints(docs, width, id_col, text_col, hashed=True))
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
     classes = fps.groupBy("fp").agg(F.min(order).alias("first"))
-    first = roots(classes, distance, limit).groupBy("root").agg(F.min("first").alias("first"))
+    return keep_rows(docs, roots(classes, distance, limit).groupBy("root").agg(F.min("first").alias("first")), id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``first`` (doc_id and text_hash) names, each once."""
     first = first.select(F.col("first.doc_id").alias("__first"), F.col("first.text_hash").alias("__first_hash"))
     keyed = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
     keyed = keyed.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))

@@ -2,9 +2,9 @@ import public_tokenizers
 
 import corpus_pipeline
 from inkstone.llm import packing, pii, quality_model
+from tests.llm.test_near_texts import similar_pairs, slow_groups
 from tests.llm.test_packing import check_pieces
 from tests.llm.test_quality_rules import slow_measures
-from tests.llm.test_simhash import signed, slow_components, slow_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,12 +30,9 @@ def test_stages_equal_brute_force(spark):
     good = {r.doc_id for r in quality_model.score(quality_model.features(steps[1]), model).where("predicted = 1").collect()}
     assert set(texts[2]) == good and all(texts[2][i] == texts[1][i] for i in good)
 
-    fps = {i: signed(slow_fingerprint(t)) for i, t in texts[2].items()}
-    groups = slow_components(sorted(set(fps.values())), 4)
-    first = {}
-    for i in sorted(fps):
-        first.setdefault(groups[fps[i]], i)
-    assert set(texts[3]) == set(first.values())
+    ids = sorted(texts[2])
+    groups = slow_groups(len(ids), similar_pairs([texts[2][i] for i in ids]))
+    assert set(texts[3]) == {ids[g] for g in groups}
 
     for i, text in texts[4].items():
         assert not pii.base_spans(text.replace("<", " ")) or "<" in text
