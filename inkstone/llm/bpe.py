@@ -362,15 +362,20 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
 
-def frequent_words(docs: DataFrame, size: int, text_col: str = "text") -> list[str]:
-    """The ``size`` most frequent normalised words of all documents that stand there more than once."""
+def frequent_words(docs: DataFrame, size: int, longest: int = 64, text_col: str = "text") -> list[str]:
+    """The ``size`` most frequent normalised words, of at most ``longest`` bytes, that stand in all documents more than once."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
-    counted = words.where("word <> ''").groupBy("word").count()
+    counted = words.where(F.octet_length("word").between(1, longest)).groupBy("word").count()
     return top_words(cut_lineage(counted.where("count > 1")), size)
 
 
 def top_words(counted: DataFrame, size: int) -> list[str]:
-    """The first ``size`` words of ``word, count`` by count descending, then word.
+    """The first ``size`` words of ``word, count`` by count descending, then word."""
+    return [word for word, _ in top_counts(counted, size)]
+
+
+def top_counts(counted: DataFrame, size: int) -> list[tuple[str, int]]:
+    """The first ``size`` words of ``word, count`` by count descending, then word, with their counts, in that order.
 
     A histogram of the counts (at most 64 * 16 bins) gives the bins that are taken whole and the one that is split, so
     only words of that bin are sorted; the driver gets the histogram and ``size`` words, whatever the partitions.
@@ -383,19 +388,20 @@ def top_words(counted: DataFrame, size: int) -> list[str]:
             break
         total += r.n
         least = r.bin
-    found = [] if least is None else binned.where(F.col("bin") >= least).select("word").collect()
+    found = [] if least is None else binned.where(F.col("bin") >= least).select("word", "count").collect()
     if last is not None and total < size:
-        found += binned.where(F.col("bin") == last).orderBy(F.desc("count"), "word").select("word").limit(size - total).collect()
-    return [r.word for r in found]
+        found += binned.where(F.col("bin") == last).orderBy(F.desc("count"), "word").select("word", "count").limit(size - total).collect()
+    return sorted(((r[0], r[1]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
 def fit_lexicon(docs: DataFrame, size: int = 50_000, vocab_path: str | None = None, longest: int = 64, text_col: str = "text") -> bytes:
     """Compile the frequent words (of at most ``longest`` bytes) of ``docs`` with their ids."""
     vocabulary = load_vocabulary(vocab_path or public_tokenizers.path("word_bpe_49k.json"))
     lexicon = {}
-    for word in frequent_words(docs, size, text_col):
+    for word in frequent_words(docs, size, longest, text_col):
         plain = _plain_words(word)
-        if len(plain) == 1 and len(raw := plain[0].encode()) <= longest:
+        if len(plain) == 1:
+            raw = plain[0].encode()
             lexicon[raw] = vocabulary.encode_word(plain[0])
     return Transducer.compile(lexicon)
 

@@ -1,6 +1,6 @@
 """Language-model scoring: masked pseudo-likelihood from a small bidirectional window network.
 
-Tokens are lower-cased words. Symbols of the network are the ``words`` most frequent words of the corpus (20,000) and
+Tokens are lower-cased words. Symbols of the network are the ``words`` most frequent words of the corpus (10,000) and
 ``BUCKETS`` classes (by length and last letters) for all others; id 0 is the edge of a text. The network predicts each
 symbol from the symbols at its two sides: hidden = tanh(left[l] + right[r] + bias); a gate gives the log-probability of
 a symbol's group (``width`` neighbours in the vocabulary), and hidden @ out + offset that of the symbol in its group, so
@@ -11,7 +11,7 @@ Words are counted over the whole corpus with a combine before the shuffle. Train
 trains a copy of the network on mini-batches of the windows of its documents, counted by cell, and sends its changes in
 pieces; Spark adds the pieces, each symbol's weighted by how often the task met it; the driver gets one network. That is
 repeated ``rounds`` times, over another share of the documents each time, so that every document trains once, whatever
-the corpus's size. Scoring is one pass; words of classes are then joined with their counts.
+the corpus's size. Scoring is one pass: the next ``listed`` words (200,000) are told with their counts, all others are joined with theirs.
 
 Words that the corpus does not hold share the weight of the words that stand once in their class (Good and Turing), at
 six bits a letter.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.bpe import top_words
+from inkstone.llm.bpe import top_counts
 from inkstone.llm.columns import id_and_text, slices
 from inkstone.runtime import cut_lineage
 
@@ -43,17 +43,24 @@ LETTER = 6 * math.log(2)
 
 
 class TokenIds(dict):
-    """Ids of words; words outside the vocabulary are classed when first met. ``trim`` bounds what is kept."""
+    """Ids of words; words outside the vocabulary are classed when first met. ``trim`` bounds what is kept.
 
-    def __init__(self, words: list[str]):
+    ``listed`` words of classes have ids of their own behind those of the symbols.
+    """
+
+    def __init__(self, words: list[str], listed: list[str] = ()):
         self.fixed = {w: i for i, w in enumerate(words, 1)}
         self.first = len(words) + 1
+        self.fixed.update(zip(listed, range(self.size, self.size + len(listed)), strict=True))
         super().__init__(self.fixed)
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = self.first + 4 * (min(len(word) - 1, 15) // 2) + zlib.crc32(word[-2:].encode()) % 4
+        found = self[word] = self.class_of(word)
         return found
 
+    def class_of(self, word: str) -> int:
+        return self.first + 4 * (min(len(word) - 1, 15) // 2) + zlib.crc32(word[-2:].encode()) % 4
+
     def trim(self, most: int = 500_000) -> None:
         if len(self) > most:
             self.clear()
@@ -379,13 +386,15 @@ class Scorer:
     network: Network
     totals: np.ndarray
     counted: DataFrame
+    listed: list[tuple[str, int]]  # the most frequent words of classes with their counts; all others are joined
 
 
-def fit(docs: DataFrame, words: int = 20_000, hidden: int = 24, rounds: int = 3, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def fit(docs: DataFrame, words: int = 10_000, hidden: int = 16, rounds: int = 3, listed: int = 200_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A network of the whole corpus, and the counts of all its words."""
     plain = id_and_text(docs, id_col, text_col)
     counted = cut_lineage(word_counts(plain))
-    vocabulary = sorted(top_words(counted.where("count > 1"), words), key=lambda w: w[::-1])  # like endings, one group
+    frequent = top_counts(counted.where("count > 1"), words + listed)
+    vocabulary = sorted((w for w, _ in frequent[:words]), key=lambda w: w[::-1])  # like endings, one group
     totals = class_totals(counted, vocabulary)
     network, tokens = Network.start(TokenIds(vocabulary).size, hidden, seed), int(totals[0].sum())
     if tokens:
@@ -395,50 +404,50 @@ def fit(docs: DataFrame, words: int = 20_000, hidden: int = 24, rounds: int = 3,
         for k in range(rounds):
             turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k
             network = train_round(plain.where(turn).coalesce(1 + tokens // 200_000), vocabulary, network, seed + k)
-    return Scorer(vocabulary, network, totals, counted)
+    return Scorer(vocabulary, network, totals, counted, frequent[words:])
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of each text."""
     plain = id_and_text(docs, id_col, text_col)
-    shared = plain.sparkSession.sparkContext.broadcast((scorer.words, scorer.network.copy(np.float32).parameters()))
+    shared = plain.sparkSession.sparkContext.broadcast((scorer.words, scorer.listed, scorer.network.copy(np.float32).parameters()))
     n, once = scorer.totals.astype(float)
     unseen = (once + 1 / (n + 1)) / (n + 1)  # the share of a class that is left to words the corpus does not hold
     per_word = np.log1p(-np.minimum(unseen, 1 - 1e-12)) - np.log(np.maximum(n, 1))
-    per_unseen = np.log(unseen)
+    first = len(scorer.words) + 1
 
     def run(batches):
-        words, parameters = shared.value
-        ids, network = TokenIds(words), Network(*parameters)
-        kind = pa.struct([("word", pa.string()), ("seen", pa.float64()), ("unseen", pa.float64())])
+        words, listed, parameters = shared.value
+        ids, network = TokenIds(words, [w for w, _ in listed]), Network(*parameters)
+        symbols = np.concatenate((np.arange(ids.size), np.fromiter((ids.class_of(w) for w, _ in listed), np.int64, len(listed))))
+        own = np.zeros(len(symbols))  # log p(word | class) of listed words
+        own[ids.size :] = np.log(np.array([k for _, k in listed], float)) + per_word[symbols[ids.size :]]
         for batch in slices(batches):
             ids.trim()
-            n_tokens, total, offsets, rare, of = [], [], [0], [], []
-            texts = batch.column(1).to_pylist()
-            coded = [ids.of(t) for t in texts]
-            cell, where = np.unique(np.concatenate([cells(c, ids.size) for c in coded]), return_inverse=True)
+            split = [t.lower().split() for t in batch.column(1).to_pylist()]
+            lengths = np.array([len(w) for w in split])
+            every = [w for words in split for w in words]
+            codes = np.fromiter(map(ids.__getitem__, every), np.int64, len(every))
+            edged = np.zeros(len(codes) + 2 * len(split), np.int64)  # each text between two edges
+            inner = np.arange(len(codes)) + np.repeat(2 * np.arange(len(split)) + 1, lengths)
+            edged[inner] = symbols[codes]
+            cell, where = np.unique((edged[inner - 1] * ids.size + edged[inner + 1]) * ids.size + edged[inner], return_inverse=True)
             context, token = np.divmod(cell, ids.size)
-            logp, at = network.log_prob(context // ids.size, context % ids.size, token)[where], 0
-            for text, code in zip(texts, coded, strict=True):
-                n_tokens.append(len(code) - 2)
-                total.append(float(logp[at : at + len(code) - 2].sum(dtype=np.float64)))
-                at += len(code) - 2
-                places = np.flatnonzero(code[1:-1] >= ids.first)
-                if len(places):
-                    split = text.lower().split()
-                    rare += [split[i] for i in places.tolist()]
-                    of.append(code[1:-1][places])
-                offsets.append(len(rare))
-            of = np.concatenate(of) if of else np.zeros(0, np.int64)
-            others = per_unseen[of] - LETTER * np.fromiter(map(len, rare), np.int64, len(rare))
-            entries = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(per_word[of]), pa.array(others)], fields=list(kind))
+            logp = network.log_prob(context // ids.size, context % ids.size, token)[where] + own[codes]
+            of_text = np.repeat(np.arange(len(split)), lengths)
+            total = np.bincount(of_text, logp, len(split)).astype(float)
+            rare = np.flatnonzero((codes >= ids.first) & (codes < ids.size))
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(of_text[rare], minlength=len(split)))))
+            entries = pa.StructArray.from_arrays([pa.array([every[i] for i in rare.tolist()], pa.string()), pa.array((codes[rare] - ids.first).astype(np.int8))], ["word", "kind"])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(total, pa.float64()), lists], ["doc_id", "n_tokens", "of_symbols", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(total, pa.float64()), lists], ["doc_id", "n_tokens", "of_symbols", "rare"])
 
-    found = plain.mapInArrow(run, "doc_id long, n_tokens long, of_symbols double, rare array<struct<word:string,seen:double,unseen:double>>")
+    found = plain.mapInArrow(run, "doc_id long, n_tokens long, of_symbols double, rare array<struct<word:string,kind:tinyint>>")
     found = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
-    each = found.select("row", F.explode("rare").alias("x")).select("row", "x.*")
-    of_words = F.sum(F.coalesce(F.log("count") + F.col("seen"), F.col("unseen"))).alias("of_words")
-    sums = each.join(scorer.counted, "word", "left").groupBy("row").agg(of_words)
+    each = found.select("row", F.explode("rare").alias("x")).groupBy("row", "x").agg(F.count("*").alias("times")).select("row", "x.word", "x.kind", "times")
+    of_kind = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values[first:]]), F.col("kind") + 1)
+    known = F.log("count") + of_kind(per_word)
+    one = F.coalesce(known, of_kind(np.log(unseen)) - LETTER * F.length("word"))
+    sums = each.join(scorer.counted, "word", "left").groupBy("row").agg(F.sum(one * F.col("times")).alias("of_words"))
     told = found.drop("rare").join(sums, "row", "left").withColumn("log_prob", F.col("of_symbols") + F.coalesce("of_words", F.lit(0.0)))
     return told.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -100,3 +100,12 @@ def test_groups_give_normalised_conditionals_and_right_gradients():
         low = net.gradients(l, r, counts)[0]
         p[at] += 1e-5
         assert abs((high - low) / 2e-5 - g[at]) < 1e-6
+
+
+def test_listed_words_score_as_joined_ones(spark):
+    docs = spark.createDataFrame(list(enumerate([*corpus(60), "zz yy zz", ""])), "doc_id long, text string")
+    few, many = lm.fit(docs, words=3, listed=0), lm.fit(docs, words=3, listed=4)
+    assert not few.listed and len(many.listed) == 4 and few.words == many.words
+    rows = spark.createDataFrame([(0, "the bird sees some grass and qq"), (1, "zz zz the bird"), (2, ""), (2, "food food")], "doc_id long, text string")
+    a, b = (sorted((r.doc_id, r.n_tokens, round(r.log_prob, 4)) for r in lm.score(rows, s).collect()) for s in (few, many))
+    assert a == b
