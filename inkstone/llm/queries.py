@@ -49,7 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return warc.read(warc.serialise(warc.derive(warc.responses(table(spark, sf_dir, "pages")))))
 
 
 def queries() -> dict:
