@@ -6,19 +6,20 @@ that touch no base span, such as a telephone number that the greedy base pattern
 it. Marks behind a token do not belong to it, and end a run unless they are closing brackets.
 
 Each seed and candidate induces lexical patterns: its written shape (digits as 0, letters as a), and its cue, the word
-before it if that ends in a colon, an equals sign or a hash, together with the characters it uses. Patterns and
+right before it that ends in a colon, an equals sign or a hash, together with the characters it uses. Patterns and
 instances form a graph, which Spark scores in rounds:
 
     confidence(pattern, kind) = sum of its instances' scores for the kind / (number of its instances + 1)
     score(candidate, kind)    = the greatest confidence of its patterns that have at least ``support`` of score
 
-Seeds keep score 1 for their kind. After the last round candidates with a score of ``accept`` or more are added,
+Seeds keep score 1 for their kind. Rounds go on until no score changes in its third decimal; scores only rise, and stay
+below 1, so they settle. Then candidates with a score of ``accept`` or more are added,
 provided they are valid for their kind (digits in range, Luhn for cards). Where added spans of a kind overlap, the
 better, then longer, then earlier one stays.
 
 Scale: text crosses to Python once and only entities and candidates come back. Copies of an instance are merged before
 the graph is built, sums combine before they shuffle, and only patterns at or over the least useful confidence go into
-the join that spreads scores, so a pattern with very many instances is never gathered.
+the join that spreads scores. Joins on patterns and surfaces, which very many rows may share, are dealt over salts.
 
 Defined results: a null text is an empty one and has no spans. Rows with the same doc_id and text get the same spans,
 rows with the same doc_id and different texts their own. Extra columns are left behind by ``find`` and kept by
@@ -28,6 +29,7 @@ rows with the same doc_id and different texts their own. Extra columns are left
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,7 +51,8 @@ _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 _HINT = re.compile("[0-9@]")
 _TOKEN = re.compile(r"\S+")
-_EDGE = re.compile(r"^[^0-9A-Za-z+(]*|[^0-9A-Za-z]*$")
+_FRONT = re.compile(r"[^0-9A-Za-z+(]*")
+_PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 Span = tuple[str, int, int]
 
@@ -114,20 +117,35 @@ def valid_kinds(surface: str) -> list[str]:
     return found
 
 
+def _cue(text: str, start: int) -> str:
+    """The word that ends, in a colon, an equals sign or a hash, right before ``start``, or ''."""
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    at = end
+    while at and text[at - 1] in ":=#":
+        at -= 1
+    if at == end:
+        return ""
+    while at and (text[at - 1].isalnum() or text[at - 1] in "._-/"):
+        at -= 1
+    return text[at:end]
+
+
 def _patterns(text: str, start: int, surface: str) -> list[str]:
-    found = [f"shape {shape(surface)}"]
-    before = text[max(0, start - 40) : start].split()
-    if before and before[-1][-1] in ":=#":
-        used = "".join(sorted(set(re.sub("a+", "a", shape(surface)))))
-        found.append(f"cue {_DIGIT.sub('0', before[-1].lower())} {used}")
+    written = shape(surface)
+    found = [f"shape {written}"]
+    if cue := _cue(text, start):
+        used = "".join(sorted(set(re.sub("a+", "a", written))))
+        found.append(f"cue {_DIGIT.sub('0', cue.lower())} {used}")
     return found
 
 
-def instances(text: str, spans: list[Span], most_digits: int = 19, longest: int = 64) -> list[tuple]:
+def instances(text: str, spans: list[Span], most_digits: int = 19) -> list[tuple]:
     """Seeds and candidates of a text: (start, end, surface, seed's kind or '', patterns)."""
-    found = [(a, b, text[a:b], kind, _patterns(text, a, text[a:b])) for kind, a, b in spans if b - a <= longest]
+    found = [(a, b, text[a:b], kind, _patterns(text, a, text[a:b])) for kind, a, b in spans]
     taken = sorted((a, b) for _, a, b in spans)
-    run: list[tuple[int, int, int, int]] = []  # start, end without marks, end, digits
+    run: list[tuple[int, int, int, int]] = []  # start, end without marks, end, digits; every part has a digit
     at = 0
 
     def grams():
@@ -135,11 +153,11 @@ def instances(text: str, spans: list[Span], most_digits: int = 19, longest: int
             digits = 0
             for j in range(i, len(run)):
                 b, digits = run[j][1], digits + run[j][3]
-                if b - a > longest or digits > most_digits:
+                if digits > most_digits:
                     break
-                surface = text[a:b]
-                if digits >= 5 or "@" in surface:
-                    found.append((a, b, surface, "", _patterns(text, a, surface)))
+                if digits >= 5:
+                    found.append((a, b, text[a:b], "", _patterns(text, a, text[a:b])))
+        run.clear()
 
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -148,18 +166,21 @@ def instances(text: str, spans: list[Span], most_digits: int = 19, longest: int
         free = at == len(taken) or taken[at][0] >= b
         if not free or not _HINT.search(m[0]):
             grams()
-            run = []
             continue
-        edge = [e.end() if e.start() == 0 else e.start() for e in _EDGE.finditer(m[0])]
-        low, high = a + (edge[0] if edge else 0), a + (edge[1] if len(edge) > 1 else b - a)
-        if run and (text[run[-1][2] : low] != " "):
+        low, high = _FRONT.match(text, a, b).end(), b
+        while high > low and text[high - 1] not in _PLAIN:
+            high -= 1
+        if "@" in m[0]:  # an address never goes over white space
+            grams()
+            if low < high:
+                found.append((low, high, text[low:high], "", _patterns(text, low, text[low:high])))
+            continue
+        if run and text[run[-1][2] : low] != " ":
             grams()
-            run = []
         if low < high:
             run.append((low, high, b, sum(map(str.isdigit, text[low:high]))))
         if text[high:b].strip(")"):  # more than brackets was cut off behind the token: no longer run goes over it
             grams()
-            run = []
     grams()
     return found
 
@@ -192,39 +213,55 @@ def scan(docs: DataFrame, most_digits: int = 19, id_col: str = "doc_id", text_co
     return plain.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _SCAN)
 
 
-def score_graph(edges: DataFrame, rounds: int = 3, support: float = 3.0, useful: float = 0.5) -> DataFrame:
-    """``surface, kind, score`` of seeds (1.0) and of the candidates that the graph reaches; its edges are
-    ``pattern, surface, kind``, the kind being a seed's or ''."""
+def _dealt(rows: DataFrame, by: list, side: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """``rows`` join ``side`` (small rows) on keys that very many rows may share."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(copies, [*on, "salt"]).drop("salt")
+
+
+def score_graph(edges: DataFrame, support: float = 3.0, useful: float = 0.5, rounds: int | None = None) -> DataFrame:
+    """``surface, kind, score`` of seeds (1.0) and of the candidates that the graph reaches, once nothing changes (or after
+    ``rounds``); its edges are ``pattern, surface, kind``, the kind being a seed's or ''."""
     edges = cut_lineage(edges.groupBy("pattern", "surface").agg(F.max("kind").alias("kind")))
     seeds = edges.where("kind <> ''").select("surface", "kind").distinct().withColumn("score", F.lit(1.0))
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("surface").alias("n"))
+    sizes = cut_lineage(edges.groupBy("pattern").agg(F.count("*").alias("n")))
     open_edges = edges.where("kind = ''").select("pattern", "surface")
-    scores = seeds
-    for _ in range(rounds):
+    scores, state, done = seeds, None, 0
+    while rounds is None or done < rounds:
         told = edges.select("pattern", "surface").join(scores, "surface").groupBy("pattern", "kind").agg(F.sum("score").alias("told"))
         sure = told.where(F.col("told") >= support).join(sizes, "pattern").withColumn("confidence", F.col("told") / (F.col("n") + 1))
         sure = sure.where(F.col("confidence") >= useful).select("pattern", "kind", "confidence")
-        found = cut_lineage(open_edges.join(sure, "pattern").groupBy("surface", "kind").agg(F.max("confidence").alias("score")))
-        scores = seeds.unionByName(found)
+        reached = _dealt(open_edges, ["surface"], sure, ["pattern"])
+        found = cut_lineage(reached.groupBy("surface", "kind").agg(F.max("confidence").alias("score")))
+        scores, done, before = seeds.unionByName(found), done + 1, state
+        state = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("surface", "kind", F.round("score", 3)).cast("decimal(38,0)"))).first())
+        if state == before:
+            break
     return scores
 
 
-def find(docs: DataFrame, accept: float = 0.7, rounds: int = 3, support: float = 3.0, most_digits: int = 19, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, accept: float = 0.7, rounds: int | None = None, support: float = 3.0, most_digits: int = 19, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows with ``doc_id, text_hash, base``; added spans ``doc_id, text_hash, kind, start, end, score``)."""
     scanned = cut_lineage(scan(docs, most_digits, id_col, text_col))
     each = scanned.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "surface", "kind")
-    good = score_graph(edges, rounds, support).where(F.col("score") >= accept)
+    good = score_graph(edges, support, rounds=rounds).where(F.col("score") >= accept)
     options = each.where("kind = ''").select("doc_id", "text_hash", "start", "end", "surface", F.explode("valid").alias("kind"))
-    added = options.join(good, ["surface", "kind"]).select("doc_id", "text_hash", "kind", "start", "end", "score").distinct()
+    added = _dealt(options, ["doc_id", "text_hash", "start"], good, ["surface", "kind"]).select("doc_id", "text_hash", "kind", "start", "end", "score").distinct()
     return scanned.select("doc_id", "text_hash", "base"), cut_lineage(added)
 
 
 def settle(added: list[tuple]) -> list[Span]:
     """Of overlapping additions (kind, start, end, score) the best: by score, then length, then start, then kind."""
     kept: list[Span] = []
+    starts: list[int] = []  # of what is kept, in order, with the ends
+    ends: list[int] = []
     for kind, a, b, _ in sorted(added, key=lambda x: (-x[3], x[1] - x[2], x[1], KINDS.index(x[0]))):
-        if all(b <= s or e <= a for _, s, e in kept):
+        at = bisect_left(starts, b)  # the last kept span that starts before this one's end
+        if at == 0 or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
             kept.append((kind, a, b))
     return kept
 

@@ -126,3 +126,66 @@ def test_numbers_of_four_groups_and_before_marks_are_discovered(spark):
 
 def test_long_runs_of_numbers_take_linear_time():
     assert len(pii.instances("1 " * 100_000, [])) < 2_000_000
+
+
+def test_settling_equals_plain_comparison_and_is_fast():
+    rng = random.Random(2)
+
+    def slow(added):
+        kept = []
+        for kind, a, b, _ in sorted(added, key=lambda x: (-x[3], x[1] - x[2], x[1], pii.KINDS.index(x[0]))):
+            if all(b <= s or e <= a for _, s, e in kept):
+                kept.append((kind, a, b))
+        return kept
+
+    for _ in range(500):
+        added = [(rng.choice(pii.KINDS), a, a + rng.randint(1, 9), rng.choice([0.7, 0.8, 0.9])) for a in (rng.randrange(40) for _ in range(rng.randrange(12)))]
+        assert pii.settle(added) == slow(added)
+    assert len(pii.settle([("card", 20 * i, 20 * i + 19, 0.9) for i in range(100_000)])) == 100_000
+
+
+def slow_scores(edges, support=3.0, useful=0.5):
+    kinds = {}
+    for p, s, k in edges:
+        kinds[p, s] = max(kinds.get((p, s), ""), k)
+    seeds = {(s, k): 1.0 for (_, s), k in kinds.items() if k}
+    size = {p: len({s for q, s in kinds if q == p}) for p, _ in kinds}
+    scores = dict(seeds)
+    for _ in range(200):
+        found = {}
+        for p in size:
+            members = [s for q, s in kinds if q == p]
+            for kind in pii.KINDS:
+                told = sum(scores.get((s, kind), 0) for s in members)
+                if told >= support and told / (size[p] + 1) >= useful:
+                    for s in members:
+                        if kinds[p, s] == "":
+                            found[s, kind] = max(found.get((s, kind), 0), told / (size[p] + 1))
+        scores = {**found, **seeds}
+    return scores
+
+
+def test_graph_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    edges = []
+    for p in range(12):
+        kind = rng.choice(pii.KINDS)
+        for _ in range(rng.randint(3, 15)):
+            seed = rng.random() < 0.75
+            s = f"{kind}-{rng.randrange(12)}" if seed else f"open-{rng.randrange(25)}"
+            edges += [(f"p{p}", s, kind if seed else "")] * rng.randint(1, 3)
+    edges += [(f"q{i}", f"chain-{j}", "") for i in range(4) for j in range(9 * i, 9 * i + 10)] + [("q0", f"email-{j}", "email") for j in range(40)]
+    got = pii.score_graph(spark.createDataFrame(edges, "pattern string, surface string, kind string").repartition(5)).collect()
+    want = slow_scores(edges)
+    assert {(r.surface, r.kind) for r in got} == set(want)
+    assert all(abs(r.score - want[r.surface, r.kind]) < 2e-3 for r in got)
+    assert any(v < 1 for v in want.values())
+
+
+def test_long_seeds_and_cues_count():
+    address = "a" * 90 + "@example.org"
+    text = f"contact-address:{' ' * 60}{address} and x@y.zz"
+    (_, _, surface, kind, patterns), *_ = pii.instances(text, pii.base_spans(text))
+    assert surface == address and kind == "email" and patterns[1].startswith("cue contact-address: ")
+    for text in ("4111111111111111:" * 20_000, "x:" * 200_000 + "a@b.cc", "a@b.cc,mail:" * 40_000, "7@ " * 100_000, "(" * 300_000 + "12345"):
+        pii.instances(text, pii.base_spans(text))
