@@ -32,12 +32,13 @@ DROPPED = ("script", "style", "noscript", "template", "svg")
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|thead|tbody|section|article|aside|main|header|footer|nav|title|head|body|html|blockquote|pre|form|hr)(?:[ \t\r\n/][^>]*)?>"
 TAG = r"<[!/?a-zA-Z][^>]*>"
 #: Comments and dropped elements in one pattern: one pass over the page.
-UNSEEN = "(?is)<!--.*?-->|" + "|".join(rf"<{name}(?:[ \t\r\n/][^<>]*)?>.*?</{name}[^<>]*>?" for name in DROPPED)
+UNSEEN = rf"(?is)<(?:!--.*?-->|({'|'.join(DROPPED)})(?:[ \t\r\n/][^<>]*)?>.*?</\1[^<>]*>?)"
 REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 TITLE = r"(?is)<title[^<>]*>(.*?)</title"
 LINK = r"(?i)<a[ \t\r\n][^<>]*href[ \t]*="
 LANGUAGE = r"""(?i)<html[^<>]*[ \t\r\n]lang[ \t]*=[ \t]*["']?([A-Za-z-]+)"""
-BLANKS = r"[ \t\r\f\x0b\x{a0}]+"
+#: Runs of blanks but for a single space, which stays as it is.
+BLANKS = r"[\t\r\f\x0b\x{a0}][ \t\r\f\x0b\x{a0}]*| [ \t\r\f\x0b\x{a0}]+"
 HTML_TYPE = r"(?i)^(?:text/html|application/xhtml\+xml)?[ \t]*(?:;|$)"
 #: Namespace of names that are URLs (RFC 4122).
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -64,15 +65,21 @@ def _closed(html: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """Character references, named (those of HTML 4) and numeric, as the characters they name."""
-    names = sorted(name2codepoint, key=lambda n: (n not in ("nbsp", "amp", "quot", "lt", "gt"), n))
+    names = sorted(name2codepoint, key=lambda n: (n not in ("nbsp", "amp", "quot", "lt", "gt", "copy", "middot"), n))
     table = F.create_map(*[F.lit(x) for n in names for x in (n, chr(name2codepoint[n]))], F.lit("apos"), F.lit("'"))
 
     def one(piece: Column) -> Column:
-        ref = F.regexp_extract(piece, REFERENCE, 1)
-        number = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 8), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 8)).cast("int")
-        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(number.isNotNull(), "�").when(ref != "", F.try_element_at(table, ref))
-        return F.when(char.isNotNull(), F.concat(char, F.substring(piece, F.length(ref) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+        kept = F.concat(F.lit("&"), piece)
+
+        def by(ref: Column) -> Column:
+            rest = F.substring(piece, F.length(ref) + 2, F.length(piece))
+            number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8)).cast("int")
+            valid = lambda n: (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            char = lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�")
+            named = let(F.try_element_at(table, ref), lambda c: F.when(c.isNotNull(), F.concat(c, rest)).otherwise(kept))
+            return F.when(ref == "", kept).when(ref.startswith("#"), F.concat(let(number, char), rest)).otherwise(named)
+
+        return let(F.regexp_extract(piece, REFERENCE, 1), by)
 
     def whole(parts: Column) -> Column:
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
@@ -80,17 +87,18 @@ def decode_references(text: Column) -> Column:
     return let(text, lambda t: F.when(t.contains("&"), let(F.split(t, "&", -1), whole)).otherwise(t))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: one line per block, no blank lines."""
+def plain_text(html: Column, long_page: int = 8192) -> Column:
+    """The text of a page: one line per block, no blank lines. On shorter pages than ``long_page`` bytes patterns may look
+    for a closing mark in vain, which changes the time, never the text."""
     # No tag begins after the last >, so the patterns of tags always find their end in the part before it.
     def marked(tail: Column) -> Column:
         head = F.when(F.contains(html, F.lit(">")), F.substring(html, F.lit(1), F.length(html) - F.length(tail))).otherwise("")
-        text = F.regexp_replace(let(head, _closed), UNSEEN, " ")
+        text = F.regexp_replace(let(head, lambda h: F.when(F.octet_length(h) > long_page, _closed(h)).otherwise(h)), UNSEEN, " ")
         return F.concat(F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, ""), tail)
 
     text = decode_references(let(F.substring_index(html, ">", -1), marked))
     text = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def _uuid(name: Column) -> Column:
@@ -206,14 +214,15 @@ def _sql(pattern: str) -> str:
 
 def _oracle() -> str:
     end = "|| chr(13) || chr(10)"
-    text = f"regexp_replace(payload, {_sql(UNSEEN)}, ' ', 'g')"
+    unseen = "(?is)<!--.*?-->|" + "|".join(rf"<{name}(?:[ \t\r\n/][^<>]*)?>.*?</{name}[^<>]*>?" for name in DROPPED)
+    text = f"regexp_replace(payload, {_sql(unseen)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {_sql(BREAKS)}, chr(10), 'g'), {_sql(TAG)}, '', 'g')"
     names = ", ".join(f"{_sql(n)}: chr({c})" for n, c in {**name2codepoint, "apos": 39}.items())
     number = "case when x.ref ilike '#x%' then ('0x' || substr(x.ref, 3))::bigint when x.ref like '#%' then substr(x.ref, 2)::bigint end"
     char = f"case when {number} is null then list_extract(map_extract(names, x.ref), 1) when {number} between 1 and 55295 or {number} between 57344 and 1114111 then chr(({number})::int) else chr(65533) end"
     pieces = f"list_transform(string_split(marked, '&')[2:], lambda p: {{'p': p, 'ref': regexp_extract(p, {_sql(REFERENCE)}, 1)}})"
     decoded = f"string_split(marked, '&')[1] || coalesce(array_to_string(list_transform({pieces}, lambda x: coalesce({char} || substr(x.p, length(x.ref) + 2), '&' || x.p)), ''), '')"
-    clean = rf"regexp_replace(regexp_replace({decoded}, {_sql(BLANKS)}, ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
+    clean = rf"regexp_replace(regexp_replace({decoded}, '[ \t\r\f\x0b\x{{a0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
     clean = rf"case when payload = '' then '' else regexp_replace({clean}, '^[ \n]+|[ \n]+$', '', 'g') end"
     hexed = lambda x: f"sha1(unhex('{NAMESPACE}') || encode({x}))"
     uuid = lambda x: (

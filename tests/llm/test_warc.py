@@ -11,7 +11,8 @@ from inkstone.llm import warc
 PAGE = """<!DOCTYPE html><html lang="EN"><head><title> A &amp; B
  </title><style>p{}</style><script>var t="</p>";</script></head><body><!-- x --><p>One <b>two</b>&nbsp;three &lt;tag&gt;<br/>
  line &#39;q&#39; &eacute;&#8217;&#x1F600;&nosuch;&#0; 2 < 3</p><a class=x href="/u">link</a><A HREF='v'>w</A></body></html>"""
-ROWS = [(1, "http://a/", PAGE), (2, None, "plain é text\r\n\r\n more"), (3, "http://b/", None), (4, "http://c/", ""), (1, "http://a/", PAGE), (5, "http://d/", "<p>" + "word " * 100_000), (None, "u", "<script>open"), (6, "u", "<a>b</ a>&amp;lt;")]
+ROWS = [(1, "http://a/", PAGE), (2, None, "plain é text\r\n\r\n more"), (3, "http://b/", None), (4, "http://c/", ""), (1, "http://a/", PAGE), (5, "http://d/", "<p>" + "word " * 100_000), (None, "u", "<script>open"), (6, "u", "<a>b</ a>&amp;lt;"),
+        (7, "u", "<p>word\t one\u00a0 </p>" * 700 + "<!-- a <script>x</script> --> y <style>z <!-- open <svg> <SCRIPT src=x>q</script > end"), (8, "u", "<script>a<b</style>" * 900)]
 
 
 def records(spark, rows=ROWS):
