@@ -40,37 +40,58 @@ def split_lines(text: Column) -> Column:
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
-def excerpt(text: Column, start0: Column, lead: int) -> Column:
-    """Up to 120 characters from ``lead`` before a 0-based place, with dots where text was left out."""
+def excerpt(text: Column, start0: Column, lead: int, length: Column | None = None) -> Column:
+    """Up to 120 characters from ``lead`` before a 0-based place, with dots where text was left out; ``length`` is the
+    text's, if the caller has it."""
+    length = F.length(text) if length is None else length
     start = F.greatest(F.lit(0), start0 - lead)
-    end = F.least(F.length(text), start + 120)
-    cut = strip(F.substring(text, start + 1, end - start))
-    return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(end < F.length(text), "…").otherwise(""))
+    cut = strip(F.substring(text, start + 1, F.lit(120)))
+    return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(start + 120 < length, "…").otherwise(""))
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """Matches with their 1-based code-point columns, from the lengths of the gaps and matches before them."""
+def running_sums(values: Column, block: int = 64) -> Column:
+    """The sum of the values before each value of an array; blocks keep the work far below the square of its size."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    number = lambda i: F.floor(i / block).cast("int")
 
-    def place(gaps: Column) -> Column:
-        def with_matches(found: Column) -> Column:
-            before = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
-            return F.transform(found, lambda m, i: F.struct((before(i) + 1).alias("column"), m.alias("match")))
+    def of(v: Column) -> Column:
+        numbers = F.when(F.size(v) > 0, F.sequence(F.lit(0), number(F.size(v) - 1))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(numbers, lambda b: total(F.slice(v, b * block + 1, block)))
+        starts = let(blocks, lambda s: F.transform(s, lambda _, b: total(F.slice(s, 1, b))))
+        place = lambda s, i: F.get(s, number(i)) + total(F.slice(v, number(i) * block + 1, i % block))
+        return let(starts, lambda s: F.transform(v, lambda _, i: place(s, i)))
 
-        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches)
+    return let(values, of)
 
-    return let(F.split(text, pattern, -1), place)
 
+def _places(gaps: Column, found: Column) -> Column:
+    """Structs of 1-based column, match, and whether an odd number of backticks stands before it, from gaps and matches."""
+    # Length and backticks of a piece in one number.
+    size = lambda x: F.length(x).cast("long") + F.when(x.contains("`"), (F.length(x) - F.length(F.replace(x, F.lit("`"), F.lit("")))).cast("long") * (1 << 32)).otherwise(0)
+    widths = F.zip_with(F.transform(gaps, size), F.transform(found, size), lambda g, m: F.struct(g.alias("g"), F.coalesce(m, F.lit(0)).alias("m")))
 
-def find_literal(text: Column, phrase: Column) -> Column:
-    """1-based columns of the non-overlapping places of a phrase."""
-    gaps = F.split(text, F.concat(F.lit(r"\Q"), phrase, F.lit(r"\E")), F.lit(-1))
-    at = lambda g, i: F.length(F.array_join(F.slice(g, 1, i + 1), "")) + i * F.length(phrase) + 1
-    return let(gaps, lambda g: F.transform(F.slice(g, 1, F.size(g) - 1), lambda _, i: at(g, i)))
+    def placed(w: Column) -> Column:
+        ends = running_sums(F.transform(w, lambda x: x["g"] + x["m"]))
+
+        def one(m: Column, at: Column) -> Column:
+            return F.struct((at % (1 << 32) + 1).cast("int").alias("column"), m.alias("match"), (F.floor(at / (1 << 32)) % 2 == 1).alias("coded"))
+
+        starts = F.zip_with(ends, w, lambda e, x: e + x["g"])
+        return let(starts, lambda s: F.transform(found, lambda m, i: one(m, F.get(s, i))))
+
+    return let(widths, placed)
 
 
-def inside_inline_code(line: Column, column: Column) -> Column:
-    """Whether an odd number of backticks stands up to and with a 1-based column."""
-    return F.length(F.regexp_replace(F.substring(line, F.lit(1), column), "[^`]", "")) % 2 == 1
+def find_all(text: Column, pattern: str) -> Column:
+    """Matches with their 1-based code-point columns, and whether they lie in inline code (``coded``: an odd number of
+    backticks before them)."""
+    return let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _places(gaps, found)))
+
+
+def find_literal(text: Column, phrase: Column) -> Column:
+    """The same for the non-overlapping places of a phrase."""
+    gaps = F.split(text, F.concat(F.lit(r"\Q"), phrase, F.lit(r"\E")), F.lit(-1))
+    return let(gaps, lambda g: _places(g, F.transform(F.slice(g, 2, F.size(g)), lambda _: phrase)))
 
 
 def split_sentences(text: Column) -> Column:

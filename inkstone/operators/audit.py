@@ -2,6 +2,10 @@
 
 An audit gives 24 rule results for every document. Everything up to the flat results happens inside a row, so auditing a
 table needs no shuffle; only the sums over documents do, and they combine before it.
+
+Defined results: a null text is an empty one and has 24 results without violations. Rows that repeat are audited as rows
+of their own; ``compare`` sums rows of one key. Extra columns are kept under their names, whatever they are; a column
+``rule_results`` or ``total_violations`` of the caller's gives way to the audit's. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.operators.detectors import VIOLATION, all_detectors
-from inkstone.operators.rules import CATALOGUE, note, results
+from inkstone.operators.rules import note, results
 from inkstone.operators.structure import with_structure
 
 
@@ -41,11 +45,14 @@ def results_column(mechanical_only: bool = False, judge: bool = False, severitie
 
 def audit(docs: DataFrame, text_col: str = "text", mechanical_only: bool = False, judge: bool = False, audit_only: bool = True, severities: dict[str, str] | None = None) -> DataFrame:
     """``docs`` without its text, with ``rule_results`` and ``total_violations``. ``audit_only`` changes nothing."""
-    keys = [c for c in docs.columns if c != text_col]
+    keys = [c for c in docs.columns if c not in (text_col, "rule_results", "total_violations")]
     detected = all_detectors(mechanical_only)
-    found = with_structure(docs, text_col).select(*keys, *[column.alias(_found(rule)) for (rule, _), column in detected.items()])
+    # The caller's columns travel in a struct, so none of theirs meets one of ours.
+    row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in keys]).alias("__row")
+    kept = docs.select(row, F.col(f"`{text_col}`").alias("__text"))
+    found = with_structure(kept, "__text").select("__row", *[column.alias(_found(rule)) for (rule, _), column in detected.items()])
     total = sum((F.size(f"`{_found(rule)}`") for rule, _ in detected), F.lit(0))
-    return found.select(*keys, results_column(mechanical_only, judge, severities).alias("rule_results"), total.alias("total_violations"))
+    return found.select(*[F.col(f"__row.`{c}`").alias(c) for c in keys], results_column(mechanical_only, judge, severities).alias("rule_results"), total.alias("total_violations"))
 
 
 def rule_results(audited: DataFrame) -> DataFrame:
@@ -107,8 +114,3 @@ def human_report(audited: DataFrame, file: Column, first: int = 5) -> DataFrame:
     text = F.concat(F.format_string("review %s: %d violation(s)\n", file, F.col("total_violations")), F.array_join(F.transform(hit, rule), ""), tail)
     keys = [c for c in audited.columns if c not in ("rule_results", "total_violations")]
     return audited.select(*keys, text.alias("report"))
-
-
-def rule_order() -> Column:
-    """Map from rule to its place in the catalogue."""
-    return F.create_map(*[F.lit(x) for i, (rule, _, _) in enumerate(CATALOGUE, 1) for x in (rule, i)])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import WORD, WS, excerpt, find_all, find_literal, inside_inline_code, let, lstrip, split_sentences, strip, token_count, word_count
+from inkstone.functions.chars import WORD, WS, excerpt, find_all, find_literal, let, lstrip, split_sentences, strip, token_count, word_count
 
 VIOLATION = "array<struct<line:int,column:int,excerpt:string,detail:string>>"
 
@@ -64,8 +64,9 @@ def _open(lines: Column, pattern: str) -> Column:
 
 def _matches(lines: Column, pattern: str, detail) -> Column:
     def one(x: Column) -> Column:
-        free = F.filter(find_all(x["line"], pattern), lambda m: ~inside_inline_code(x["line"], m["column"]))
-        return F.transform(free, lambda m: _violation(x["n"], m["column"], excerpt(x["line"], m["column"] - 1, 20), detail(m["match"])))
+        free = F.filter(find_all(x["line"], pattern), lambda m: ~m["coded"])
+        told = lambda m, n: _violation(x["n"], m["column"], excerpt(x["line"], m["column"] - 1, 20, n), detail(m["match"]))
+        return let(F.length(x["line"]), lambda n: F.transform(free, lambda m: told(m, n)))
 
     return F.flatten(F.transform(_open(lines, pattern), one))
 
@@ -141,8 +142,8 @@ def cliches(lines: Column) -> Column:
     def with_hits(hits: Column) -> Column:
         def phrase(p: Column) -> Column:
             def one(x: Column) -> Column:
-                free = F.filter(find_literal(F.lower(x["line"]), p), lambda c: ~inside_inline_code(x["line"], c))
-                return F.transform(free, lambda c: _violation(x["n"], c, excerpt(x["line"], c - 1, 20), F.concat(F.lit("cliché phrase '"), p, F.lit("'"))))
+                free = F.filter(find_literal(F.lower(x["line"]), p), lambda c: ~c["coded"])
+                return F.transform(free, lambda c: _violation(x["n"], c["column"], excerpt(x["line"], c["column"] - 1, 20), F.concat(F.lit("cliché phrase '"), p, F.lit("'"))))
 
             return F.flatten(F.transform(F.filter(hits, lambda x: F.lower(x["line"]).contains(p)), one))
 

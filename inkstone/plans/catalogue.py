@@ -397,7 +397,7 @@ def manifest_drift(spark, sf_dir):
     """with t as (select lang as tool, list_sort(list_distinct(list(source))) as active from documents group by lang),
     g as (select lang as tool, list_sort(list_distinct(list(source))) as covered from documents where doc_id % 3 = 0 group by lang)
     select tool, array_to_string(active, ',') as active, array_to_string(list_sort(list_filter(active, lambda x: list_contains(covered, x))), ',') as served,
-           array_to_string(list_sort(list_filter(active, lambda x: not list_contains(covered, x))), ',') as uncovered from t join g using (tool)""",
+           array_to_string(list_sort(list_filter(active, lambda x: not list_contains(covered, x))), ',') as uncovered from (select tool, active, coalesce(covered, []) as covered from t left join g using (tool))""",
 )
 def surface_coverage(spark, sf_dir):
     raw = _raw(spark, sf_dir)
@@ -408,11 +408,11 @@ def surface_coverage(spark, sf_dir):
 
 # Rule packs: each language's documents as rules of a pack.
 
-_RULE_TEXT = "substr(regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g'), 1, 60)"
+_RULE_TEXT = "regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g')"
 
 
 def _packs(spark, sf_dir) -> DataFrame:
-    rows = _raw(spark, sf_dir).select("doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " "), 1, 60).alias("t"), "lang")
+    rows = _raw(spark, sf_dir).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " ").alias("t"), "lang")
     rule = lambda k, sev: F.concat(
         F.lit(f"#### RULE-{k}: Title {k} of "), "lang", F.lit(f"  \n\n- **severity**: {sev}\n- **scope**: all of "), "lang",
         F.lit("\n- **source**: own\n\n##### Directive\n\n"), "t", F.lit("\n\n##### BAD → GOOD\n\n- BAD: one "), "lang", F.lit("\n- GOOD: two\n- BAD: three\n\n##### Rationale for AI Agent\n\nBecause "), "lang", F.lit(".\n\n"),
@@ -467,11 +467,11 @@ def matrix_text(spark, sf_dir):
     return benchmark.matrix_lines(counts, _LANGS)
 
 
-@_register("task_file_scan", "select 'file-' || lang as file, 'task-' || doc_id as task, substr(regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g'), 1, 60) || chr(10) || lang as prompt from documents")
+@_register("task_file_scan", "select 'file-' || lang as file, 'task-' || doc_id as task, regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g') || chr(10) || lang as prompt from documents")
 def task_file_scan(spark, sf_dir):
-    rows = _raw(spark, sf_dir).select("lang", "doc_id", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " "), 1, 60).alias("t"))
+    rows = _raw(spark, sf_dir).select("lang", "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " ").alias("t"))
     one = F.concat(F.lit('<task id="task-'), F.col("doc_id").cast("string"), F.lit('">\n<prompt>\n'), "t", F.lit("\n"), "lang", F.lit("\n</prompt>\n</task>\n"))
-    files = rows.groupBy("lang", F.pmod("doc_id", F.lit(50)).alias("part")).agg(F.array_join(F.sort_array(F.collect_list(one)), "\n").alias("text"))
+    files = rows.groupBy("lang", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.array_join(F.sort_array(F.collect_list(one)), "\n").alias("text"))
     return benchmark.scan_tasks(files.select(F.concat(F.lit("file-"), "lang").alias("file"), F.concat(F.lit("# Tasks\n\n"), "text").alias("text")))
 
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from inkstone.operators import scorecard as sc
 
-TASK = r'(?s)<task id="([^"]+)">(?:(?!</task>).)*?<prompt>[^\n]*\n(.*?)\n?[^\n]*</prompt>'
+TASK = r'(?s)<task id="([^"]+)">(?:(?!</task>).)*?<prompt>[^\n]*\n(.*?)</prompt>'
 
 
 def scan_tasks(files: DataFrame) -> DataFrame:
-    """``file, task, prompt`` of ``<task id="..."><prompt>`` blocks."""
-    each = F.arrays_zip(F.regexp_extract_all("text", F.lit(TASK), F.lit(1)).alias("task"), F.regexp_extract_all("text", F.lit(TASK), F.lit(2)).alias("prompt"))
+    """``file, task, prompt`` of ``<task id="..."><prompt>`` blocks: the lines between the two lines with the marks."""
+    lines = lambda x: F.substring(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, "\n", -1)) - 1)
+    prompts = F.transform(F.regexp_extract_all("text", F.lit(TASK), F.lit(2)), lines)
+    each = F.arrays_zip(F.regexp_extract_all("text", F.lit(TASK), F.lit(1)).alias("task"), prompts.alias("prompt"))
     return files.select("file", F.inline(each))
 
 

@@ -42,8 +42,9 @@ def drift(manifest: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def coverage(targets: DataFrame, covered: DataFrame) -> DataFrame:
-    """``tool, active, served, uncovered``: sorted surfaces of each tool, those that are covered and those that are not."""
-    rows = targets.join(covered, "tool")
+    """``tool, active, served, uncovered``: sorted surfaces of each tool, those that are covered and those that are not;
+    of a tool without a row of cover, or a null one, none is covered."""
+    rows = targets.join(covered, "tool", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
     text = lambda x: F.array_join(F.array_sort(x), ",")
     return rows.select("tool", text(F.col("active")).alias("active"), text(F.array_intersect("active", "covered")).alias("served"), text(F.array_except("active", "covered")).alias("uncovered"))
 

@@ -112,3 +112,37 @@ def test_reports(spark):
     got = canonical_json(audited, F.lit("f.md")).first().review_json
     assert got == json.dumps(json.loads(got), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
     assert json.loads(got)["total_violations"] == 7 and len(json.loads(got)["rule_results"]) == 24
+
+
+def test_a_line_of_very_many_matches(spark):
+    import time
+
+    from inkstone.operators.audit import audit
+
+    docs = spark.createDataFrame([(1, "don't " * 10_000)], "doc_id long, text string")
+    began = time.time()
+    assert audit(docs).first().total_violations >= 10_000
+    assert time.time() - began < 60
+
+
+def test_places_equal_plain_search(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from inkstone.functions.chars import find_all, find_literal
+
+    texts = ["", "ab", "a" * 300, "`a` a `a", "😀a`é" * 150, "xx"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(find_all(F.col("t"), "a").alias("x"), find_literal(F.col("t"), F.lit("a")).alias("y")).collect()
+    for t, r in zip(texts, rows, strict=True):
+        want = [(m.start() + 1, "a", t[: m.start()].count("`") % 2 == 1) for m in re.finditer("a", t)]
+        assert [tuple(v) for v in r.x] == want == [tuple(v) for v in r.y]
+
+
+def test_columns_of_the_caller_are_kept(spark):
+    from inkstone.operators.audit import audit
+
+    docs = spark.createDataFrame([(1, 7, "p", 2.5, "It's."), (1, 7, "p", 2.5, "It's."), (2, None, None, None, None)], "doc_id long, lines int, paras string, `__RULE-B` double, text string")
+    got = audit(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.lines, r.paras, r["__RULE-B"], r.total_violations) for r in got] == [(1, 7, "p", 2.5, 1), (1, 7, "p", 2.5, 1), (2, None, None, None, 0)]
+    assert audit(docs.limit(0)).count() == 0

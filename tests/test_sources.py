@@ -160,3 +160,20 @@ def test_stream_audits_each_file_once(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() == 48
     assert {r["rule"]: r["n"] for r in rows.groupBy("rule").agg(F.sum("count").alias("n")).where("n > 0").collect()} == {"RULE-B": 1, "RULE-I": 2}
+
+
+def test_coverage_of_tools_without_cover(spark):
+    from inkstone.sources import registry
+
+    targets = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z"]), ("c", ["w"])], "tool string, active array<string>")
+    covered = spark.createDataFrame([("a", ["y", "q"]), ("c", None)], "tool string, covered array<string>")
+    got = {r.tool: (r.active, r.served, r.uncovered) for r in registry.coverage(targets, covered).collect()}
+    assert got == {"a": ("x,y", "y", "x"), "b": ("z", "", "z"), "c": ("w", "", "w")}
+
+
+def test_prompts_are_the_lines_between_the_marks(spark):
+    from inkstone.sources import benchmark
+
+    text = '<task id="a">\n<prompt>\none\n\ntwo\n  </prompt>\n</task>\n<task id="b">\n<prompt>\n</prompt>\n</task>\n<task id="c">\n<prompt>\n' + "w " * 100_000 + "\n</prompt>\n</task>\n"
+    got = {r.task: r.prompt for r in benchmark.scan_tasks(spark.createDataFrame([("f", text)], "file string, text string")).collect()}
+    assert got == {"a": "one\n\ntwo", "b": "", "c": "w " * 100_000}
