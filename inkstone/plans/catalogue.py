@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,8 @@ from inkstone.plans.dressing import dressed, dressed_sql
 from inkstone.plans.oracle import COUNTED_WORD, DRAFTS, SCORES, lit, prelude, sentences
 from inkstone.plans.oracle import excerpt as excerpt_sql
 from inkstone.plans.oracle import strip as strip_sql
-from inkstone.sources import benchmark, registry, rulepack
-from inkstone.runtime import table
+from inkstone.runtime import ensure_checkpoint_dir, table
+from inkstone.sources import benchmark, documents, registry, rulepack
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -406,18 +408,151 @@ def surface_coverage(spark, sf_dir):
     return registry.coverage(targets, covered)
 
 
-# Rule packs: each language's documents as rules of a pack.
+@_register(
+    "uncovered_targets",
+    """with files as (select lang || '/' || source || '/' || doc_id || '.md' as path, doc_id from documents), listed as (select path from files where doc_id % 9 = 0),
+    t as (select doc_id as tool, case doc_id % 3 when 0 then lang || '/' || source || '/' || doc_id || '.md' when 1 then lang || '/' || source || '/' else lang || '/' || doc_id end as target_path from documents),
+    u as (select *, regexp_replace(target_path, '/+$', '') as x from t)
+    select tool, target_path from u where exists (select 1 from files f where f.path = x or starts_with(f.path, x || '/')) and not exists (select 1 from listed f where f.path = x or starts_with(f.path, x || '/'))""",
+)
+def uncovered_targets(spark, sf_dir):
+    rows = _raw(spark, sf_dir)
+    ident = F.col("doc_id").cast("string")
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), ident, F.lit(".md"))
+    target = F.when(F.col("doc_id") % 3 == 0, path).when(F.col("doc_id") % 3 == 1, F.concat("lang", F.lit("/"), "source", F.lit("/"))).otherwise(F.concat("lang", F.lit("/"), ident))
+    files = rows.select(path.alias("path"), "doc_id")
+    return registry.uncovered_targets(rows.select(F.col("doc_id").alias("tool"), target.alias("target_path")), files.select("path"), files.where("doc_id % 9 = 0").select("path"))
+
+
+@_register(
+    "tool_registry",
+    """select doc_id::varchar as name, case when doc_id % 6 = 2 and doc_id % 4 >= 2 then 'target_path' else '' end as missing,
+    case when doc_id % 6 = 4 and doc_id % 3 = 1 then 'adapter_source' else '' end as unwanted from documents""",
+)
+def tool_registry(spark, sf_dir):
+    """Registry files of 1,000 tools each, written and scanned again, and the fields that a tool's mode asks for."""
+    k = F.col("doc_id")
+    mode = F.element_at(F.array(*map(F.lit, registry.MODES)), (k % 6 + 1).cast("int"))
+    tool = F.struct(k.cast("string").alias("name"), mode.alias("install_mode"), F.when(k % 4 < 2, F.col("source")).alias("target_path"), F.when(k % 3 == 1, F.col("lang")).alias("adapter_source"))
+    files = _raw(spark, sf_dir).groupBy(F.floor(k / 1000).alias("part")).agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list(tool).alias("tools"))).alias("text"))
+    path = f"{ensure_checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    documents.write_texts(files, path, rows_per_file=1)
+    found = registry.check_tools(registry.read_tools(spark, path), {"owned-file": ["target_path"]}, {"print-only": ["adapter_source"]})
+    return found.select("name", F.array_join("missing", ",").alias("missing"), F.array_join("unwanted", ",").alias("unwanted"))
+
+
+@_register(
+    "plan_actions",
+    """select doc_id // 50 as plan, sha256('[' || string_agg('{"content_sha256_after":"' || sha256(coalesce(text, '')) || '","content_sha256_before":' || case when doc_id % 2 = 0 then '"' || sha256(source) || '"' else 'null' end
+      || ',"op":"' || case when doc_id % 2 = 0 then 'write' else 'create' end || '","order":' || (doc_id % 50) || ',"path":"' || lang || '/' || doc_id || '"}', ',' order by lang || '/' || doc_id) || ']') as digest
+    from documents group by plan""",
+)
+def plan_actions(spark, sf_dir):
+    even = F.col("doc_id") % 2 == 0
+    rows = _raw(spark, sf_dir).select(
+        F.floor(F.col("doc_id") / 50).alias("plan"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.when(even, "write").otherwise("create").alias("op"),
+        (F.col("doc_id") % 50).alias("order"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256_after"), F.when(even, F.sha2("source", 256)).alias("content_sha256_before"),
+    )
+    return registry.actions_json(rows).select("plan", F.sha2("actions_json", 256).alias("digest"))
+
+
+@_register(
+    "manifest_faults",
+    """select doc_id, case doc_id % 9 when 0 then null when 1 then 'no JSON' when 2 then 'no object' when 3 then 'entries is no list' when 4 then 'entry 1 is no object'
+      when 5 then 'entry 1 has no path' when 6 then 'entry 1 has another kind than file' when 7 then 'entry 1 has no valid sha256' end as error from documents""",
+)
+def manifest_faults(spark, sf_dir):
+    entry = lambda path='"b"', kind="file", more="": F.concat(F.lit(f'{{"path":{path},"kind":"{kind}","sha256":"'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(f'{more}"}}'))
+    whole = lambda second: F.concat(F.lit('{"entries":['), entry('"a"'), F.lit(","), second, F.lit("]}"))
+    texts = [whole(entry()), F.lit('{"entries":['), F.lit("[1]"), F.lit('{"entries":{}}'), whole(F.lit('"x"')), whole(entry("7")), whole(entry(kind="dir")), whole(entry(more="0")), F.lit('{"entries":[]}')]
+    text = F.element_at(F.array(*texts), (F.col("doc_id") % 9 + 1).cast("int"))
+    return registry.manifest_errors(_raw(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id")
+
+
+# Text files and line ends.
+
+
+@_register(
+    "normalised_texts",
+    """select doc_id, sha256(case when ends_with(x, chr(10)) then x else x || chr(10) end) as read_digest, sha256(regexp_replace(x, '\n+$', '') || chr(10)) as written_digest
+    from (select doc_id, replace(coalesce(text, ''), '. ', '.' || chr(10)) || case doc_id % 3 when 0 then '' when 1 then chr(10) || chr(10) else chr(10) end as x from documents)""",
+)
+def normalised_texts(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    text = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\r\n")), F.when(k == 0, "").when(k == 1, "\r\r\n").otherwise("\n"))
+    digest = lambda x, name: F.sha2(x, 256).alias(name)
+    return _raw(spark, sf_dir).select("doc_id", digest(documents.normalised_source(text), "read_digest"), digest(documents.lf_text(text), "written_digest"))
+
+
+@_register(
+    "text_files",
+    """select lang, sum(len(x) - len(replace(x, chr(10), '')) + 1)::bigint as n_lines, sum(strlen(x) + 1)::bigint as n_bytes, count(*)::bigint as n_texts
+    from (select lang, regexp_replace(coalesce(text, ''), '\n+$', '') as x from documents) group by lang""",
+)
+def text_files(spark, sf_dir):
+    """Texts written in files of up to 500, a folder for each language, then scanned and listed."""
+    path = f"{ensure_checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
+    rows = _raw(spark, sf_dir).select("lang", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    documents.write_texts(rows, path, by=["lang"], rows_per_file=500)
+    lang = F.regexp_extract("file", r"/lang=([^/]+)/", 1)
+    lines = documents.read_texts(spark, path).groupBy(lang.alias("lang")).agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n")))).alias("n_lines"))
+    size = documents.read_tree(spark, path, "*.txt").groupBy(lang.alias("lang")).agg(F.sum("length").alias("n_bytes"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_texts")).join(lines, "lang").join(size, "lang").select("lang", "n_lines", "n_bytes", "n_texts")
+
+
+# Rule packs: each document as the directive of a pack's rules.
 
 _RULE_TEXT = "regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g')"
+_RULE = """#### RULE-{k}: Title {k} of {lang}  \n
+- **severity**: {sev}
+- **scope**: all of {lang}
+- **source**: own
+
+##### Directive
+
+{t}
+
+##### BAD → GOOD
+
+- GOOD: too early
+```
+- BAD: in a fence
+```
+- BAD: one {lang}
+  goes on
+- GOOD: two
+
+  goes on
+
+- BAD: three
+
+##### Rationale for AI Agent
+
+Because {lang}.
+
+"""
+_PACK = "<!-- head -->\n# Pack\n\nIntro.\n\n" + _RULE.replace("{k}", "01").replace("{sev}", "Critical") + _RULE.replace("{k}", "A").replace("{sev}", "low extra")
+_PACK_END = "## Last part\n\nStays.\n\n```\n#### RULE-99: in a fence\n```\n"
+_SHORT = "#### RULE-{k}: Title {k} of {lang}  \n\n##### Directive\n\n{t}\n\n##### BAD → GOOD\n\n- BAD: one {lang}\n  goes on\n- GOOD: two\n\n  goes on\n\n"
+_SHORT_PACK = "<!-- head -->\n# Pack\n\nIntro.\n\n" + _SHORT.replace("{k}", "01") + _SHORT.replace("{k}", "A") + _PACK_END
+
+
+def _filled(template: str):
+    """A template with a row's language and text, as a Column."""
+    return F.concat(*[F.col(x[1:-1]) if x in ("{lang}", "{t}") else F.lit(x) for x in re.split(r"(\{lang\}|\{t\})", template) if x])
+
 
+def _filled_sql(template: str) -> str:
+    parts = [x[1:-1] if x in ("{lang}", "{t}") else " || chr(10) || ".join(lit(line) for line in x.split("\n")) for x in re.split(r"(\{lang\}|\{t\})", template) if x]
+    return " || ".join(parts)
 
-def _packs(spark, sf_dir) -> DataFrame:
+
+_PACK_ROWS = f"(select doc_id, lang, {_RULE_TEXT} as t from documents)"
+
+
+def _packs(spark, sf_dir, template: str = _PACK) -> DataFrame:
     rows = _raw(spark, sf_dir).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " ").alias("t"), "lang")
-    rule = lambda k, sev: F.concat(
-        F.lit(f"#### RULE-{k}: Title {k} of "), "lang", F.lit(f"  \n\n- **severity**: {sev}\n- **scope**: all of "), "lang",
-        F.lit("\n- **source**: own\n\n##### Directive\n\n"), "t", F.lit("\n\n##### BAD → GOOD\n\n- BAD: one "), "lang", F.lit("\n- GOOD: two\n- BAD: three\n\n##### Rationale for AI Agent\n\nBecause "), "lang", F.lit(".\n\n"),
-    )
-    return rows.select("doc_id", F.concat(F.lit("<!-- head -->\n# Pack\n\nIntro.\n\n"), rule("01", "Critical"), rule("A", "low extra")).alias("text"))
+    return rows.select("doc_id", "lang", _filled(template).alias("text"))
 
 
 @_register(
@@ -430,15 +565,47 @@ def rulepack_parse(spark, sf_dir):
     return rulepack.parse(_packs(spark, sf_dir), "doc_id")
 
 
+@_register("rulepack_compact", f"select doc_id, 2 as rules, 0 as errors, sha256({_filled_sql(_SHORT_PACK)}) as digest from {_PACK_ROWS}")
+def rulepack_compact(spark, sf_dir):
+    done = rulepack.compact(_packs(spark, sf_dir, _PACK + _PACK_END), "doc_id")
+    return done.select("doc_id", "rules", F.size("errors").alias("errors"), F.sha2("compact", 256).alias("digest"))
+
+
 @_register(
-    "rulepack_compact",
-    f"""select doc_id, 2 as rules, sha256('<!-- head -->' || chr(10) || '# Pack' || chr(10) || chr(10) || 'Intro.' || chr(10) || chr(10) || string_agg(
-      '#### RULE-' || id || ': Title ' || id || ' of ' || lang || chr(10) || chr(10) || '##### Directive' || chr(10) || chr(10) || regexp_replace({_RULE_TEXT}, '^ +| +$', '', 'g') || chr(10) || chr(10)
-      || '- BAD: one ' || lang || chr(10) || '- GOOD: two' || chr(10), chr(10) order by k)) as digest
-    from documents cross join (values (1, '01'), (2, 'A')) as r(k, id) group by doc_id""",
+    "rulepack_headings",
+    f"""with texts as (select doc_id, {_filled_sql(_PACK + _PACK_END)} as text from {_PACK_ROWS}),
+    lines as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from texts),
+    f as (select *, sum((t like '```%')::int) over (partition by doc_id order by line) % 2 as inside from lines)
+    select doc_id, line::int as line, length(regexp_extract(t, '^#+'))::int as level, trim(regexp_replace(t, '^#+', '')) as title from f where inside = 0 and regexp_matches(t, '^#{{1,6}} ')""",
 )
-def rulepack_compact(spark, sf_dir):
-    return rulepack.compact(_packs(spark, sf_dir), "doc_id").select("doc_id", "rules", F.sha2("compact", 256).alias("digest"))
+def rulepack_headings(spark, sf_dir):
+    return rulepack.headings(_packs(spark, sf_dir, _PACK + _PACK_END), "doc_id")
+
+
+@_register(
+    "rulepack_checks",
+    """select doc_id, case doc_id % 4 when 0 then '' when 1 then 'a rationale is left' when 2 then 'line ends' else 'number of rules,number of directives' end as problems, doc_id % 4 <> 3 as complete from documents""",
+)
+def rulepack_checks(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    packs = _packs(spark, sf_dir).withColumn("text", F.when(k == 3, F.replace("text", F.lit("#### RULE-A:"), F.lit("#### OTHER-A:"))).otherwise(F.col("text")))
+    short = rulepack.compact(_packs(spark, sf_dir), "doc_id").select("doc_id", F.concat("compact", F.when(k == 1, "##### Rationale\n").when(k == 2, "\n").when(k == 3, "\n#### RULE-B: more\n##### Directive\n").otherwise("")).alias("compact"))
+    problems = rulepack.check_compact(short, 2).select("doc_id", F.array_join("problems", ",").alias("problems"))
+    return problems.join(rulepack.check_depth(packs, 2).select("doc_id", "complete"), "doc_id")
+
+
+@_register("rulepack_alias", f"select doc_id, sha256('note ' || lang || chr(10) || chr(10) || {_filled_sql(_PACK.removeprefix('<!-- head -->' + chr(10)))}) as digest, false as before, true as after from {_PACK_ROWS}")
+def rulepack_alias(spark, sf_dir):
+    alias = F.concat(F.lit("note "), "lang", F.lit("\n\n# Old title\n\nOld text.\n"))
+    rows = _packs(spark, sf_dir).select("doc_id", "text", alias.alias("alias")).withColumn("fresh", rulepack.refresh_alias(F.col("alias"), F.col("text")))
+    return rows.select("doc_id", F.sha2("fresh", 256).alias("digest"), rulepack.same_tail(F.col("alias"), F.col("text")).alias("before"), rulepack.same_tail(F.col("fresh"), F.col("text")).alias("after"))
+
+
+@_register("rulepack_outputs", "select doc_id::varchar as path, case when doc_id % 7 = 0 then 'missing' when doc_id % 5 = 0 then 'out of date' else 'current' end as state from documents")
+def rulepack_outputs(spark, sf_dir):
+    fresh = rulepack.compact(_packs(spark, sf_dir), "doc_id").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("compact").alias("text"))
+    old = fresh.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("old\n"))).otherwise(F.col("text")).alias("text"))
+    return registry.output_states(fresh.select("path", "text"), old)
 
 
 # Benchmark files: written from scorecards, then read again.

@@ -1,4 +1,8 @@
-"""Text files in and out."""
+"""Text files in and out.
+
+Defined results: Spark's file sources leave out files without a byte, so an empty file gives no row, neither in texts nor
+in listings. Repeated texts are written and read as often as they stand; an empty table writes no file.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +14,16 @@ TEXTS = T.StructType([T.StructField("file", T.StringType()), T.StructField("text
 
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, text`` of whole files with LF line ends; a path that does not exist is an error."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
+    """``file, text`` of whole files with LF line ends; a path that does not exist and bytes that are no UTF-8 are errors."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.col("path").alias("file"), F.regexp_replace(F.validate_utf8(F.col("content").cast("string")), r"\r\n?", "\n").alias("text"))
 
 
-def read_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``file, sha256, length`` of all files below a folder."""
+def read_tree(spark: SparkSession, path: str, pattern: str = "*", ordered: bool = False) -> DataFrame:
+    """``file, sha256, length`` of all files below a folder; ``ordered`` sorts the listing by file, after hashing."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return rows.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    listed = rows.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    return listed.orderBy("file") if ordered else listed
 
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +44,9 @@ def lf_text(text: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n+\z", ""), F.lit("\n"))
 
 
-def write_texts(rows: DataFrame, path: str, text_col: str = "text", by: list[str] | None = None) -> None:
-    """Texts with LF line ends, each ended by exactly one; files lie in a folder for each value of ``by``."""
+def write_texts(rows: DataFrame, path: str, text_col: str = "text", by: list[str] | None = None, rows_per_file: int = 0) -> None:
+    """Texts with LF line ends, each ended by exactly one; files lie in a folder for each value of ``by`` and hold at most
+    ``rows_per_file`` texts (0: as many as a task has). A null text is written as an empty line."""
     out = rows.select(*(by or []), F.regexp_replace(lf_text(F.col(text_col)), r"\n\z", "").alias("value")).write
+    out = out.option("maxRecordsPerFile", rows_per_file)
     (out.partitionBy(*by) if by else out).text(path)  # the writer adds the last line end

@@ -1,4 +1,9 @@
-"""Rule packs: find the file, parse its rules, render the compact form, check it."""
+"""Rule packs: find the file, parse its rules, render the compact form, check it.
+
+Work happens inside the row, so packs of any number need no shuffle. Defined results: a null or empty text has no rules
+and no headings; repeated rows give repeated results; columns beside the key and ``text`` are left out, whatever their
+names, except in the checks, which keep them.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +51,8 @@ def _directive(block: Column) -> Column:
 
 
 def parse(packs: DataFrame, key: str = "file") -> DataFrame:
-    """``key, ord, rule, title, severity, scope, source, directive, rationale``; a missing field is the empty string."""
+    """``key, ord, rule, title, severity, scope, source, directive, rationale``; a missing field is the empty string, and
+    so is a directive that no further heading of level 5 follows."""
     block = F.col("block")
     return _blocks(packs, key).select(
         key,
@@ -61,20 +67,69 @@ def parse(packs: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
-def compact(packs: DataFrame, key: str = "file") -> DataFrame:
-    """``key, rules, compact``: what stands before the first rule, then each rule's heading, directive and first pair."""
-    first = lambda block, word: F.regexp_extract(block, rf"(?m)^-[ \t]*{word}[^:\n]*:[^\n]*$", 0)
+_MARK = "\ufdd0"
+_PAIR = r"(?msd)\A(?>.*?^(?=- BAD))(.*?^- GOOD.*?)(?=^- BAD|^- GOOD|\z)"
+
+
+def _fences_marked(text: Column) -> Column:
+    """``text`` behind a line end, with the noncharacter U+FDD0 before each line from an opening ``` to its closing one,
+    so that line patterns pass them by. (U+FDD0 itself, which no interchanged text holds, is taken out first.)"""
+    pieces = F.split(F.concat(F.lit("\n"), F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK))), r"(?md)(?=^[ \t]*```)", -1)
+    return F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.regexp_replace(p, r"(?md)^(?=.)", _MARK)).otherwise(p)), "")
+
+
+def _no_blank_end(text: Column) -> Column:
+    return F.regexp_replace(text, r"\n+\z", "")
+
 
-    def short(b: Column) -> Column:
-        return F.concat(
-            F.regexp_replace(F.regexp_extract(b, HEADING, 0), rf"[{WS}]+$", ""), F.lit("\n\n##### Directive\n\n"), _directive(b), F.lit("\n\n"),
-            first(b, "BAD"), F.lit("\n"), first(b, "GOOD"), F.lit("\n"),
-        )
+def headings(packs: DataFrame, key: str = "file") -> DataFrame:
+    """``key, line, level, title``: headings of one to six ``#`` outside of ``` fences; lines count from 1, closing ``#``
+    and blanks around a title go. A null text has none; repeated rows give repeated headings."""
+    lines = packs.select(key, F.posexplode(F.split(_fences_marked(F.col("text")), "\n", -1)).alias("line", "t"))
+    heading = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
+    found = lines.where(F.col("t").rlike(heading))
+    return found.select(key, "line", F.length(F.regexp_extract("t", heading, 1)).alias("level"), F.regexp_extract("t", heading, 2).alias("title"))
 
-    parts = F.split("text", _BEFORE_RULE, -1)
-    rules = F.filter(parts, lambda b: b.rlike(rf"^####[{WS}]+RULE-"))
-    head = F.when(F.get(parts, F.lit(0)).rlike(rf"^####[{WS}]+RULE-"), "").otherwise(F.get(parts, F.lit(0)))
-    return packs.select(key, F.size(rules).alias("rules"), F.concat(head, F.array_join(F.transform(rules, short), "\n")).alias("compact"))
+
+def compact(packs: DataFrame, key: str = "file", intro: str | None = None) -> DataFrame:
+    """``key, rules, compact, errors``: the short form of packs, by headings outside of ``` fences.
+
+    What stands before the first heading of level 2 to 4 stays (with ``intro``: up to the title's line, then ``intro``);
+    sections of level 2 and 3 stay whole, wherever they stand; of a rule (level 4) its heading, its directive and its
+    first complete pair stay: the first BAD line and all up to the end of the first GOOD item behind it, continuation
+    lines included, lines in fences not looked at.
+
+    Defined results: ``errors`` names a missing title, directive or pair and headings of level 4 that are no rule (they
+    stay as they are). A null or empty text gives one line end and the error of the title. Repeated rows are repeated.
+    """
+    opens = lambda section, pattern: section.rlike(rf"(?d)\A {{0,3}}{pattern}")
+    first_line = lambda x: F.substring_index(x, "\n", 1)
+    is_rule = lambda s: opens(s, r"####[ \t]+RULE-")
+    part = lambda s, pattern: F.coalesce(F.get(F.filter(F.split(s, r"(?md)(?=^ {0,3}#####[ \t])", -1), lambda x: opens(x, pattern)), F.lit(0)), F.lit(""))
+    directive = lambda s: _no_blank_end(part(s, r"#####[ \t]+Directive[ \t]*(?:\n|\z)"))
+    pairs = lambda s: part(s, r"#####[ \t](?=[^\n]*BAD)(?=[^\n]*GOOD)")
+    pair = lambda s: _no_blank_end(F.regexp_extract(pairs(s), _PAIR, 1))
+    joined = lambda xs: F.array_join(F.filter(xs, lambda x: x != ""), "\n\n")
+
+    def problems(s: Column) -> Column:
+        named = lambda bad, what: F.when(bad, F.concat(first_line(s), F.lit(f": {what}")))
+        rule = F.array(named(directive(s) == "", "no directive"), named(pair(s) == "", "no pair"))
+        return F.when(is_rule(s), rule).when(opens(s, r"####[ \t]"), F.array(named(F.lit(True), "no rule"))).otherwise(F.array().cast("array<string>"))
+
+    parts = packs.select(key, F.split(_fences_marked(F.col("text")), r"(?md)(?=^ {0,3}#{2,4}[ \t])", -1).alias("parts"))
+    head = F.substring(F.get("parts", F.lit(0)), F.lit(2), F.length(F.get("parts", F.lit(0))))
+    title = r"(?sd)\A((?:.*?\n)?? {0,3}#[ \t][^\n]*)"
+    start = _no_blank_end(head) if intro is None else F.concat(F.regexp_extract(head, title, 1), F.lit(f"\n\n{intro}"))
+    split = parts.select(key, head.alias("head"), start.alias("start"), F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))).alias("sections"))
+    short = lambda s: F.when(is_rule(s), joined(F.array(first_line(s), directive(s), first_line(pairs(s)), pair(s)))).otherwise(_no_blank_end(s))
+    text = joined(F.concat(F.array("start"), F.transform("sections", short)))
+    errors = F.concat(F.array(F.when(~F.col("head").rlike(title), "no title")), F.flatten(F.transform("sections", problems)))
+    return split.select(
+        key,
+        F.size(F.filter("sections", is_rule)).alias("rules"),
+        F.concat(_no_blank_end(F.replace(text, F.lit(_MARK))), F.lit("\n")).alias("compact"),
+        F.filter(errors, lambda e: e.isNotNull()).alias("errors"),
+    )
 
 
 def check_compact(compacted: DataFrame, rules: int = 21) -> DataFrame:

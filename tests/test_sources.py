@@ -177,3 +177,116 @@ def test_prompts_are_the_lines_between_the_marks(spark):
     text = '<task id="a">\n<prompt>\none\n\ntwo\n  </prompt>\n</task>\n<task id="b">\n<prompt>\n</prompt>\n</task>\n<task id="c">\n<prompt>\n' + "w " * 100_000 + "\n</prompt>\n</task>\n"
     got = {r.task: r.prompt for r in benchmark.scan_tasks(spark.createDataFrame([("f", text)], "file string, text string")).collect()}
     assert got == {"a": "one\n\ntwo", "b": "", "c": "w " * 100_000}
+
+
+FENCED = """pre
+# Pack
+
+Intro.
+
+## Part
+
+Stays.
+
+```
+#### RULE-77: in a fence
+- BAD: no
+```
+
+#### RULE-01: One
+- **severity**: low
+
+##### BAD → GOOD
+
+- GOOD: early
+```
+- BAD: fenced
+```
+- BAD: one
+  more
+
+- GOOD: two
+```
+- BAD: inside
+```
+
+- GOOD: three
+
+##### Directive
+
+Do.
+
+
+### Between
+
+Stays too.
+
+#### Other
+
+#### RULE-A: Two
+##### Directive
+
+Last."""
+
+
+def test_compact_keeps_sections_and_the_first_complete_pair(spark):
+    row = rulepack.compact(frame(spark, file="f", text=FENCED)).first()
+    assert row.rules == 2 and row.errors == ["#### Other: no rule", "#### RULE-A: Two: no pair"]
+    assert row.compact == (
+        "pre\n# Pack\n\nIntro.\n\n## Part\n\nStays.\n\n```\n#### RULE-77: in a fence\n- BAD: no\n```\n\n#### RULE-01: One\n\n##### Directive\n\nDo.\n\n##### BAD → GOOD\n\n"
+        "- BAD: one\n  more\n\n- GOOD: two\n```\n- BAD: inside\n```\n\n### Between\n\nStays too.\n\n#### Other\n\n#### RULE-A: Two\n\n##### Directive\n\nLast.\n"
+    )
+    assert rulepack.compact(frame(spark, file="f", text=FENCED), intro="Short.").first().compact.startswith("pre\n# Pack\n\nShort.\n\n## Part\n")
+    found = [(r.line, r.level, r.title) for r in rulepack.headings(frame(spark, file="f", text="# A #\n\n```\n# no\n```\n  ##   B\n#no\n###\n")).orderBy("line").collect()]
+    assert found == [(1, 1, "A"), (6, 2, "B"), (8, 3, "")]
+
+
+def test_compact_of_odd_packs(spark):
+    texts = [None, "", "no title", "```\n# open", "#### RULE-01: x\n##### BAD GOOD\n- GOOD: a\n" + "- BAD: b\n" * 20_000]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts + texts[:1])], "file int, text string, rules string")
+    got = {r.file: (r.rules, r.errors) for r in rulepack.compact(rows).collect()}
+    assert got == {0: (0, ["no title"]), 1: (0, ["no title"]), 2: (0, ["no title"]), 3: (0, ["no title"]), 4: (1, ["no title", "#### RULE-01: x: no directive", "#### RULE-01: x: no pair"]), 5: (0, ["no title"])}
+    assert rulepack.compact(rows.limit(0)).count() == 0 == rulepack.headings(rows.limit(0)).count()
+
+
+def test_bytes_that_are_no_utf8_are_an_error(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"")
+    (tmp_path / "b.md").write_bytes("ü\r\n".encode())
+    assert sorted(r.text for r in documents.read_texts(spark, str(tmp_path)).collect()) == ["ü\n"]
+    assert [r.file.rsplit("/", 1)[1] for r in documents.read_tree(spark, str(tmp_path), ordered=True).collect()] == ["b.md"]
+    (tmp_path / "a.md").write_bytes(b"a\r")
+    assert [r.file.rsplit("/", 1)[1] for r in documents.read_tree(spark, str(tmp_path), ordered=True).collect()] == ["a.md", "b.md"]
+    (tmp_path / "c.md").write_bytes(b"a\xff")
+    with pytest.raises(Exception, match="UTF8"):
+        documents.read_texts(spark, str(tmp_path)).collect()
+
+
+def test_matrix_with_the_detail_of_models(spark):
+    counts = spark.createDataFrame(COUNTS, "runner string, task string, generation int, condition string, rule string, n long")
+    cards = benchmark.render_scorecards(counts, "1", 2)
+    text = benchmark.render_matrix(counts, ["r1", "r2"], "1", cards).first().text
+    detail = text[text.index("<details>") : text.index("</details>")]
+    assert "### r1\n\n- Runner: r1" in detail and "| t1 | 5 | 10 | 5 | RULE-12 |" in detail and detail.index("### r1") < detail.index("### r2") and "\n# " not in detail
+
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        (None, None), ("{", "no JSON"), ("3", "no object"), ("{}", "entries is no list"), ('{"entries":null}', "entries is no list"), ('{"entries":[]}', None), ('{"entries":[null]}', "entry 0 is no object"),
+        ('{"entries":[{"path":""}]}', "entry 0 has no path"), ('{"entries":[{"path":"a"}]}', "entry 0 has another kind than file"), ('{"entries":[{"path":"a","kind":"file","sha256":"0A"}]}', "entry 0 has no valid sha256"),
+        ('{"entries":[{"path":"a","kind":"file","sha256":"%s"}, 1]}' % ("0a" * 32), "entry 1 is no object"), ('{"entries":[{"path":"a","kind":"file","sha256":"%s"}]}' % ("0a" * 32), None),
+    ],
+)
+def test_faults_of_manifests(spark, text, error):
+    assert registry.manifest_errors(spark.createDataFrame([("f", text)], "file string, text string")).first().error == error
+
+
+def test_targets_and_outputs(spark):
+    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    targets = spark.createDataFrame([("t", "a/b"), ("t", "c/"), ("t", "d.md"), ("u", "e"), ("u", None)], "tool string, target_path string")
+    got = registry.uncovered_targets(targets, paths("a/b/x.md", "a/bc", "c/y/z.md", "d.md", None), paths("a/bc", "c/q.md", "zz"))
+    assert sorted(map(tuple, got.collect())) == [("t", "a/b"), ("t", "d.md")]
+    assert registry.uncovered_targets(targets.limit(0), paths("a"), paths("a")).count() == 0
+    texts = lambda *x: spark.createDataFrame(x, "path string, text string")
+    states = registry.output_states(texts(("a", "x"), ("b", "x"), ("c", None), ("d", "")), texts(("a", "x"), ("b", "y"), ("d", None), ("e", "z")))
+    assert {r.path: r.state for r in states.collect()} == {"a": "current", "b": "out of date", "c": "missing", "d": "current"}
