@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import bpe, chat, lm_score, ogg, packing, pii, quality_model, quality_rules, simhash, warc
+from inkstone.llm import bpe, byte_contexts, chat, lm_score, ogg, packing, phrases, pii, quality_model, quality_rules, simhash, turn_repair, warc
 from inkstone.runtime import table
 
 
@@ -52,6 +52,20 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.serialise(warc.derive(warc.responses(table(spark, sf_dir, "pages")))))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return byte_contexts.predict(documents, byte_contexts.fit(documents))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turn_repair.damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(damaged, damaged["copies"])
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -64,6 +78,9 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
         "op10_warc_derivatives": op10_warc_derivatives,
+        "op11_language_id": op11_language_id,
+        "op12_phrases": op12_phrases,
+        "op13_turn_repair": op13_turn_repair,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -73,4 +90,6 @@ def oracle_sql() -> dict:
         "op3_tool_calls": chat.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op10_warc_derivatives": warc.ORACLE_SQL,
+        "op12_phrases": phrases.ORACLE_SQL,
+        "op13_turn_repair": turn_repair.ORACLE_SQL,
     }
