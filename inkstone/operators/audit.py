@@ -4,8 +4,9 @@ An audit gives 24 rule results for every document. Everything up to the flat res
 table needs no shuffle; only the sums over documents do, and they combine before it.
 
 Defined results: a null text is an empty one and has 24 results without violations. Rows that repeat are audited as rows
-of their own; ``compare`` sums rows of one key. Extra columns are kept under their names, whatever they are; a column
-``rule_results`` or ``total_violations`` of the caller's gives way to the audit's. An empty table gives no rows.
+of their own; ``compare`` sums rows of one key. Extra columns are kept under their names, whatever they are; a column of
+the caller's gives way where a result has a column of its name: ``rule_results`` and ``total_violations`` of an audit,
+``place`` to ``violations`` of flat results, and those of single violations. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.functions.jsontext import pretty_json
 from inkstone.operators.detectors import VIOLATION, all_detectors
 from inkstone.operators.rules import note, results
 from inkstone.operators.structure import with_structure
@@ -55,39 +57,53 @@ def audit(docs: DataFrame, text_col: str = "text", mechanical_only: bool = False
     return found.select(*[F.col(f"__row.`{c}`").alias(c) for c in keys], results_column(mechanical_only, judge, severities).alias("rule_results"), total.alias("total_violations"))
 
 
+RESULT = ["place", "rule", "severity", "detector", "status", "count", "note", "violations"]
+SINGLE = ["rule", "severity", "detector", "ordinal", "line", "column", "excerpt", "detail"]
+
+
+def _callers(audited: DataFrame, own: list[str]) -> list[Column]:
+    """The caller's columns that keep their names beside ``own`` ones."""
+    return [F.col(f"`{c}`") for c in audited.columns if c not in ("rule_results", "total_violations", *own)]
+
+
 def rule_results(audited: DataFrame) -> DataFrame:
     """24 rows per document."""
-    keys = [c for c in audited.columns if c not in ("rule_results", "total_violations")]
     # The outer form: for the other one the optimizer adds a filter on the array's size, which runs every detector again.
-    return audited.select(*keys, F.inline_outer("rule_results"))
+    return audited.select(*_callers(audited, RESULT), F.inline_outer("rule_results"))
 
 
 def violations(audited: DataFrame) -> DataFrame:
     """One row per violation, with its place in its result."""
-    keys = [c for c in audited.columns if c not in ("rule_results", "total_violations")]
-    flat = rule_results(audited).where("status = 'violation'").select(*keys, "rule", "severity", "detector", F.posexplode("violations").alias("at", "v"))
-    return flat.select(*keys, "rule", "severity", "detector", (F.col("at") + 1).alias("ordinal"), "v.*")
+    # Callers' columns travel in a struct: some are named like a column of the results and stay here.
+    row = F.struct(F.lit(0).alias("__none"), *_callers(audited, SINGLE)).alias("__row")
+    hit = audited.select(row, F.inline_outer("rule_results")).where("status = 'violation'")
+    flat = hit.select("__row", "rule", "severity", "detector", F.posexplode("violations").alias("at", "v"))
+    kept = [F.col(f"__row.`{c}`") for c in flat.schema["__row"].dataType.names[1:]]
+    return flat.select(*kept, "rule", "severity", "detector", (F.col("at") + 1).alias("ordinal"), "v.*")
 
 
-def compare(a: DataFrame, b: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def compare(a: DataFrame, b: DataFrame, key: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``key, rule, a, b, delta`` for each pair of texts with equal keys; mechanical rules unless told otherwise.
 
     Both sides are audited in one plan and summed by pair and rule, so a pair costs one shuffle of 21 small rows and no
-    join. A key that only one side has counts as zero on the other.
+    join. A key that only one side has counts as zero on the other. The key's column must not be named like a result.
     """
+    if key in ("rule", "a", "b", "delta"):
+        raise ValueError(f"a key cannot be named {key}")
     options = {"mechanical_only": True} | options
-    sides = a.select(key, "text").withColumn("side", F.lit(0)).unionByName(b.select(key, "text").withColumn("side", F.lit(1)))
-    flat = rule_results(audit(sides, **options))
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("count"))), F.lit(0))
-    return flat.groupBy(key, "rule").agg(side(0).alias("a"), side(1).alias("b")).withColumn("delta", F.col("b") - F.col("a"))
+    texts = lambda rows, side: rows.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text_col}`").alias("text"), F.lit(side).alias("__side"))
+    flat = rule_results(audit(texts(a, 0).unionByName(texts(b, 1)), **options))
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("__side") == s, F.col("count"))), F.lit(0))
+    summed = flat.groupBy("__key", "rule").agg(side(0).alias("a"), side(1).alias("b"))
+    return summed.select(F.col("__key").alias(key), "rule", "a", "b", (F.col("b") - F.col("a")).alias("delta"))
 
 
 def compare_totals(compared: DataFrame, key: str = "doc_id") -> DataFrame:
     return compared.groupBy(key).agg(F.sum("a").alias("total_a"), F.sum("b").alias("total_b"))
 
 
-def canonical_json(audited: DataFrame, file: Column, source: str = "package-bundle") -> DataFrame:
-    """``review_json``: the audit as JSON with sorted keys. Fields stand in the order of their names."""
+def _review(file: Column, source: str) -> Column:
+    """The audit as a struct for printing. Fields stand in the order of their names."""
     rows = F.transform(
         "rule_results",
         lambda r: F.struct(
@@ -95,9 +111,31 @@ def canonical_json(audited: DataFrame, file: Column, source: str = "package-bund
             F.transform(r["violations"], lambda v: F.struct(v["column"].alias("column"), v["detail"].alias("detail"), v["excerpt"].alias("excerpt"), v["line"].alias("line"))).alias("violations"),
         ),
     )
-    whole = F.struct(F.lit("review").alias("command"), file.alias("file"), rows.alias("rule_results"), F.lit(source).alias("rules_source"), F.col("total_violations"))
-    keys = [c for c in audited.columns if c not in ("rule_results", "total_violations")]
-    return audited.select(*keys, F.to_json(whole).alias("review_json"))
+    return F.struct(F.lit("review").alias("command"), file.alias("file"), rows.alias("rule_results"), F.lit(source).alias("rules_source"), F.col("total_violations"))
+
+
+def canonical_json(audited: DataFrame, file: Column, source: str = "package-bundle") -> DataFrame:
+    """``review_json``: the audit as JSON in one line, with sorted keys."""
+    return audited.select(*_callers(audited, ["review_json"]), F.to_json(_review(file, source)).alias("review_json"))
+
+
+def review_text(audited: DataFrame, file: Column, source: str = "package-bundle") -> DataFrame:
+    """``review_text``: the audit as indented JSON with sorted keys and a line end, as the command line prints it."""
+    row = F.struct(F.lit(0).alias("__none"), *_callers(audited, ["review_text"])).alias("__row")
+    whole = audited.select(row, _review(file, source).alias("__review"))
+    kept = [F.col(f"__row.`{c}`") for c in whole.schema["__row"].dataType.names[1:]]
+    return whole.select(*kept, pretty_json(whole, "__review").alias("review_text"))
+
+
+def compare_text(compared: DataFrame, file_a: Column, file_b: Column, key: str = "doc_id", source: str = "package-bundle") -> DataFrame:
+    """``key, compare_text``: each pair's comparison as indented JSON; ``file_a`` and ``file_b`` are expressions of the key."""
+    delta = F.struct("rule", F.struct("a", "b", "delta"))
+    sums = compared.groupBy(key).agg(F.map_from_entries(F.collect_list(delta)).alias("__rules"), F.sum("a").alias("__a"), F.sum("b").alias("__b"))
+    whole = sums.select(key, F.struct(
+        F.lit("review-compare").alias("command"), file_a.alias("file_a"), file_b.alias("file_b"), F.col("__rules").alias("per_rule_delta"), F.lit(source).alias("rules_source"),
+        F.col("__a").alias("total_a"), F.col("__b").alias("total_b"),
+    ).alias("__review"))
+    return whole.select(key, pretty_json(whole, "__review").alias("compare_text"))
 
 
 def human_report(audited: DataFrame, file: Column, first: int = 5) -> DataFrame:
@@ -112,5 +150,4 @@ def human_report(audited: DataFrame, file: Column, first: int = 5) -> DataFrame:
     skipped = F.size(F.filter("rule_results", lambda r: r["status"] == "skipped"))
     tail = F.when(skipped > 0, F.format_string("  (%d rule(s) skipped; they need a judge)\n", skipped)).otherwise("")
     text = F.concat(F.format_string("review %s: %d violation(s)\n", file, F.col("total_violations")), F.array_join(F.transform(hit, rule), ""), tail)
-    keys = [c for c in audited.columns if c not in ("rule_results", "total_violations")]
-    return audited.select(*keys, text.alias("report"))
+    return audited.select(*_callers(audited, ["report"]), text.alias("report"))

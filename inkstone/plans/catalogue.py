@@ -15,6 +15,7 @@ from inkstone.operators import audit as au
 from inkstone.operators import scorecard as sc
 from inkstone.operators.detectors import all_detectors
 from inkstone.operators.structure import lines_of, with_structure
+from inkstone.plans import registers
 from inkstone.plans.dressing import dressed, dressed_sql
 from inkstone.plans.oracle import COUNTED_WORD, DRAFTS, SCORES, lit, prelude, sentences
 from inkstone.plans.oracle import excerpt as excerpt_sql
@@ -232,6 +233,27 @@ def review_json(spark, sf_dir):
     return au.canonical_json(_audited(spark, sf_dir), canon.posix_path(file)).select("doc_id", "review_json")
 
 
+def _json_lines(*lines: str) -> str:
+    """SQL for lines of text: each is quoted text with SQL between double bars."""
+    return " || chr(10) || ".join(" || ".join(lit(x) if k % 2 == 0 else x for k, x in enumerate(line.split("||"))) for line in lines)
+
+
+@_register(
+    "review_text",
+    prelude()
+    + f""", vs as (select doc_id, rule, string_agg({_json_lines("        {", '          "column": ||col||,', '          "detail": ||to_json(detail)::varchar||,', '          "excerpt": ||to_json(excerpt)::varchar||,', '          "line": ||line', "        }")}, ',' || chr(10) {_ORDERED}) as items from v group by doc_id, rule)
+    select doc_id, sha256({_json_lines("{", '  "command": "review",', '  "file": "docs/||doc_id||.md",', '  "rule_results": [')} || chr(10) || string_agg({_json_lines(
+        "    {", '      "count": ||count||,', '      "detector": "||detector||",', '      "note": ||to_json(note)::varchar||,', '      "rule": "||rule||",', '      "severity": "||severity||",', '      "status": "||status||",')}
+      || chr(10) || '      "violations": ' || case when status = 'violation' then '[' || chr(10) || items || chr(10) || '      ]' else '[]' end || chr(10) || '    }}', ',' || chr(10) order by place)
+      || chr(10) || {_json_lines("  ],", '  "rules_source": "package-bundle",', '  "total_violations": ||sum(count)', "}", "")}) as digest
+    from audit left join vs using (doc_id, rule) group by doc_id""",
+)
+def review_text(spark, sf_dir):
+    """The review as the command line prints it: indented, keys sorted, other characters than ASCII kept."""
+    file = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return au.review_text(_audited(spark, sf_dir), canon.posix_path(file)).select("doc_id", F.sha2("review_text", 256).alias("digest"))
+
+
 @_register(
     "review_report",
     prelude()
@@ -266,6 +288,18 @@ def compare_totals(spark, sf_dir):
     return au.compare_totals(compare_delta(spark, sf_dir))
 
 
+@_register(
+    "compare_text",
+    _DELTAS
+    + f""" select doc_id, sha256({_json_lines("{", '  "command": "review-compare",', '  "file_a": "a/||doc_id||.md",', '  "file_b": "b/||doc_id||.md",', '  "per_rule_delta": {')} || chr(10)
+      || string_agg({_json_lines('    "||rule||": {', '      "a": ||a||,', '      "b": ||b||,', '      "delta": ||b - a', "    }")}, ',' || chr(10) order by rule)
+      || chr(10) || {_json_lines("  },", '  "rules_source": "package-bundle",', '  "total_a": ||sum(a)||,', '  "total_b": ||sum(b)', "}", "")}) as digest from deltas group by doc_id""",
+)
+def compare_text(spark, sf_dir):
+    file = lambda side: F.concat(F.lit(f"{side}/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return au.compare_text(compare_delta(spark, sf_dir), file("a"), file("b")).select("doc_id", F.sha2("compare_text", 256).alias("digest"))
+
+
 # Scorecards.
 
 
@@ -643,8 +677,8 @@ def task_file_scan(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | registers.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | registers.ORACLES
