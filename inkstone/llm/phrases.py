@@ -59,7 +59,7 @@ def texts_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return docs.select(text, F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")).select(F.monotonically_increasing_id().alias("doc"), "lang", "text")
 
 
-def count_words(texts: DataFrame, seed: int, most: int = 500_000) -> DataFrame:
+def count_words(texts: DataFrame, seed: int, most: int = 300_000) -> DataFrame:
     """``lang, word, h, n`` of every word; a task adds up about ``most`` words before it tells them."""
 
     def run(batches):
@@ -145,7 +145,7 @@ def _counted(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_pairs(relation: DataFrame, least: int, most: int = 4_000_000) -> DataFrame:
+def count_pairs(relation: DataFrame, least: int, most: int = 2_000_000) -> DataFrame:
     """``a, b, n`` of candidates that are seen ``least`` times; a task adds up ``most`` occurrences before it tells them."""
 
     def run(batches):
