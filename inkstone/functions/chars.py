@@ -1,7 +1,11 @@
 """Character classes and text primitives as Column functions.
 
 Patterns are written so that Java's and RE2's engines read them alike (``\\x{...}`` escapes, explicit classes), apart from
-the look-arounds of the Spark side.
+the look-arounds of the Spark side. Each takes time in proportion to a line's length, also on lines made to be slow: marks,
+hyphens or blanks by the million.
+
+Defined results: null texts give null, but no lines and no violations; empty texts have no lines. Texts and lines of any
+length are worked on whole.
 """
 
 from __future__ import annotations
@@ -11,13 +15,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space, line ends and word characters as Unicode-aware text tools define them.
+# White space (as a class and as characters), line ends and word characters as Unicode-aware text tools define them.
 WS = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WORD = r"\p{L}\p{N}_"
 
 SENTENCE_GAP = rf"(?<=[.!?])[{WS}]+(?=[A-Z\"'(\[])"
-COUNTED_WORD = rf"[{WORD}'-]*[{WORD}][{WORD}'-]*"
+# A run of word characters, hyphens and apostrophes counts if it holds a word character; only a run's start is tried.
+COUNTED_WORD = rf"(?<![{WORD}'-])['-]*+[{WORD}]"
 FIRST_WORD = "^[A-Za-z][A-Za-z'-]*"
 
 
@@ -27,11 +33,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+", "")
+    return F.ltrim(text, F.lit(WS_CHARS))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WS_CHARS))
 
 
 def split_lines(text: Column) -> Column:

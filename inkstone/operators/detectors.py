@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import WORD, WS, excerpt, find_all, find_literal, let, lstrip, split_sentences, strip, token_count, word_count
+from inkstone.functions.chars import WORD, WS, excerpt, find_all, find_literal, let, lstrip, rstrip, split_sentences, strip, token_count, word_count
 
 VIOLATION = "array<struct<line:int,column:int,excerpt:string,detail:string>>"
 
@@ -49,8 +49,9 @@ JARGON_WORD = rf"(?iu)(?<![{WORD}])(?:{'|'.join(sorted(JARGON, key=len, reverse=
 ANY_CLICHE = "|".join(CLICHES)
 CLOSER = rf"(?iu)^(?:{'|'.join(CLOSERS)})"
 SUMMARY = rf"(?iu)(?<![{WORD}])(?:{'|'.join(SUMMARIES)})(?![{WORD}])"
-MARKUP = rf"^(?:>+[{WS}]*|[*-][{WS}]+)+"
-HEADING = rf"^[{WS}]*#{{1,6}}[{WS}]+(.*?)(?:[{WS}]+#*[{WS}]*)?$"
+# Possessive, so that a line of very many marks is walked and not recursed into.
+MARKUP = rf"^(?:>++[{WS}]*+|[*-][{WS}]++)++"
+HEADING = rf"^[{WS}]*+#{{1,6}}+[{WS}]"
 TITLE_TOKEN = "[A-Za-z][A-Za-z0-9'/-]*"
 
 
@@ -99,13 +100,28 @@ def openers(lines: Column) -> Column:
     return F.filter(F.transform(_open(lines, "(?i)additionally|furthermore|moreover|in addition"), one), lambda v: v.isNotNull())
 
 
+def heading_text(line: Column) -> Column:
+    """The text of a heading line: without the marks before it, and without marks behind it that blanks set apart."""
+    inner = strip(F.ltrim(lstrip(line), F.lit("#")))
+
+    def without_marks(t: Column) -> Column:
+        return let(F.rtrim(t, F.lit("#")), lambda x: F.when(x != rstrip(x), rstrip(x)).otherwise(t))
+
+    return let(inner, without_marks)
+
+
+def _unlinked(text: Column) -> Column:
+    """Links as their texts."""
+    return F.when(text.contains("](") & text.contains(")"), F.regexp_replace(text, r"\[([^\]]*)\]\([^\)]*\)", "$1")).otherwise(text)
+
+
 def heading_case(lines: Column) -> Column:
     """Headings whose words are not in title case; the detail lists them in order."""
     upper = lambda w: w.rlike("^[A-Z0-9]")
 
     def one(x: Column) -> Column:
-        text = F.regexp_replace(strip(F.regexp_extract(x["line"], HEADING, 1)), "`[^`]*`", "")
-        tokens = F.regexp_extract_all(F.regexp_replace(text, r"\[([^\]]*)\]\([^\)]*\)", "$1"), F.lit(TITLE_TOKEN), F.lit(0))
+        text = F.regexp_replace(heading_text(x["line"]), "`[^`]*`", "")
+        tokens = F.regexp_extract_all(let(text, _unlinked), F.lit(TITLE_TOKEN), F.lit(0))
 
         def wrong(tokens: Column) -> Column:
             def bad(t: Column, i: Column) -> Column:

@@ -6,11 +6,9 @@ positions in place of look-arounds, which RE2 lacks.
 
 from __future__ import annotations
 
-from inkstone.functions.chars import COUNTED_WORD, FIRST_WORD, LINE_END, WORD, WS
-from inkstone.operators import detectors as d
-from inkstone.operators.rules import note, results
-from inkstone.operators.structure import BREAK, BULLET, FENCE_LINE
+from inkstone.plans import oracle_values as v
 from inkstone.plans.dressing import dressed_sql
+from inkstone.plans.oracle_values import BREAK, BULLET, COUNTED_WORD, FENCE_LINE, FIRST_WORD, LINE_END, WORD, WS, note, results
 
 
 def lit(text: str) -> str:
@@ -40,23 +38,23 @@ def _free(col: str) -> str:
     return f"length(regexp_replace(substr(line, 1, {col}), '[^`]', '', 'g')) % 2 = 0"
 
 
-JARGON = "|".join(sorted(d.JARGON, key=len, reverse=True))
-CLICHES = ", ".join(f"({i}, {lit(p)})" for i, p in enumerate(d.CLICHES))
+JARGON = "|".join(sorted(v.JARGON, key=len, reverse=True))
+CLICHES = ", ".join(f"({i}, {lit(p)})" for i, p in enumerate(v.CLICHES))
 RESULTS = ", ".join(
-    f"({place}, {lit(rule)}, {lit(severity)}, {lit(kind)}, {lit(note(rule, kind, False, False) or '')}, {lit(note(rule, kind, True, False) or '')})" for place, rule, severity, kind in results()
+    f"({place}, {lit(rule)}, {lit(severity)}, {lit(kind)}, {lit(note(rule, kind, False))}, {lit(note(rule, kind, True))})" for place, rule, severity, kind in results()
 )
 BOUND = f"[^{WORD}]"
 
 
 def prelude(source: str = f"select doc_id, {dressed_sql()} as text, lang, source from documents") -> str:
     """Common table expressions from texts to violations ``v`` (doc_id, rule, ord, seq, line, col, excerpt, detail)."""
-    tokens = lit(d.TITLE_TOKEN)
-    lower = ", ".join(lit(w) for w in d.LOWER_IN_TITLES)
+    tokens = lit(v.TITLE_TOKEN)
+    lower = ", ".join(lit(w) for w in v.LOWER_IN_TITLES)
     upper = lambda x: f"regexp_matches({x}, '^[A-Z0-9]')"
-    heading_text = rf"regexp_replace(regexp_replace({strip(f'regexp_extract(line, {lit(d.HEADING)}, 1)')}, '`[^`]*`', '', 'g'), '\[([^\]]*)\]\([^\)]*\)', '\1', 'g')"
-    openers = " ".join(f"when word = {lit(o.lower())} then {lit(o)}" for o in d.OPENERS[:3])
-    summaries = "|".join(d.SUMMARIES)
-    closers = "|".join(d.CLOSERS)
+    heading_text = rf"regexp_replace(regexp_replace({strip(f'regexp_extract(line, {lit(v.HEADING)}, 1)')}, '`[^`]*`', '', 'g'), '\[([^\]]*)\]\([^\)]*\)', '\1', 'g')"
+    openers = " ".join(f"when word = {lit(o.lower())} then {lit(o)}" for o in v.OPENERS)
+    summaries = v.SUMMARIES
+    closers = v.CLOSERS
     return f"""
 with docs as ({source}),
 lines0 as (
@@ -73,7 +71,7 @@ fences as (select doc_id, n, line, hidden, hidden or marker as fenced from lines
 open as (select doc_id, n, line from fences where not hidden),
 places as (
   select doc_id, n, line, unnest(range(1, length(line) + 1)) as c
-  from open where regexp_matches(line, '[—–'']') or regexp_matches(lower(line), '{JARGON}') or regexp_matches(lower(line), {lit(d.ANY_CLICHE)})
+  from open where regexp_matches(line, '[—–'']') or regexp_matches(lower(line), '{JARGON}') or regexp_matches(lower(line), {lit("|".join(v.CLICHES))})
 ),
 dash as (
   select doc_id, n, c, line, case when substr(line, c, 1) = '—' then 'em' else 'en' end as kind
@@ -84,7 +82,7 @@ dash as (
 apostrophe as (
   select doc_id, n, line, c,
          regexp_extract(substr(line, 1, c - 1), '(^|{BOUND})([A-Za-z]+)$', 2) as l,
-         regexp_extract(substr(line, c + 1), '^((?i:{"|".join(d.CONTRACTION_ENDS)}))({BOUND}|$)', 1) as r
+         regexp_extract(substr(line, c + 1), '^((?i:{v.CONTRACTION_ENDS}))({BOUND}|$)', 1) as r
   from places where substr(line, c, 1) = ''''
 ),
 contraction as (select doc_id, n, line, c - length(l) as c, l || '''' || r as m from apostrophe where l <> '' and r <> '' and {_free("c - length(l)")}),
@@ -95,20 +93,20 @@ jargon as (
 phrases(ord, phrase) as (values {CLICHES}),
 cliche as (
   select doc_id, n, line, c, ord, phrase from places join phrases on substr(lower(line), c, length(phrase)) = phrase
-  where regexp_matches(lower(line), {lit(d.ANY_CLICHE)}) and {_free("c")}
+  where regexp_matches(lower(line), {lit("|".join(v.CLICHES))}) and {_free("c")}
 ),
 opener as (
   select doc_id, n, line, length(line) - length(after) + 1 as c,
          case {openers} when word = 'in' and lower(after) like 'in addition%' then 'In addition' end as m
   from (select *, lower(regexp_extract(after, '^[A-Za-z][A-Za-z-]*')) as word
-        from (select *, regexp_replace({lstrip("line")}, {lit(d.MARKUP)}, '') as after from open))
+        from (select *, regexp_replace({lstrip("line")}, {lit(v.MARKUP)}, '') as after from open))
 ),
 heading as (
   select doc_id, n, line,
          list_filter(t, lambda x, i: case when x like '%-%' then len(list_filter(string_split(x, '-'), lambda p: p <> '' and not {upper("p")})) > 0
                                           when i = 1 or i = len(t) then not {upper("x")}
                                           when lower(x) in ({lower}) then x <> lower(x) else not {upper("x")} end) as bad
-  from (select *, regexp_extract_all({heading_text}, {tokens}) as t from open where regexp_matches(line, {lit(d.HEADING)}))
+  from (select *, regexp_extract_all({heading_text}, {tokens}) as t from open where regexp_matches(line, {lit(v.HEADING)}))
 ),
 line_sentences as (
   select doc_id, n, unnest({sentences(strip("line"))}) as s, generate_subscripts({sentences(strip("line"))}, 1) as k
