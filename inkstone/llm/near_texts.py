@@ -12,13 +12,19 @@ the 64 bytes, at 0.9 about 36.
               their sets allow the similarity
     verify    the Jaccard similarity of the retained pairs' whole sets is computed
 
-No list is compared all against all. First every text of a list meets the list's first text (the one with the smallest
-hash). Verified links give components. Then, in lists that still hold several components, every text outside the first
-text's component is tallied against all texts of the list, in blocks, and its ``best`` partners (three) from other components
-over all its lists are verified; that goes on in rounds until no link is found, each for the texts that have been joined
-with a partner since they named it (all others would name the same again). So the pairs that are verified grow with the
-texts, not with the square of a group: in a large group of texts just below the similarity all pairs would be retained.
-A link can stay unseen if three texts of other components share more bytes with both of its texts and are less similar.
+First every text meets the first text (the one with the smallest hash) of each of its lists, and is verified against the one
+with which it shares most bytes. Those links give components. Then every retained pair between two components is looked
+after: in lists that still hold several components, each text outside the first text's component is tallied against the
+others, and asks every cluster of which it retains a member of another component. Clusters are what the best pairs join
+before they are verified, so they hold components whole, and a group of texts that resemble each other is one of a few. A
+text that asks a cluster is verified against the members it retains there, in falling order of shared bytes, until one of
+each component links; one is enough, since the members are linked already. So no retained pair is left out, there are no
+rounds, and pairs are never rows: tables hold a row for each text and asked cluster, and tasks hold blocks of ``block``
+askers and ``block`` members with their sets.
+
+Between texts of one component nothing is verified, so a large group of near copies costs its texts, not its pairs. A
+group of n texts that all retain each other and do not link needs n / ``block`` copies of each, and each such pair has to
+be refused by its sets: quadratic work that spreads over tasks of bounded size.
 
 A pair at similarity 0.8 meets in at least one list with a probability of about 0.96, at 0.85 with 0.995, at 0.9 with
 0.9999 (24-bit keys, 48 lists; the tests measure this). A list holds N / 2**(8 * together) unlike texts by chance: three
@@ -34,35 +40,21 @@ hash, stays, once. Extra columns are kept. An empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.columns import id_and_text, slices
 from inkstone.llm.simhash import components, keep_rows, with_roots
-from inkstone.runtime import ensure_checkpoint_dir
+from inkstone.runtime import Scratch
 
 DIM = 1024  # coordinates of the vote sketch
 TIMES = 4  # coordinates of a shingle
 VOTES = 128  # votes behind a byte
 BYTES = 64
 
-def written(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table in the shared checkpoint folder, read back.
-
-    A checkpoint keeps what the optimizer has inferred about its columns, and every round of this operator infers more from
-    that: in the fourth round a step over 36 rows took over a minute. A table that is read back starts anew, with its true size.
-    """
-    spark = rows.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/near-texts-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd constant of a multiplicative hash
 
 
@@ -153,15 +145,7 @@ def classes_of(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col
     return rows.groupBy("key").agg(F.min(row).alias("r")).select("key", F.struct("r.without", "r.doc_id", "r.text_hash").alias("first"), "r.size", "r.signature")
 
 
-def _salt(key: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(salts)).cast("int")
-
-
-def _salted(rows: DataFrame, salts: int) -> DataFrame:
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def crowded_lists(classes: DataFrame, lists: int, together: int, salts: int = 8) -> DataFrame:
+def crowded_lists(classes: DataFrame, lists: int, together: int, scratch: Scratch) -> DataFrame:
     """``list, key, centre, n``: members of lists with two texts or more, and the first text of their list."""
     places = places_of(lists, together)
 
@@ -175,36 +159,34 @@ def crowded_lists(classes: DataFrame, lists: int, together: int, salts: int = 8)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = classes.select("key", "signature").repartition(parts, F.xxhash64("key"))  # few partitions hold them, each gives many rows
     index = dealt.mapInArrow(run, "list long, key long")
-    sizes = index.groupBy("list").agg(F.count("*").alias("n"), F.min("key").alias("centre"), F.max("key").alias("last")).where("n >= 2")
-    sizes = written(sizes)
-    two = sizes.where("n = 2").select("list", F.explode(F.array("centre", "last")).alias("key"), "centre", "n")
-    more = _salted(sizes.where("n > 2").select("list", "centre", "n"), salts)
-    rest = index.withColumn("salt", _salt(F.col("key"), salts)).join(more, ["list", "salt"]).select("list", "key", "centre", "n")
-    return written(two.unionByName(rest))
+    sizes = scratch.write(index.groupBy("list").agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n >= 2"))
+    return scratch.write(_join_frequent(index, sizes.select("list", "centre"), sizes.select("list", F.col("n").alias("degree")), "list", "key"))
 
 
-def retained(pairs: DataFrame, classes: DataFrame, minimum: int, similarity: float) -> DataFrame:
-    """``a, b`` of the pairs that share at least ``minimum`` bytes and whose sizes allow the similarity; ``a`` may be frequent."""
+def best_centres(members: DataFrame, classes: DataFrame, minimum: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """``a, b``: for each text b the first text of a list of its that it retains and shares most bytes with."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BYTES) for k in (2, 3))
-                keep = pa.array((left == right).sum(axis=1) >= minimum)
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+                tally = (left == right).sum(axis=1)
+                keep = pa.array(tally >= minimum)
+                yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(tally))], ["a", "b", "tally"])
 
+    stars = scratch.write(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
     of = lambda name: classes.select(F.col("key").alias(name), F.col("size").alias(f"{name}_size"), F.col("signature").alias(f"{name}_bytes"))
-    both = pairs.join(of("b"), "b")
-    degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-    both = _join_frequent(both, of("a"), degree, "a", "b")
+    degree = stars.groupBy("a").agg(F.count("*").alias("degree"))
+    both = _join_frequent(stars.join(of("b"), "b"), of("a"), degree, "a", "b")
     fits = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size")
-    return both.where(fits).select("a", "b", "a_bytes", "b_bytes").mapInArrow(run, "a long, b long")
+    told = both.where(fits).select("a", "b", "a_bytes", "b_bytes").mapInArrow(run, "a long, b long, tally long")
+    return told.groupBy("b").agg(F.max(F.struct("tally", "a")).alias("best")).select("best.a", "b")
 
 
 def _join_frequent(rows: DataFrame, side: DataFrame, degree: DataFrame, on: str, other: str, most: int = 1000) -> DataFrame:
-    """``rows`` join ``side`` on a key that some rows share very often: rows of such a key are dealt over several salts."""
+    """``rows`` join ``side`` on a key that some rows share very often: rows of such a key are dealt over several salts, as
+    many as ``degree`` asks for. Keys of up to ``most`` rows have none, so the table of salts is far smaller than ``rows``."""
     salts = degree.where(F.col("degree") > most).select(on, F.ceil(F.col("degree") / most).cast("int").alias("salts"))
-    salts = written(salts)  # one row for each ``most`` rows at the most
     dealt = rows.join(salts, on, "left").withColumn("salt", F.pmod(F.xxhash64(other, F.lit(2)), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     copies = side.join(salts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return dealt.join(copies, [on, "salt"]).drop("salt")
@@ -225,127 +207,131 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: in
     return plain.join(wanted, same, "left_semi").select("text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+def similar(left: np.ndarray, right: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are as similar as ``similarity``."""
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return shared >= similarity * (len(left) + len(right) - shared)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """``a, b`` of the pairs whose sets of shingles are as similar as ``similarity``."""
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                left, right = left.values.to_numpy(), right.values.to_numpy()
-                shared = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(shared >= similarity * (len(left) + len(right) - shared))
+        for batch in slices(batches):
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [similar(a.values.to_numpy(), b.values.to_numpy(), similarity) for a, b in sets]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = written(shingle_sets(docs, classes, keys, width, id_col, text_col))
+    sets = scratch.write(shingle_sets(docs, classes, keys, width, id_col, text_col))
     both = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     both = _join_frequent(both, sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), degree, "a", "b")
-    return written(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
-
-
-def across_components(members: DataFrame, classes: DataFrame, rooted: DataFrame, minimum: int, similarity: float, block: int = 512, best: int = 3, asking: DataFrame | None = None) -> DataFrame:
-    """``key, other``: for texts that stand, in some list, outside the first text's component, the ``best`` retained
-    partners of other components in all such lists; with ``asking`` (``key``), for the texts named there only.
-
-    Lists of two texts need no look: their only pair is that of the first text.
-    """
-    root = rooted.select("key", "root")
-    members = members.where("n > 2")
-    if asking is not None:
-        members = members.join(members.join(asking, "key", "left_semi").select("list").distinct(), "list", "left_semi")
-    told = members.join(root, "key").join(root.select(F.col("key").alias("centre"), F.col("root").alias("centre_root")), "centre")
-    asks = F.col("root") != F.col("centre_root")
-    if asking is not None:
-        told = told.join(asking.select("key", F.lit(True).alias("named")), "key", "left")
-        asks = asks & F.coalesce("named", F.lit(False))
-    told = told.withColumn("asks", asks)
-    outside = F.col("asks").cast("int")
-    open_lists = written(told.groupBy("list").agg(F.sum(outside).alias("outside"), F.count("*").alias("size_of_list")).where("outside > 0"))
-    rows = told.join(open_lists, "list")
-    blocks, chunks = F.ceil(F.col("size_of_list") / block).cast("int"), F.ceil(F.col("outside") / block).cast("int")
-    own = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asking = rows.where("asks").select("list", "key", "root", own(chunks, 3).alias("chunk"), every(blocks).alias("block"), F.lit(1).alias("side"))
-    asked = rows.select("list", "key", "root", own(blocks, 4).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"))
-    both = asking.unionByName(asked).join(classes.select("key", "size", "signature"), "key")
-    columns = ["list", "block", "chunk", "side", "key", "root", "size", "signature"]
-
-    def pairs(rows: list[np.ndarray], signatures: np.ndarray):
-        side, key, root, size = rows
-        for i in np.flatnonzero(side):
-            apart = np.flatnonzero((side == 0) & (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])))
-            tally = (signatures[apart] == signatures[i]).sum(axis=1)
-            top = np.argsort(-tally, kind="stable")[:best]
-            top = top[tally[top] >= minimum]
-            yield np.full(len(top), key[i]), key[apart[top]], tally[top]
+    return scratch.write(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
+
+
+def groups_of(batches, width: int):
+    """Whole groups of sorted batches: rows that agree in their first ``width`` columns, which are numbers."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        joined = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        group = np.stack([joined.column(k).to_numpy() for k in range(width)])
+        cuts = np.concatenate(([0], np.flatnonzero(np.any(np.diff(group, axis=1) != 0, axis=0)) + 1))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield joined.slice(low, high - low)
+        held = [joined.slice(cuts[-1])]  # the last group may go on in the next batch
+    yield from held
+
+
+def _blocked(askers: DataFrame, members: DataFrame, sizes: DataFrame, group: str, block: int, carried: list[str]) -> DataFrame:
+    """Askers (``group, key``) and members of groups dealt over blocks of both, in order; each asker meets each member of its
+    group in one block. ``sizes`` has ``group, asking, held``: how many there are."""
+    sizes = sizes.select(group, F.ceil(F.col("asking") / block).cast("int").alias("chunks"), F.ceil(F.col("held") / block).cast("int").alias("blocks"))
+    own = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = askers.join(sizes, group).select(group, own("chunks", 3).alias("chunk"), every("blocks").alias("block"), F.lit(1).alias("side"), *carried)
+    right = members.join(sizes, group).select(group, every("chunks").alias("chunk"), own("blocks", 4).alias("block"), F.lit(0).alias("side"), *carried)
+    parts = int(askers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.unionByName(right).repartition(parts, group, "block", "chunk").sortWithinPartitions(group, "block", "chunk")
+
+
+def asked_clusters(members: DataFrame, classes: DataFrame, rooted: DataFrame, minimum: int, similarity: float, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """``key, cluster``: texts outside the component of their list's first text, and the clusters of which they retain a
+    member of another component in one of their lists; ``rooted`` has ``key, root, cluster``."""
+    centres = rooted.select(F.col("key").alias("centre"), F.col("root").alias("centre_root"))
+    told = members.join(rooted, "key").join(centres, "centre")
+    told = scratch.write(told.select("list", "key", "root", "cluster", (F.col("root") != F.col("centre_root")).alias("asks")))
+    sizes = told.groupBy("list").agg(F.sum(F.col("asks").cast("int")).alias("asking"), F.count("*").alias("held")).where("asking > 0")
+    rows = told.join(classes.select("key", "size", "signature"), "key")
+    dealt = _blocked(rows.where("asks"), rows, sizes, "list", block, ["key", "root", "cluster", "size", "signature"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        for group in groups_of(batches, 3):
+            side, key, root, cluster, size = (group.column(k).to_numpy() for k in range(3, 8))
+            signatures = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(-1, BYTES)
+            found = []
+            for i in np.flatnonzero(side):
+                apart = np.flatnonzero((side == 0) & (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])))
+                near = apart[(signatures[apart] == signatures[i]).sum(axis=1) >= minimum]
+                found += [(key[i], c) for c in np.unique(cluster[near])]
+            if found:
+                keys, clusters = map(np.array, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(clusters)], ["key", "cluster"])
+
+    return dealt.mapInArrow(run, "key long, cluster long").distinct()
+
+
+def across_components(asked: DataFrame, docs: DataFrame, classes: DataFrame, rooted: DataFrame, minimum: int, similarity: float, width: int, id_col: str, text_col: str, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """``a, b``: for each text (a) and cluster it asks, a member (b) of each other component that it links with."""
+    asked = scratch.write(asked)
+    held = rooted.join(asked.select("cluster").distinct(), "cluster", "left_semi").select("key", "cluster")
+    keys = asked.select("key").union(held.select("key")).distinct()
+    sets = shingle_sets(docs, classes, keys, width, id_col, text_col)
+    sets = scratch.write(sets.join(classes.select("key", "size", "signature"), "key").join(rooted.select("key", "root"), "key"))
+    sizes = asked.groupBy("cluster").agg(F.count("*").alias("asking")).join(held.groupBy("cluster").agg(F.count("*").alias("held")), "cluster")
+    dealt = _blocked(asked.join(sets, "key"), held.join(sets, "key"), sizes, "cluster", block, ["key", "root", "size", "signature", "shingles"])
 
-        def close(batch):
-            group = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cuts = np.concatenate(([0], np.flatnonzero(np.any(np.diff(group, axis=1) != 0, axis=0)) + 1, [batch.num_rows]))
-            values = [batch.column(k).to_numpy() for k in range(3, 7)]
-            signatures = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BYTES)
-            return cuts, values, signatures
-
-        def told(cuts, values, signatures):
-            found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in pairs([v[a:b] for v in values], signatures[a:b])]
-            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "other", "tally"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            joined = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            cuts, values, signatures = close(joined)
-            yield told(cuts[:-1], values, signatures)  # the last group may go on in the next batch; it has at most about two blocks
-            held = [joined.slice(int(cuts[-2]))]
-        if held:
-            yield told(*close(held[0]))
-
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = both.select(*columns).repartition(parts, "list", "block", "chunk").sortWithinPartitions("list", "block", "chunk")
-    found = sorted_rows.mapInArrow(run, "key long, other long, tally long")
-    # A text stands in few lists and gives few partners in each block, so its set of partners is small.
-    partners = found.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct("tally", "other")), asc=False), 1, best).alias("p"))
-    return partners.select("key", F.explode("p.other").alias("other"))
-
-
-def joined_since(named: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``key`` of texts that are by now in one component with a partner they named (``key, other``): only these can name
-    others, as the partners of all the rest are the best still."""
-    of = lambda name: rooted.select(F.col("key").alias(name), F.col("root").alias(f"{name}_root"))
-    return named.join(of("key"), "key").join(of("other"), "other").where("key_root = other_root").select("key").distinct()
-
-
-def text_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, lists: int = 48, together: int = 3, minimum: int = 16, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches):
+        for group in groups_of(batches, 3):
+            side, key, root, size = (group.column(k).to_numpy() for k in range(3, 7))
+            signatures = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, BYTES)
+            sets, found, inside = group.column(8), [], np.flatnonzero(side == 0)
+            for i in np.flatnonzero(side):
+                tally = (signatures[inside] == signatures[i]).sum(axis=1)
+                fits = (tally >= minimum) & (root[inside] != root[i]) & (np.minimum(size[inside], size[i]) >= similarity * np.maximum(size[inside], size[i]))
+                own, near, linked = sets[int(i)].values.to_numpy(), inside[fits], set()
+                for j in near[np.argsort(-tally[fits], kind="stable")]:
+                    if root[j] not in linked and similar(own, sets[int(j)].values.to_numpy(), similarity):
+                        found.append((key[i], key[j]))
+                        linked.add(root[j])
+            if found:
+                a, b = map(np.array, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return scratch.write(dealt.mapInArrow(run, "a long, b long"))
+
+
+def text_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, lists: int = 48, together: int = 3, minimum: int = 16, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, first, root`` of each distinct text: texts of one group have the same ``root``."""
-    classes = written(classes_of(docs, width, id_col, text_col))
-    members = crowded_lists(classes, lists, together)
-    stars = members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    stars = written(retained(written(stars), classes, minimum, similarity))
-    links = verified(stars, docs, classes, similarity, width, id_col, text_col)
-    rooted = written(with_roots(classes.select("key"), components(links), "key"))
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    named, asking = None, None
-    while True:
-        found = written(across_components(members, classes, rooted, minimum, similarity, block, asking=asking))
-        named = found if named is None else written(named.join(asking, "key", "left_anti").unionByName(found))
-        across = found.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        across = written(across.join(seen, ["a", "b"], "left_anti"))
-        if across.isEmpty():
-            break
-        more = verified(across, docs, classes, similarity, width, id_col, text_col)
-        if more.isEmpty():
-            break
-        seen = seen.unionByName(across)
-        links = links.unionByName(more)
-        rooted = written(with_roots(classes.select("key"), components(links), "key"))
-        asking = written(joined_since(named, rooted))
-    return classes.select("key", "first").join(rooted, "key")
+    scratch = Scratch(docs.sparkSession, "near-texts")
+    classes = scratch.write(classes_of(docs, width, id_col, text_col))
+    members = crowded_lists(classes, lists, together, scratch)
+    best = scratch.write(best_centres(members, classes, minimum, similarity, scratch))
+    links = verified(best, docs, classes, similarity, width, id_col, text_col, scratch)
+    clusters = with_roots(classes.select("key"), components(best), "key").withColumnRenamed("root", "cluster")
+    rooted = scratch.write(with_roots(clusters, components(links), "key"))
+    asked = asked_clusters(members, classes, rooted, minimum, similarity, scratch, block)
+    more = across_components(asked, docs, classes, rooted, minimum, similarity, width, id_col, text_col, scratch, block)
+    # The first links stand in the roots: what is left is to join those.
+    of = rooted.select("key", "root")
+    between = more.join(of.select(F.col("key").alias("a"), F.col("root").alias("u")), "a").join(of.select(F.col("key").alias("b"), F.col("root").alias("v")), "b")
+    joined = with_roots(rooted.select(F.col("root").alias("old")).distinct(), components(between.select(F.col("u").alias("a"), F.col("v").alias("b"))), "old")
+    found = classes.select("key", "first").join(of, "key").join(joined.select(F.col("old").alias("root"), F.col("root").alias("new")), "root")
+    found = scratch.write(found.select("key", "first", F.col("new").alias("root")))
+    scratch.remove(found)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

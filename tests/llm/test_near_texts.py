@@ -114,3 +114,51 @@ def test_bytes_tell_similar_sets_from_others():
     single = signer.sign([every[i : i + 1] for i in range(500)])  # one shingle is enough to be told apart
     assert (single[:-1] == single[1:]).sum(axis=1).max() < 30
     assert (signer.sign([sets[0]]) == a[:1]).all()
+
+
+def exact_groups(texts, lists=48, together=3, minimum=16, similarity=0.8):
+    """Components of all pairs that share a list, enough bytes and enough shingles, one by one; and how many pairs there are."""
+    sets = [near_texts.shingles(t)[1] for t in texts]
+    signatures = near_texts.Signer().sign(sets)
+    keys = near_texts.list_keys(signatures, near_texts.places_of(lists, together))
+    members = defaultdict(list)
+    for i, row in enumerate(keys):
+        for k in row.tolist():
+            members[k].append(i)
+    pairs = {(i, j) for m in members.values() for n, i in enumerate(m) for j in m[n + 1 :]}
+    fits = lambda i, j: min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j]))
+    retained = [(i, j) for i, j in pairs if (signatures[i] == signatures[j]).sum() >= minimum and fits(i, j)]
+    links = [p for p in retained if near_texts.similar(sets[p[0]], sets[p[1]], similarity)]
+    return slow_groups(len(texts), links), len(retained), len(links)  # what shares no list may be joined too
+
+
+@pytest.mark.parametrize(("edits", "block"), [(9, 1024), (9, 16), (14, 64)])
+def test_every_retained_pair_counts(spark, edits, block):
+    """A dense group around one text whose members are about as similar as the limit, some linked and most not."""
+    rng = random.Random(edits)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(180):
+        new = list(base)
+        for _ in range(rng.randrange(edits - 5, edits)):
+            new[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(new))
+    want, retained, links = exact_groups(texts)
+    assert retained > 5000 and links < retained
+    got = groups_of(spark, texts, block=block)
+    every = slow_groups(len(texts), similar_pairs(texts))
+    assert len({(want[i], got[i]) for i in got}) == len(set(want))  # what a list shows is joined
+    assert len({(got[i], every[i]) for i in got}) == len(set(got.values()))  # and nothing that is not similar
+
+
+def test_written_tables_are_removed(spark):
+    from inkstone.runtime import ensure_checkpoint_dir
+
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().toString() for s in system.listStatus(folder) if "near-texts" in s.getPath().getName()}
+    before = names()
+    groups_of(spark, ["a b c d e f", "a b c d e f g"])
+    (new,) = names() - before
+    left = system.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new))
+    assert len(left) == 1  # what the result reads
