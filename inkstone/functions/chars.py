@@ -10,6 +10,7 @@ length are worked on whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -98,10 +99,43 @@ def find_all(text: Column, pattern: str) -> Column:
     return let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _places(gaps, found)))
 
 
-def find_literal(text: Column, phrase: Column) -> Column:
-    """The same for the non-overlapping places of a phrase."""
-    gaps = F.split(text, F.concat(F.lit(r"\Q"), phrase, F.lit(r"\E")), F.lit(-1))
-    return let(gaps, lambda g: _places(g, F.transform(F.slice(g, 2, F.size(g)), lambda _: phrase)))
+def find_overlapping(text: Column, pattern: str) -> Column:
+    """The same for a pattern whose matches may overlap, of which one at the most begins at any place: the text is cut
+    before each of them, so pieces and matches run side by side."""
+
+    def placed(pieces: Column, found: Column) -> Column:
+        width = lambda x: F.length(x).cast("long") + (F.length(x) - F.length(F.replace(x, F.lit("`"), F.lit("")))).cast("long") * (1 << 32)
+        first = F.size(pieces) - F.size(found)  # 1 where something stands before the first match
+
+        def one(starts: Column) -> Column:
+            def told(m: Column, i: Column) -> Column:
+                at = F.get(starts, i + first)
+                return F.struct((at % (1 << 32) + 1).cast("int").alias("column"), m.alias("match"), (F.floor(at / (1 << 32)) % 2 == 1).alias("coded"))
+
+            return F.transform(found, told)
+
+        return let(running_sums(F.transform(pieces, width)), one)
+
+    found = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
+    return let(F.split(text, f"(?={pattern})", -1), lambda pieces: let(found, lambda f: placed(pieces, f)))
+
+
+def any_of(phrases: list[str]) -> str:
+    """A pattern for any of some literal phrases, as a tree by common beginnings: one branch is tried for each next
+    character in place of every phrase."""
+
+    def tree(words: list[str]) -> str:
+        by_first: dict[str, list[str]] = {}
+        for w in words:
+            if w:
+                by_first.setdefault(w[0], []).append(w[1:])
+        branches = [re.escape(c) + tree(rest) for c, rest in by_first.items()]
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 and "" not in words else f"(?:{'|'.join(branches)})"
+        return f"{inner}?" if "" in words else inner
+
+    return tree(sorted(set(phrases)))
 
 
 def split_sentences(text: Column) -> Column:

@@ -24,8 +24,8 @@ def _found(rule: str) -> str:
     return f"__{rule}"
 
 
-def results_column(mechanical_only: bool = False, judge: bool = False, severities: dict[str, str] | None = None) -> Column:
-    """The 24 results of a document whose violations stand in a column per rule, as an array in catalogue order.
+def results_column(mechanical_only: bool = False, judge: bool = False, severities: dict[str, str] | None = None, rules: list[str] | None = None, counts_only: bool = False, skipped_only: bool = False) -> Column:
+    """The results of a document whose violations stand in a column per rule, as an array in catalogue order.
 
     Each violation column is used more than once here, so the optimizer leaves the detectors in a projection of their
     own: expressions stay shallow and every detector runs once.
@@ -33,28 +33,40 @@ def results_column(mechanical_only: bool = False, judge: bool = False, severitie
     rows = []
     for place, rule, severity, detector in results():
         why = note(rule, detector, mechanical_only, judge)
+        if (rules is not None and rule not in rules) or (skipped_only and why is None):
+            continue
         violations = F.array().cast(VIOLATION) if why is not None else F.col(f"`{_found(rule)}`")
-        n = F.lit(0) if why is not None else F.size(violations)
+        n = F.lit(0) if why is not None else violations if counts_only else F.size(violations)
         status = F.lit("skipped") if why is not None else F.when(n > 0, "violation").otherwise("ok")
+        told = [] if counts_only else [violations.alias("violations")]
         rows.append(
             F.struct(
                 F.lit(place).alias("place"), F.lit(rule).alias("rule"), F.lit((severities or {}).get(rule, severity)).alias("severity"), F.lit(detector).alias("detector"),
-                status.alias("status"), n.alias("count"), F.lit(why or "").alias("note"), violations.alias("violations"),
+                status.alias("status"), n.alias("count"), F.lit(why or "").alias("note"), *told,
             )
         )
     return F.array(*rows)
 
 
-def audit(docs: DataFrame, text_col: str = "text", mechanical_only: bool = False, judge: bool = False, audit_only: bool = True, severities: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` without its text, with ``rule_results`` and ``total_violations``. ``audit_only`` changes nothing."""
+def audit(
+    docs: DataFrame, text_col: str = "text", mechanical_only: bool = False, judge: bool = False, audit_only: bool = True, severities: dict[str, str] | None = None,
+    rules: list[str] | None = None, counts_only: bool = False, skipped_only: bool = False,
+) -> DataFrame:
+    """``docs`` without its text, with ``rule_results`` and ``total_violations``. ``audit_only`` changes nothing.
+
+    ``rules`` names the rules to audit, ``skipped_only`` keeps the results that need no detector; what is not asked for is
+    not in the plan. With ``counts_only`` results have no ``violations``, and detectors count in place of telling where.
+    """
     keys = [c for c in docs.columns if c not in (text_col, "rule_results", "total_violations")]
-    detected = all_detectors(mechanical_only)
+    detected = {} if skipped_only else all_detectors(mechanical_only, rules, counts_only)
     # The caller's columns travel in a struct, so none of theirs meets one of ours.
     row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in keys]).alias("__row")
     kept = docs.select(row, F.col(f"`{text_col}`").alias("__text"))
     found = with_structure(kept, "__text").select("__row", *[column.alias(_found(rule)) for (rule, _), column in detected.items()])
-    total = sum((F.size(f"`{_found(rule)}`") for rule, _ in detected), F.lit(0))
-    return found.select(*[F.col(f"__row.`{c}`").alias(c) for c in keys], results_column(mechanical_only, judge, severities).alias("rule_results"), total.alias("total_violations"))
+    count = (lambda c: c) if counts_only else F.size
+    total = sum((count(F.col(f"`{_found(rule)}`")) for rule, _ in detected), F.lit(0))
+    told = results_column(mechanical_only, judge, severities, rules, counts_only, skipped_only)
+    return found.select(*[F.col(f"__row.`{c}`").alias(c) for c in keys], told.alias("rule_results"), total.alias("total_violations"))
 
 
 RESULT = ["place", "rule", "severity", "detector", "status", "count", "note", "violations"]
@@ -90,7 +102,7 @@ def compare(a: DataFrame, b: DataFrame, key: str = "doc_id", text_col: str = "te
     """
     if key in ("rule", "a", "b", "delta"):
         raise ValueError(f"a key cannot be named {key}")
-    options = {"mechanical_only": True} | options
+    options = {"mechanical_only": True, "counts_only": True} | options
     texts = lambda rows, side: rows.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text_col}`").alias("text"), F.lit(side).alias("__side"))
     flat = rule_results(audit(texts(a, 0).unionByName(texts(b, 1)), **options))
     side = lambda s: F.coalesce(F.sum(F.when(F.col("__side") == s, F.col("count"))), F.lit(0))

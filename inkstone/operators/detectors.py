@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import WORD, WS, excerpt, find_all, find_literal, let, lstrip, rstrip, split_sentences, strip, token_count, word_count
+from inkstone.functions.chars import WORD, WS, any_of, excerpt, find_all, find_overlapping, let, lstrip, rstrip, split_sentences, strip, token_count, word_count
 
 VIOLATION = "array<struct<line:int,column:int,excerpt:string,detail:string>>"
 
@@ -44,9 +44,11 @@ SUMMARIES = [
 
 DASH = r"—|(?<!\p{Nd})–|–(?!\p{Nd})"
 CONTRACTION = rf"(?iu)(?<![{WORD}])[a-z]+'(?:{'|'.join(CONTRACTION_ENDS)})(?![{WORD}])"
-# Longest first, as an alternation takes the first that fits.
-JARGON_WORD = rf"(?iu)(?<![{WORD}])(?:{'|'.join(sorted(JARGON, key=len, reverse=True))})(?![{WORD}])"
-ANY_CLICHE = "|".join(CLICHES)
+JARGON_WORD = rf"(?iu)(?<![{WORD}])(?:{any_of(JARGON)})(?![{WORD}])"
+ANY_CLICHE = any_of(CLICHES)
+# A phrase whose end is a beginning of its own could overlap itself, and is searched for alone; no phrase begins another.
+LOOPED = [p for p in CLICHES if any(p[k:] == p[: len(p) - k] for k in range(1, len(p)))]
+CLICHE_SEARCHES = [(find_overlapping, any_of([p for p in CLICHES if p not in LOOPED])), *[(find_all, any_of([p])) for p in LOOPED]]
 CLOSER = rf"(?iu)^(?:{'|'.join(CLOSERS)})"
 SUMMARY = rf"(?iu)(?<![{WORD}])(?:{'|'.join(SUMMARIES)})(?![{WORD}])"
 # Possessive, so that a line of very many marks is walked and not recursed into.
@@ -142,31 +144,35 @@ def heading_case(lines: Column) -> Column:
 
 def long_sentences(lines: Column, most: int = 30) -> Column:
     """Sentences of a line with over ``most`` words; headings and table rows are passed over."""
-    prose = F.filter(lines, lambda x: ~x["hidden"] & ~x["line"].rlike(rf"^[{WS}]*(?:[#|]|$)"))
 
     def one(x: Column) -> Column:
         counted = F.transform(split_sentences(strip(x["line"])), lambda s: F.struct(s.alias("s"), word_count(s).alias("n")))
         over = F.filter(counted, lambda c: c["n"] > most)
         return F.transform(over, lambda c: _violation(x["n"], F.lit(1), excerpt(c["s"], F.lit(0), 20), F.format_string(f"sentence length %d words (>{most})", c["n"])))
 
-    return F.flatten(F.transform(prose, one))
+    return F.flatten(F.transform(_prose(lines), one))
+
+
+def _prose(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~x["hidden"] & ~x["line"].rlike(rf"^[{WS}]*+(?:[#|]|$)"))
 
 
 def cliches(lines: Column) -> Column:
     """Clichés anywhere in a line, phrase by phrase; phrases may overlap."""
+    order = F.array(*[F.lit(p) for p in CLICHES])
 
-    def with_hits(hits: Column) -> Column:
-        def phrase(p: Column) -> Column:
-            def one(x: Column) -> Column:
-                free = F.filter(find_literal(F.lower(x["line"]), p), lambda c: ~c["coded"])
-                return F.transform(free, lambda c: _violation(x["n"], c["column"], excerpt(x["line"], c["column"] - 1, 20), F.concat(F.lit("cliché phrase '"), p, F.lit("'"))))
+    def one(x: Column) -> Column:
+        found = F.concat(*[find(F.lower(x["line"]), pattern) for find, pattern in CLICHE_SEARCHES])
+        free = F.filter(found, lambda m: ~m["coded"])
+        told = lambda m: _violation(x["n"], m["column"], excerpt(x["line"], m["column"] - 1, 20), F.concat(F.lit("cliché phrase '"), m["match"], F.lit("'")))
+        return F.transform(free, lambda m: F.struct(F.array_position(order, m["match"]).alias("p"), x["n"].alias("n"), m["column"].alias("c"), told(m).alias("v")))
 
-            return F.flatten(F.transform(F.filter(hits, lambda x: F.lower(x["line"]).contains(p)), one))
+    hits = F.flatten(F.transform(_cliched(lines), one))
+    return F.transform(F.array_sort(hits), lambda x: x["v"])
 
-        found = F.flatten(F.transform(F.array(*[F.lit(p) for p in CLICHES]), phrase))
-        return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(VIOLATION))
 
-    return let(F.filter(lines, lambda x: ~x["hidden"] & F.lower(x["line"]).rlike(ANY_CLICHE)), with_hits)
+def _cliched(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~x["hidden"] & F.lower(x["line"]).rlike(ANY_CLICHE))
 
 
 def list_overuse(lists: Column, lines: Column) -> Column:
@@ -211,22 +217,64 @@ def closers(paras: Column) -> Column:
     return F.filter(F.transform(paras, one), lambda v: v.isNotNull())
 
 
-def all_detectors(mechanical_only: bool = False) -> dict[tuple[str, str], Column]:
-    """Violations by rule and kind, over the columns of ``structure.with_structure``."""
-    lines, paras = F.col("lines"), F.col("paras")
-    found = {
-        ("RULE-05", "mechanical"): cliches(lines),
-        ("RULE-06", "mechanical"): jargon(lines),
-        ("RULE-12", "mechanical"): long_sentences(lines),
-        ("RULE-B", "mechanical"): dashes(lines),
-        ("RULE-D", "mechanical"): openers(lines),
-        ("RULE-G", "mechanical"): heading_case(lines),
-        ("RULE-I", "mechanical"): contractions(lines),
-    }
-    if not mechanical_only:
-        found |= {
-            ("RULE-A", "structural"): list_overuse(F.col("lists"), lines),
-            ("RULE-C", "structural"): same_starts(paras),
-            ("RULE-E", "structural"): closers(paras),
-        }
-    return found
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _uncoded(line: Column, pattern: str, find=find_all) -> Column:
+    """How many matches of a line stand outside of inline code; without a backtick they need no places."""
+    placed = F.size(F.filter(find(line, pattern), lambda m: ~m["coded"]))
+    plain = F.regexp_count(line, F.lit(pattern if find is find_all else f"(?={pattern})"))
+    return F.when(line.contains("`"), placed).otherwise(plain)
+
+
+def _count(lines: Column, pattern: str) -> Column:
+    return _sum(F.transform(_open(lines, pattern), lambda x: _uncoded(x["line"], pattern)))
+
+
+def count_long_sentences(lines: Column, most: int = 30) -> Column:
+    long = lambda x: F.size(F.filter(split_sentences(strip(x["line"])), lambda s: word_count(s) > most))
+    # A line of fewer characters than two for each word has none.
+    return _sum(F.transform(F.filter(_prose(lines), lambda x: F.length(x["line"]) > 2 * most), long))
+
+
+def count_cliches(lines: Column) -> Column:
+    counts = lambda x: sum(_uncoded(F.lower(x["line"]), pattern, find) for find, pattern in CLICHE_SEARCHES)
+    return _sum(F.transform(_cliched(lines), counts))
+
+
+def count_lists(lists: Column) -> Column:
+    return F.size(F.filter(lists, lambda x: (F.size(x["items"]) <= 2) | F.forall(x["items"], lambda t: token_count(t) <= 8)))
+
+
+def _alike(firsts: Column) -> Column:
+    """Whether two of three neighbouring words in an array are the same."""
+    near = lambda w, i: (w != "") & ((w == F.coalesce(F.get(firsts, i + 1), F.lit(""))) | (w == F.coalesce(F.get(firsts, i + 2), F.lit(""))))
+    return F.exists(F.transform(firsts, near), lambda x: x)
+
+
+def count_same_starts(paras: Column) -> Column:
+    return F.size(F.filter(paras, lambda p: _alike(p["firsts"])))
+
+
+#: What a detector finds and how often, without telling where; rules whose findings are few are counted as they are.
+KINDS = {
+    ("RULE-05", "mechanical"): (lambda d: cliches(d["lines"]), lambda d: count_cliches(d["lines"])),
+    ("RULE-06", "mechanical"): (lambda d: jargon(d["lines"]), lambda d: _count(d["lines"], JARGON_WORD)),
+    ("RULE-12", "mechanical"): (lambda d: long_sentences(d["lines"]), lambda d: count_long_sentences(d["lines"])),
+    ("RULE-B", "mechanical"): (lambda d: dashes(d["lines"]), lambda d: _count(d["lines"], DASH)),
+    ("RULE-D", "mechanical"): (lambda d: openers(d["lines"]), lambda d: F.size(openers(d["lines"]))),
+    ("RULE-G", "mechanical"): (lambda d: heading_case(d["lines"]), lambda d: F.size(heading_case(d["lines"]))),
+    ("RULE-I", "mechanical"): (lambda d: contractions(d["lines"]), lambda d: _count(d["lines"], CONTRACTION)),
+    ("RULE-A", "structural"): (lambda d: list_overuse(d["lists"], d["lines"]), lambda d: count_lists(d["lists"])),
+    ("RULE-C", "structural"): (lambda d: same_starts(d["paras"]), lambda d: count_same_starts(d["paras"])),
+    ("RULE-E", "structural"): (lambda d: closers(d["paras"]), lambda d: F.size(closers(d["paras"]))),
+}
+
+
+def all_detectors(mechanical_only: bool = False, rules: list[str] | None = None, counts_only: bool = False) -> dict[tuple[str, str], Column]:
+    """Violations by rule and kind, over the columns of ``structure.with_structure``; of ``rules`` only, if given. With
+    ``counts_only`` their number instead, for which no excerpt is built."""
+    data = {name: F.col(name) for name in ("lines", "paras", "lists")}
+    wanted = [k for k in KINDS if (rules is None or k[0] in rules) and not (mechanical_only and k[1] == "structural")]
+    return {k: KINDS[k][counts_only](data) for k in wanted}

@@ -14,7 +14,7 @@ from inkstone.operators.audit import audit, rule_results
 
 def draft_counts(drafts: DataFrame) -> DataFrame:
     """Violations by ``runner, task, generation, condition, rule``, mechanical rules only; zeros stay."""
-    flat = rule_results(audit(drafts.select("runner", "task", "generation", "condition", "text"), mechanical_only=True))
+    flat = rule_results(audit(drafts.select("runner", "task", "generation", "condition", "text"), mechanical_only=True, counts_only=True))
     return flat.groupBy("runner", "task", "generation", "condition", "rule").agg(F.sum("count").alias("n"))
 
 

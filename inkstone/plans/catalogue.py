@@ -167,18 +167,18 @@ def _audited(spark, sf_dir, **options) -> DataFrame:
 
 @_register("audit_results", prelude() + f"select {', '.join(_RESULT)} from audit")
 def audit_results(spark, sf_dir):
-    return au.rule_results(_audited(spark, sf_dir)).select(*_RESULT)
+    return au.rule_results(_audited(spark, sf_dir, counts_only=True)).select(*_RESULT)
 
 
 @_register("audit_mech_only", prelude() + f"select {', '.join(_RESULT)} from mech")
 def audit_mech_only(spark, sf_dir):
-    return au.rule_results(_audited(spark, sf_dir, mechanical_only=True)).select(*_RESULT)
+    return au.rule_results(_audited(spark, sf_dir, mechanical_only=True, counts_only=True)).select(*_RESULT)
 
 
 @_register("audit_totals", prelude() + "select doc_id, sum(count)::int as total_violations, count(*) filter (status = 'skipped') as skipped from audit group by doc_id")
 def audit_totals(spark, sf_dir):
     skipped = F.size(F.filter("rule_results", lambda r: r["status"] == "skipped")).cast("long")
-    return _audited(spark, sf_dir).select("doc_id", "total_violations", skipped.alias("skipped"))
+    return _audited(spark, sf_dir, counts_only=True).select("doc_id", "total_violations", skipped.alias("skipped"))
 
 
 @_register("audit_violations", prelude() + "select doc_id, rule, line, col, excerpt, detail from v")
@@ -188,24 +188,24 @@ def audit_violations(spark, sf_dir):
 
 @_register("audit_raw_totals", prelude(_RAW) + "select lang, sum(count)::bigint as violations, count(distinct doc_id) as documents from audit join docs using (doc_id) group by lang")
 def audit_raw_totals(spark, sf_dir):
-    audited = au.audit(_raw(spark, sf_dir).select("doc_id", "lang", "text"))
+    audited = au.audit(_raw(spark, sf_dir).select("doc_id", "lang", "text"), counts_only=True)
     return audited.groupBy("lang").agg(F.sum("total_violations").alias("violations"), F.count("*").alias("documents"))
 
 
 @_register("rule_totals", prelude() + "select rule, sum(count)::bigint as violations, count(*) filter (status = 'violation') as results from audit group by rule")
 def rule_totals(spark, sf_dir):
-    flat = au.rule_results(_audited(spark, sf_dir))
+    flat = au.rule_results(_audited(spark, sf_dir, counts_only=True))
     return flat.groupBy("rule").agg(F.sum("count").alias("violations"), F.count_if(F.col("status") == "violation").alias("results"))
 
 
 @_register("status_counts", prelude() + "select detector, status, count(*) as n from audit group by detector, status")
 def status_counts(spark, sf_dir):
-    return au.rule_results(_audited(spark, sf_dir)).groupBy("detector", "status").agg(F.count("*").alias("n"))
+    return au.rule_results(_audited(spark, sf_dir, counts_only=True)).groupBy("detector", "status").agg(F.count("*").alias("n"))
 
 
 @_register("skipped_rules", prelude() + "select string_agg(distinct rule, ',' order by rule) as rules, count(distinct rule) as n from audit where status = 'skipped'")
 def skipped_rules(spark, sf_dir):
-    found = au.rule_results(_audited(spark, sf_dir)).where("status = 'skipped'").agg(F.sort_array(F.collect_set("rule")).alias("r"))
+    found = au.rule_results(_audited(spark, sf_dir, skipped_only=True)).agg(F.sort_array(F.collect_set("rule")).alias("r"))
     return found.select(F.array_join("r", ",").alias("rules"), F.size("r").cast("long").alias("n"))
 
 

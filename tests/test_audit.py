@@ -130,10 +130,10 @@ def test_places_equal_plain_search(spark):
 
     from pyspark.sql import functions as F
 
-    from inkstone.functions.chars import find_all, find_literal
+    from inkstone.functions.chars import find_all, find_overlapping
 
     texts = ["", "ab", "a" * 300, "`a` a `a", "😀a`é" * 150, "xx"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(find_all(F.col("t"), "a").alias("x"), find_literal(F.col("t"), F.lit("a")).alias("y")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(find_all(F.col("t"), "a").alias("x"), find_overlapping(F.col("t"), "a").alias("y")).collect()
     for t, r in zip(texts, rows, strict=True):
         want = [(m.start() + 1, "a", t[: m.start()].count("`") % 2 == 1) for m in re.finditer("a", t)]
         assert [tuple(v) for v in r.x] == want == [tuple(v) for v in r.y]
@@ -146,3 +146,54 @@ def test_columns_of_the_caller_are_kept(spark):
     got = audit(docs).orderBy("doc_id").collect()
     assert [(r.doc_id, r.lines, r.paras, r["__RULE-B"], r.total_violations) for r in got] == [(1, 7, "p", 2.5, 1), (1, 7, "p", 2.5, 1), (2, None, None, None, 0)]
     assert audit(docs.limit(0)).count() == 0
+
+
+def test_overlapping_phrases_and_their_tree(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from inkstone.functions.chars import any_of, find_overlapping
+    from inkstone.operators.detectors import CLICHES, JARGON
+
+    for words in (CLICHES, JARGON, ["a", "ab", "abc", "b.c", "b"]):
+        tree = re.compile(any_of(words))
+        assert all(tree.fullmatch(w) for w in words)
+        assert not any(tree.fullmatch(w + "x") or tree.fullmatch(w[1:]) for w in words if w + "x" not in words and w[1:] not in words)
+    assert not any(a != b and a.startswith(b) for a in CLICHES for b in CLICHES)
+    texts = ["aba", "xaba`aba aba`ab", "ababa", "", "`", "bab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(find_overlapping(F.col("t"), any_of(["aba", "ba"])).alias("x")).collect()
+    for t, r in zip(texts, rows, strict=True):
+        want = [(m.start() + 1, m[1], t[: m.start()].count("`") % 2 == 1) for m in re.finditer("(?=(aba|ba))", t)]
+        assert [tuple(v) for v in r.x] == want
+
+
+def test_counts_equal_what_is_told(spark):
+    from inkstone.operators.audit import audit, rule_results
+
+    text = (
+        "# a bad Heading\n\nAdditionally, we `delve` delve — it's a novel approach, at the end of the day.\n" + "word " * 31 + ". Short.\n\nThe a. The b. The c. In summary, it is `so it's`\n\n"
+        "- one\n- two `—` – x\n\n```\nit's — code\n```\n> Moreover, state of the art, advance the state of the art.\n"
+    )
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, text * 3)], "doc_id long, text string")
+    keep = ["doc_id", "place", "rule", "severity", "detector", "status", "count", "note"]
+    key = lambda rows: sorted(map(tuple, rows.select(*keep).collect()))
+    for options in ({}, {"mechanical_only": True}, {"rules": ["RULE-B", "RULE-05", "RULE-01"]}):
+        told, counted = rule_results(audit(docs, **options)), rule_results(audit(docs, counts_only=True, **options))
+        assert "violations" not in counted.columns and key(told) == key(counted)
+    assert {r[2] for r in key(told)} == {"RULE-B", "RULE-05", "RULE-01"}
+    assert sum(r[6] for r in key(rule_results(audit(docs)))) > 40
+
+
+def test_what_is_not_asked_for_is_not_in_the_plan(spark):
+    from inkstone.operators.audit import audit, rule_results
+
+    docs = spark.createDataFrame([(1, "We delve.")], "doc_id long, text string")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    marks = {"RULE-B": "em", "RULE-D": "transition opener", "RULE-06": "AI-tell", "RULE-A": "list has", "RULE-C": "consecutive sentences"}
+    one = plan(rule_results(audit(docs, rules=["RULE-06"])))
+    assert marks["RULE-06"] in one and not any(m in one for r, m in marks.items() if r not in ("RULE-06", "RULE-B"))
+    none = plan(rule_results(audit(docs, skipped_only=True)))
+    assert not any(m in none for r, m in marks.items() if r != "RULE-B") and "__text" not in none
+    assert {r.status for r in rule_results(audit(docs, skipped_only=True)).collect()} == {"skipped"}
