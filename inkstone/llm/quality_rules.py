@@ -30,7 +30,8 @@ SPACE = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
 SYMBOLS = "[#*$%&|<>]"
 CLAUSE_END = r"""[.!?…:;,]["'”’»)\]]*(?:[ \t-\r]|$)"""
-NOISY_WORD = r"[^ \t-\r]*(?:[#*$%&]{3}|!!)[^ \t-\r]*"
+# Tried at the start of a word only, and up to its first mark, so that a word of a megabyte takes linear time.
+NOISY_WORD = r"(?<![^ \t-\r])[^ \t-\r]*?(?:[#*$%&]{3}|!!)"
 SEPARATOR = r"(?:^|[ \t-\r])[|»›•·>]+"
 # Fixed phrases of site furniture and licence notices.
 NOTICE = (
@@ -140,6 +141,7 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+_NOISY_WORD_SQL = r"[^ \t-\r]*(?:[#*$%&]{3}|!!)[^ \t-\r]*"
 ORACLE_SQL = f"""
 with d as (
   select row_number() over () as r, doc_id, coalesce(text, '') as text,
@@ -154,7 +156,7 @@ with d as (
   select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from twice) group by r
 ), lines as (
   select r, n, line, len(regexp_extract_all(line, {_sql(WORD)})) as nw,
-         len(regexp_extract_all(line, {_sql(NOISY_WORD)})) as noisy, len(regexp_extract_all(line, {_sql(SEPARATOR)})) as seps
+         len(regexp_extract_all(line, {_sql(_NOISY_WORD_SQL)})) as noisy, len(regexp_extract_all(line, {_sql(SEPARATOR)})) as seps
   from (select r, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from d)
 ), per_doc as (
   select r, count(*) filter (nw > 0) - count(distinct line) filter (nw > 0) as dups,

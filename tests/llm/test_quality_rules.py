@@ -1,9 +1,11 @@
 import re
+import time
 from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from inkstone.llm import quality_rules as qr
 
@@ -87,3 +89,20 @@ def test_sql_gives_the_same_rows(docs):
 def test_plan_has_no_python_and_no_shuffle(docs):
     plan = qr.measure(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_of_a_megabyte_take_linear_time(spark):
+    texts = {"letters": "a" * 1_000_000, "marks": "#!" * 500_000, "ends": ".'" * 500_000, "noisy": "a" * 999_990 + "!! b"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(1).cache()
+    table.count()
+    qr.measure(table.limit(0)).collect()
+    began = time.time()
+    found = {r.doc_id: r.clean_text for r in qr.measure(table).select("doc_id", "clean_text").collect()}
+    assert time.time() - began < 4 * len(texts)
+    assert found == {**texts, "noisy": ""}
+
+
+def test_noisy_words_are_counted_once(spark):
+    cases = {"a!!b!!c d": 1, "###": 1, "##": 0, "x$%&y !! z": 2, "": 0, "!!\t!! a#": 2}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.n for r in rows.select("t", F.regexp_count("t", F.lit(qr.NOISY_WORD)).alias("n")).collect()} == cases
