@@ -1,18 +1,19 @@
-"""SimHash near-duplicates through an inverted index on byte positions.
+"""SimHash near-duplicates through an inverted index on byte positions, with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most d bits agree in at least 8 - d of
-their bytes: that is the guaranteed minimum number of matches. Lists of one positional byte would each hold 1/256 of
-all documents, so tallying them pair by pair is quadratic. The index therefore keys its lists by 8 - d byte positions
-together (70 lists a fingerprint for d = 4): a pair shares a list exactly when its tally of shared positional bytes
-reaches the minimum, and only such pairs are verified bit by bit. Lists hold distinct fingerprints, so copies of a text
-count once.
-
-Lists of up to ``limit`` fingerprints are compared inside a task, and give at most one link less than they have members.
-A longer list is not compared pair by pair: each of its fingerprints probes all patterns within d/2 flipped bits, and
-those that meet at a probe are linked to the smallest one there. Two fingerprints at distance d or less always meet at a
-probe halfway, and all that meet are at distance d or less, so this is exact, and linear in the fingerprints.
-
-Sizes of lists are counted with a combine before the shuffle. The join that fetches members is salted. Components come
+their bytes: that is the guaranteed minimum number of matches. The index keys its lists by 7 - d byte positions together
+(56 lists a fingerprint for d = 4), one less than the minimum: a list of one position would hold 1/256 of all documents.
+In each list the shared positional bytes of its pairs are tallied, pairs below the minimum are refused by the count alone,
+and the others are verified bit by bit. A pair that reaches the minimum meets in several lists, in each of which the same
+is found. Lists hold distinct fingerprints, so copies of a text count once.
+
+Lists of up to ``limit`` fingerprints are tallied inside a task, and give at most one link less than they have members. A
+longer list is not compared pair by pair: each of its fingerprints probes all patterns within d/2 flipped bits, and those
+that meet at a probe are linked to the smallest one there. Two fingerprints at distance d or less always meet at a probe
+halfway, and all that meet are at distance d or less, so this is exact, and linear in the fingerprints.
+
+Sizes of lists are counted with a combine before the shuffle. The join that fetches members deals a
+list over as many salts as its size asks for. Components come
 from alternating star contraction over checkpointed links; nothing about documents goes to the driver.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link like others. Rows with
@@ -86,33 +87,37 @@ def _longs(values: list[int]):
     return F.lit(np.array(values, np.int64))
 
 
-def list_edges(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links inside one short inverted list that connect what all its close pairs connect: shared positional bytes are
-    tallied for its pairs, those with the guaranteed minimum are retained and verified by their bits."""
+def retained_pairs(members: np.ndarray, one: int, others: np.ndarray, least: int) -> np.ndarray:
+    """Which of ``others`` share at least ``least`` positional bytes with ``one`` (places in ``members``)."""
     bytes_of = members.view(np.uint8).reshape(-1, 8)
-    tally = (bytes_of[:, None] == bytes_of[None, :]).sum(axis=2)
-    apart = np.bitwise_count((members[:, None] ^ members[None, :]).view(np.uint64))
-    apart[tally < 8 - distance] = 64
-    left = set(range(len(members)))
+    return others[(bytes_of[others] == bytes_of[one]).sum(axis=1) >= least]
+
+
+def list_edges(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links inside one inverted list that connect what all its close pairs connect: shared positional bytes are tallied
+    for its pairs, those with the guaranteed minimum are retained and verified by their bits."""
+    left = np.ones(len(members), bool)
     edges = []
-    while left:  # walk outwards from one member along close pairs
-        front = [left.pop()]
+    for start in range(len(members)):  # walk outwards from each member that is left, along close pairs
+        front = [start] if left[start] else []
+        left[start] = False
         while front:
             at = front.pop()
-            near = [i for i in left if apart[at, i] <= distance]
-            left.difference_update(near)
-            front += near
+            likely = retained_pairs(members, at, np.flatnonzero(left), 8 - distance)
+            near = likely[np.bitwise_count((members[likely] ^ members[at]).view(np.uint64)) <= distance]
+            left[near] = False
+            front += near.tolist()
             edges += [(int(members[at]), int(members[i])) for i in near]
     return edges
 
 
-def links(fps: DataFrame, distance: int = 4, limit: int = 64, salts: int = 8) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, limit: int = 1024, most: int = 1000) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) that join exactly the fingerprints which pairs at
     ``distance`` or less join."""
-    shared = 8 - distance
+    shared = 7 - distance
     if not 0 < shared < 8 or distance % 2:
         raise ValueError("distance must be 2, 4 or 6")
-    # Dealt anew first: fingerprints are small, so few partitions hold them, and each gives 70 rows. By a hash, since a
+    # Dealt anew first: fingerprints are small, so few partitions hold them, and each gives 56 rows. By a hash, since a
     # deal by fp itself would be left out as already there, and then coalesced.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.posexplode(_longs(position_masks(shared))).alias("place", "mask"))
@@ -120,8 +125,10 @@ def links(fps: DataFrame, distance: int = 4, limit: int = 64, salts: int = 8) ->
     sizes = lists.groupBy("place", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     sizes = cut_lineage(sizes.where("n >= 2"))
     two = sizes.where("n = 2").where(F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= distance)
-    wanted = sizes.where("n > 2").select("place", "bytes", "n", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = lists.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+    # A list has a salt for each ``most`` members; the salts of short lists are one, and stand in no table.
+    salts = sizes.where(F.col("n") > most).select("place", "bytes", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    salted = lists.join(salts, ["place", "bytes"], "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    wanted = sizes.where("n > 2").select("place", "bytes", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)).alias("salt"))
     members = cut_lineage(salted.join(wanted, ["place", "bytes", "salt"]).select("place", "bytes", "fp", "n"))
     short = members.where(F.col("n") <= limit).groupBy("place", "bytes").agg(F.collect_list("fp").alias("members"))
 
@@ -144,7 +151,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root``: the smallest node that each node of ``a, b`` links reaches.
 
     Each round hangs a node's larger neighbours on its smallest neighbour, then its smaller ones; trees become stars in
-    a number of rounds that grows as the square of the logarithm of the nodes. A node with very many neighbours is
+    a number of rounds that grows as the square of the logarithm of the nodes; more than ``rounds`` are an error. A node with very many neighbours is
     handled by a minimum (combined before the shuffle) and a join, never gathered.
     """
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -182,16 +189,17 @@ def roots(classes: DataFrame, distance: int, limit: int) -> DataFrame:
     return with_roots(classes, components(links(classes.select("fp"), distance, limit)), "fp")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of each row; ``component_id`` is the smallest doc_id that links reach."""
     fps = cut_lineage(fingerprints(docs, width, id_col, text_col))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = cut_lineage(roots(classes, distance, limit))
-    # Only groups of several fingerprints need the join; it is dealt over salts, since one group may hold very many.
-    salts = 16
+    # Only groups of several fingerprints need the join; it is dealt over as many salts as the group asks for.
     grouped = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1")
-    grouped = grouped.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    dealt = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+    grouped = cut_lineage(grouped.withColumn("salts", F.ceil(F.col("n") / 1000).cast("int")))
+    salts = grouped.where("salts > 1").select("root", "salts")
+    dealt = rooted.join(salts, "root", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    grouped = grouped.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     labels = dealt.join(grouped, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
@@ -201,7 +209,7 @@ def fingerprint_text(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 4, width: int = 4, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group: that of the smallest id (null is the greatest), then text hash."""
     fps = cut_lineage(fingerprints(docs, width, id_col, text_col, hashed=True))
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -99,3 +100,26 @@ def test_keep_one_goes_by_text_not_by_id_alone(spark):
     rows = [(7, one), (7, two), (7, two), (8, one), (None, three), (None, three), (None, two)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, one), (7, two), (None, three)], key=str)
+
+
+def test_the_tally_refuses_pairs_of_a_list():
+    one = 0x0102030405060708
+    three = 0x01020304FFFFFFFF ^ 0x1100_0000_0000_0000  # shares three bytes with it
+    four = one ^ 0x0101_0101_0000_0000
+    members = np.array([one, three, four], np.int64)
+    shared = (members.view(np.uint8).reshape(-1, 8) == members.view(np.uint8).reshape(-1, 8)[0]).sum(axis=1)
+    assert shared.tolist() == [8, 3, 4]
+    masks = simhash.position_masks(3)
+    meets = lambda a, b: any(int(a) & m == int(b) & m for m in masks)
+    assert meets(one, four) and meets(one, three)
+    assert simhash.retained_pairs(members, 0, np.array([1, 2]), 4).tolist() == [2]
+    assert simhash.list_edges(members, 4) == [(one, four)]
+
+
+def test_a_list_of_every_size_gives_the_same_groups(spark):
+    rng = random.Random(8)
+    core = rng.getrandbits(63)
+    fps = sorted({core ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(6))) for _ in range(300)})
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = [sorted((r.node, r.root) for r in simhash.components(simhash.links(frame, 4, limit, most)).collect()) for limit, most in ((8, 1000), (1024, 1000), (1024, 10))]
+    assert found[0] == found[1] == found[2]
