@@ -248,11 +248,13 @@ def groups_of(batches, width: int):
 def _blocked(askers: DataFrame, members: DataFrame, sizes: DataFrame, group: str, block: int, carried: list[str]) -> DataFrame:
     """Askers (``group, key``) and members of groups dealt over blocks of both, in order; each asker meets each member of its
     group in one block. ``sizes`` has ``group, asking, held``: how many there are."""
+    degree = sizes.select(group, (F.col("asking") + F.col("held")).alias("degree"))
     sizes = sizes.select(group, F.ceil(F.col("asking") / block).cast("int").alias("chunks"), F.ceil(F.col("held") / block).cast("int").alias("blocks"))
+    sized = lambda rows: _join_frequent(rows, sizes, degree, group, "key")
     own = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = askers.join(sizes, group).select(group, own("chunks", 3).alias("chunk"), every("blocks").alias("block"), F.lit(1).alias("side"), *carried)
-    right = members.join(sizes, group).select(group, every("chunks").alias("chunk"), own("blocks", 4).alias("block"), F.lit(0).alias("side"), *carried)
+    left = sized(askers).select(group, own("chunks", 3).alias("chunk"), every("blocks").alias("block"), F.lit(1).alias("side"), *carried)
+    right = sized(members).select(group, every("chunks").alias("chunk"), own("blocks", 4).alias("block"), F.lit(0).alias("side"), *carried)
     parts = int(askers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return left.unionByName(right).repartition(parts, group, "block", "chunk").sortWithinPartitions(group, "block", "chunk")
 
@@ -263,7 +265,7 @@ def asked_clusters(members: DataFrame, classes: DataFrame, rooted: DataFrame, mi
     centres = rooted.select(F.col("key").alias("centre"), F.col("root").alias("centre_root"))
     told = members.join(rooted, "key").join(centres, "centre")
     told = scratch.write(told.select("list", "key", "root", "cluster", (F.col("root") != F.col("centre_root")).alias("asks")))
-    sizes = told.groupBy("list").agg(F.sum(F.col("asks").cast("int")).alias("asking"), F.count("*").alias("held")).where("asking > 0")
+    sizes = scratch.write(told.groupBy("list").agg(F.sum(F.col("asks").cast("int")).alias("asking"), F.count("*").alias("held")).where("asking > 0"))
     rows = told.join(classes.select("key", "size", "signature"), "key")
     dealt = _blocked(rows.where("asks"), rows, sizes, "list", block, ["key", "root", "cluster", "size", "signature"])
 
@@ -290,7 +292,7 @@ def across_components(asked: DataFrame, docs: DataFrame, classes: DataFrame, roo
     keys = asked.select("key").union(held.select("key")).distinct()
     sets = shingle_sets(docs, classes, keys, width, id_col, text_col)
     sets = scratch.write(sets.join(classes.select("key", "size", "signature"), "key").join(rooted.select("key", "root"), "key"))
-    sizes = asked.groupBy("cluster").agg(F.count("*").alias("asking")).join(held.groupBy("cluster").agg(F.count("*").alias("held")), "cluster")
+    sizes = scratch.write(asked.groupBy("cluster").agg(F.count("*").alias("asking")).join(held.groupBy("cluster").agg(F.count("*").alias("held")), "cluster"))
     dealt = _blocked(asked.join(sets, "key"), held.join(sets, "key"), sizes, "cluster", block, ["key", "root", "size", "signature", "shingles"])
 
     def run(batches):
