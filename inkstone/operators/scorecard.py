@@ -2,6 +2,9 @@
 
 Drafts have ``runner, task, generation, condition`` ('baseline' or 'treatment') and a text. All sums combine before
 their shuffle; keys of scorecards (runners, tasks, rules) are few, whatever the number of drafts.
+
+Defined results: drafts that repeat count as often as they stand; null texts have no violations; null keys are keys of
+their own. Empty tables give no rows. Columns beside the named ones stay behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,8 +67,18 @@ def total_rows(counts: DataFrame) -> DataFrame:
     return sums.withColumn("pct", percent(F.col("baseline"), F.col("delta")))
 
 
-def matrix(rules: DataFrame, runners: list[str]) -> DataFrame:
-    """``rule`` and one column of signed deltas per runner; a runner without the rule shows 0."""
+def runners_of(rules: DataFrame, most: int = 200) -> list[str]:
+    """The names of the runners in the data, in order; more than ``most`` are an error, since each becomes a column."""
+    found = [r.runner for r in rules.select("runner").where(F.col("runner").isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} runners")
+    return sorted(found)
+
+
+def matrix(rules: DataFrame, runners: list[str] | None = None, most: int = 200) -> DataFrame:
+    """``rule`` and one column of signed deltas per runner; a runner without the rule shows 0. Runners that are not given
+    are those found in the data, at most ``most``."""
+    runners = runners_of(rules, most) if runners is None else runners
     wide = rules.groupBy("rule").pivot("runner", runners).agg(F.sum("delta"))
     return wide.select("rule", *[signed(F.coalesce(F.col(f"`{r}`"), F.lit(0))).alias(r) for r in runners])
 

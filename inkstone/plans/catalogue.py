@@ -15,7 +15,7 @@ from inkstone.operators import audit as au
 from inkstone.operators import scorecard as sc
 from inkstone.operators.detectors import all_detectors
 from inkstone.operators.structure import lines_of, with_structure
-from inkstone.plans import registers
+from inkstone.plans import registers, releases
 from inkstone.plans.dressing import dressed, dressed_sql
 from inkstone.plans.oracle import COUNTED_WORD, DRAFTS, SCORES, lit, prelude, sentences
 from inkstone.plans.oracle import excerpt as excerpt_sql
@@ -336,7 +336,7 @@ _LANGS = ["de", "en", "es", "fr"]
     + " from rule_sums group by rule)",
 )
 def rule_matrix(spark, sf_dir):
-    return sc.matrix(sc.rule_rows(sc.draft_counts(_drafts(spark, sf_dir))), _LANGS)
+    return sc.matrix(sc.rule_rows(sc.draft_counts(_drafts(spark, sf_dir))))
 
 
 # Files: canonical bytes, signatures, marked blocks, manifests.
@@ -665,7 +665,7 @@ def scorecard_round_trip(spark, sf_dir):
 )
 def matrix_text(spark, sf_dir):
     counts = sc.draft_counts(_drafts(spark, sf_dir))
-    return benchmark.matrix_lines(counts, _LANGS)
+    return benchmark.matrix_lines(counts)
 
 
 @_register("task_file_scan", "select 'file-' || lang as file, 'task-' || doc_id as task, regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g') || chr(10) || lang as prompt from documents")
@@ -677,8 +677,8 @@ def task_file_scan(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | registers.QUERIES
+    return _QUERIES | registers.QUERIES | releases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES | registers.ORACLES
+    return _ORACLES | registers.ORACLES | releases.ORACLES

@@ -1,4 +1,8 @@
-"""Benchmark files: task lists, scorecards and matrices as Markdown."""
+"""Benchmark files: task lists, scorecards and matrices as Markdown.
+
+Defined results: null and empty texts hold no tasks; a scorecard without its totals is an error. Repeated files give their
+rows again. Columns beside the named ones stay behind. Empty tables give no rows, and a matrix without any.
+"""
 
 from __future__ import annotations
 
@@ -23,8 +27,15 @@ def _table(rows: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(rows), lambda r: r["line"]), "")
 
 
-def render_scorecards(counts: DataFrame, version: str, generations: int, date: str = "") -> DataFrame:
-    """``file, text``: one scorecard per runner. Tasks and rules are few, so a runner's rows fit in one row."""
+def utc_date(clock: Column) -> Column:
+    """A moment as its day in UTC, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(clock) / 86400).cast("int")).cast("string")
+
+
+def render_scorecards(counts: DataFrame, version: str, generations: int, date: str | Column = "") -> DataFrame:
+    """``file, text``: one scorecard per runner. Tasks and rules are few, so a runner's rows fit in one row. ``date`` is a
+    text, or a timestamp of which the day in UTC is written: ``F.current_timestamp()``, or a fixed one."""
+    date = utc_date(date) if isinstance(date, Column) else F.lit(date)
     cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(x).cast("string") for x in c]), F.lit(" |\n"))
     tasks = sc.task_rows(counts).groupBy("runner").agg(
         F.collect_list(F.struct("task", cells("task", "baseline", "treatment", "delta", "dominant").alias("line"))).alias("tasks"),
@@ -32,7 +43,7 @@ def render_scorecards(counts: DataFrame, version: str, generations: int, date: s
     )
     rules = sc.rule_rows(counts).groupBy("runner").agg(F.collect_list(F.struct("rule", cells("rule", "baseline", "treatment", "delta").alias("line"))).alias("rules"))
     text = F.concat(
-        F.lit(f"# Benchmark v{version}\n\n- Runner: "), "runner", F.lit(f"\n- Generations per condition: {generations}\n- Date: {date}\n\n## Per-task delta (mechanical rules)\n\n"),
+        F.lit(f"# Benchmark v{version}\n\n- Runner: "), "runner", F.lit(f"\n- Generations per condition: {generations}\n- Date: "), date, F.lit("\n\n## Per-task delta (mechanical rules)\n\n"),
         F.lit("| Task | Baseline total | Treatment total | Delta | Dominant rule |\n|---|---|---|---|---|\n"), _table(F.col("tasks")),
         F.lit("\n## Totals\n\n| | Baseline | Treatment | Delta |\n|---|---|---|---|\n"),
         F.format_string("| total violations | %d | %d | %d |\n", F.col("b"), F.col("t"), F.col("t") - F.col("b")),
@@ -66,8 +77,9 @@ def scan_scorecards(files: DataFrame) -> DataFrame:
     return flat.select("runner", F.col("c1").alias("rule"), number("c2").alias("baseline"), number("c3").alias("treatment"), number("c4").alias("delta"), number("t1").alias("total_baseline"), number("t2").alias("total_treatment"))
 
 
-def matrix_lines(counts: DataFrame, runners: list[str]) -> DataFrame:
+def matrix_lines(counts: DataFrame, runners: list[str] | None = None) -> DataFrame:
     """``part, k, line``: rows of the matrix's two tables, totals (1) and rules (2), to be ordered by part and k."""
+    runners = sc.runners_of(counts) if runners is None else runners
     total = sc.total_rows(counts).where(F.col("runner").isin(runners))
     totals = total.select(F.lit(1).alias("part"), F.col("runner").alias("k"), F.concat(F.lit("| "), F.concat_ws(" | ", "runner", F.col("baseline").cast("string"), F.col("treatment").cast("string"), sc.signed(F.col("delta")), "pct"), F.lit(" |")).alias("line"))
     rules = sc.matrix(sc.rule_rows(counts), runners)

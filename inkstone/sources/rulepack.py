@@ -12,11 +12,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.chars import WS, strip
+from inkstone.functions.chars import WS, let, strip
 from inkstone.sources.documents import read_texts
 
-HEADING = rf"(?m)^####[{WS}]+(RULE-[0-9A-I]+):[{WS}]*([^\n]+?)[{WS}]*$"
-_BEFORE_RULE = rf"(?m)(?=^####[{WS}]+RULE-[0-9A-I]+:[{WS}]*[^{WS}])"
+# A rule's block opens with its heading; all other fields stand in its head or behind headings of level 5.
+RULE_START = rf"(?m)(?=^####[{WS}]++RULE-[0-9A-I]++:[{WS}]*+[^{WS}])"
 
 
 def resolve(start: str, name: str = "RULES.md", bundle: str | None = None) -> tuple[str, str]:
@@ -37,34 +37,67 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return parse(read_texts(spark, path), "file")
 
 
-def _meta(block: Column, name: str, value: str) -> Column:
-    return F.regexp_extract(block, rf"(?im)^-\s*\*\*{name}\*\*:\s*({value})", 1)
+def resolve_all(folders: DataFrame, files: DataFrame, name: str = "RULES.md", bundle: str | None = None) -> DataFrame:
+    """``folder, source, path`` of the nearest pack of each folder: a file ``name`` in it or in a folder above it, the
+    deepest first, else the bundled one; ``source`` is null where there is neither. ``files`` lists the ``path`` of files.
 
-
-def _blocks(packs: DataFrame, key: str) -> DataFrame:
-    found = F.filter(F.split("text", _BEFORE_RULE, -1), lambda b: b.rlike(rf"^####[{WS}]+RULE-"))
-    return packs.select(key, F.posexplode(found).alias("ord", "block")).withColumn("ord", F.col("ord") + 1)
-
-
-def _directive(block: Column) -> Column:
-    return strip(F.regexp_extract(block, r"(?ims)^#####\s+Directive\s*$(.*?)^#####", 1))
+    Folders meet packs by equality of a folder above, so no path is compared with all others; of equal paths one counts.
+    Paths have forward slashes, an absolute one begins with a slash; trailing slashes do not count.
+    """
+    slashed = F.regexp_replace("path", "/+$", "")
+    packs = files.select(slashed.alias("path")).where(F.element_at(F.split("path", "/"), -1) == name).distinct()
+    packs = packs.select("path", F.when(F.col("path").contains("/"), F.regexp_replace("path", "(?<=.)/[^/]*$|(?<=^/)[^/]*$", "")).otherwise("").alias("at"))
+    steps = F.split(F.regexp_replace("folder", "/+$", ""), "/")
+    absolute = F.col("folder").startswith("/")
+    # The root of relative paths is the empty text, before any step; that of absolute ones is a slash, the empty first step.
+    at = lambda n: F.when(absolute & (n == 1), "/").otherwise(F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    above = F.transform(F.sequence(absolute.cast("int"), F.size(steps)), lambda n: F.struct(n.alias("depth"), at(n).alias("at")))
+    reached = folders.select("folder", F.inline(above)).join(packs, "at")
+    best = reached.groupBy("folder").agg(F.max(F.struct("depth", "path")).alias("b")).select("folder", F.col("b.path").alias("path"))
+    every = folders.select("folder").distinct().join(best, "folder", "left")
+    source = F.when(F.col("path").isNotNull(), "project-local")
+    if bundle:
+        source = source.otherwise("package-bundle")
+    return every.select("folder", source.alias("source"), F.coalesce("path", F.lit(bundle)).alias("path"))
+
+
+def _fields(head: Column) -> Column:
+    """The list fields of a rule's head, as a map from lower-case names to values; of repeated names the first counts."""
+    listed = F.filter(F.split(head, "\n", -1), lambda x: x.startswith("- **") & x.contains("**:"))
+    name = lambda x: F.lower(F.substring_index(F.substring(x, F.lit(5), F.length(x)), "**:", 1))
+    pairs = F.transform(listed, lambda x: F.struct(name(x).alias("k"), strip(F.substring(x, F.instr(x, "**:") + 3, F.length(x))).alias("v")))
+
+    def first_of_each(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(pairs, lambda p: p["k"] == n), F.lit(0))["v"]))
+
+    return let(pairs, first_of_each)
 
 
 def parse(packs: DataFrame, key: str = "file") -> DataFrame:
     """``key, ord, rule, title, severity, scope, source, directive, rationale``; a missing field is the empty string, and
-    so is a directive that no further heading of level 5 follows."""
-    block = F.col("block")
-    return _blocks(packs, key).select(
-        key,
-        "ord",
-        F.regexp_extract(block, HEADING, 1).alias("rule"),
-        strip(F.regexp_extract(block, HEADING, 2)).alias("title"),
-        F.lower(_meta(block, "severity", "[a-zA-Z]+")).alias("severity"),
-        strip(_meta(block, "scope", r"[^\n]+")).alias("scope"),
-        strip(_meta(block, "source", r"[^\n]+")).alias("source"),
-        _directive(block).alias("directive"),
-        strip(F.regexp_extract(block, r"(?ims)^#####\s+Rationale for AI Agent\s*$(.*?)(?=^####\s|\z)", 1)).alias("rationale"),
-    )
+    so is a directive that no further heading of level 5 follows.
+
+    A text is cut at its rules, a rule at its headings of level 5; every field is then taken from a short piece."""
+    blocks = F.filter(F.split("text", RULE_START, -1), lambda b: b.rlike(rf"^####[{WS}]++RULE-"))
+    rules = packs.select(key, F.posexplode(blocks).alias("ord", "block")).select(key, (F.col("ord") + 1).alias("ord"), F.split("block", r"(?m)(?=^#####[ \t])", -1).alias("parts"))
+    head = F.get("parts", F.lit(0))
+    first = F.substring_index(head, "\n", 1)
+    tag = F.regexp_extract(first, rf"^####[{WS}]++(RULE-[0-9A-I]++):", 1)
+    heading = lambda part: strip(F.regexp_replace(F.substring_index(part, "\n", 1), "^#####", ""))
+    body = lambda part: F.when(part.contains("\n"), strip(F.substring(part, F.instr(part, "\n") + 1, F.length(part)))).otherwise("")
+    last = F.size("parts") - 1
+
+    def section(title: str, closed: bool) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.lower(heading(F.get("parts", i))) == title.lower())
+        return let(F.get(at, F.lit(0)), lambda i: F.when(i.isNotNull() & ((i < last) | F.lit(not closed)), body(F.get("parts", i))).otherwise(""))
+
+    got = rules.select(key, "ord", "parts", tag.alias("rule"), strip(F.substring(first, F.instr(first, ":") + 1, F.length(first))).alias("title"), _fields(head).alias("__fields"))
+    field = lambda name: F.coalesce(F.try_element_at("__fields", F.lit(name)), F.lit(""))
+    return got.select(
+        key, "ord", "rule", "title", F.lower(F.regexp_extract(field("severity"), "^[A-Za-z]+", 0)).alias("severity"), field("scope").alias("scope"), field("source").alias("source"),
+        section("Directive", True).alias("directive"), section("Rationale for AI Agent", False).alias("rationale"),
+    )
 
 
 _MARK = "\ufdd0"

@@ -153,3 +153,55 @@ def test_skills(spark):
 
 def test_empty_tables(spark):
     assert derived(spark, []) == []
+
+
+def test_nearest_packs(spark):
+    from inkstone.sources.rulepack import resolve_all
+
+    files = ["RULES.md", "a/b/RULES.md", "a/b/RULES.md", "/RULES.md", "/x/y/RULES.md", "a/b/c/OTHER.md", "a/b/c/RULES.md/z"]
+    folders = ["a", "a/b", "a/b/c/", "", "/", "/x", "/x/y/z", "/x/yy"]
+    tables = spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame([(f,) for f in folders] * 2, "folder string")
+    found = {r.folder: (r.source, r.path) for r in resolve_all(tables[1], tables[0]).collect()}
+    local = lambda p: ("project-local", p)
+    assert found == {
+        "a": local("RULES.md"), "a/b": local("a/b/RULES.md"), "a/b/c/": local("a/b/RULES.md"), "": local("RULES.md"), "/": local("/RULES.md"), "/x": local("/RULES.md"), "/x/y/z": local("/x/y/RULES.md"), "/x/yy": local("/RULES.md"),
+    }
+    none = tables[0].where("path = 'none'")
+    assert {(r.source, r.path) for r in resolve_all(tables[1], none).collect()} == {(None, None)}
+    assert {(r.source, r.path) for r in resolve_all(tables[1], none, bundle="/b").collect()} == {("package-bundle", "/b")}
+
+
+def test_version_rewrites(spark):
+    from inkstone.sources.versions import rewrite
+
+    rows = [("a.md", 'v1.0 "1.0" k@1.0 // 1.0 1.0 v1.0.1'), ("b.txt", "v1.0"), ("CHANGELOG.md", "v1.0"), ("c.py", None), ("c.py", "v1.0 v1.0")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    required = spark.createDataFrame([("c.py", 1), ("c.py", 2), ("a.md", 1)], "path string, least long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(rewrite(files, "1.0", "2.0", "k", required)) == sorted([
+        ("a.md", 5, "updated", 'v2.0 "2.0" k@2.0 // 2.0 1.0 v2.0.1'), ("b.txt", 0, "skipped", "v1.0"), ("CHANGELOG.md", 0, "skipped", "v1.0"), ("c.py", 0, "short", ""), ("c.py", 2, "updated", "v2.0 v2.0"),
+    ])
+    checked = rewrite(files, "1.0", "2.0", "k", check=True)
+    assert {r.state for r in checked.collect()} == {"stale", "skipped", "unchanged"} and checked.where("text like '%2.0%'").count() == 0
+    assert rewrite(files.limit(0), "1.0", "2.0", "k").collect() == []
+
+
+def test_dates_and_runners_come_from_the_data(spark):
+    from inkstone.operators import scorecard as sc
+    from inkstone.sources.benchmark import matrix_lines, render_scorecards
+
+    counts = spark.createDataFrame([("m", "t", 1, "baseline", "RULE-B", 2), ("k", "t", 1, "treatment", "RULE-B", 3)], "runner string, task string, generation int, condition string, rule string, n long")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Pacific/Auckland", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            cards = render_scorecards(counts, "1.0", 2, F.timestamp_seconds(F.lit(1_700_000_000))).collect()
+            assert all("- Date: 2023-11-14\n" in c.text for c in cards)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert all("- Date: today\n" in c.text for c in render_scorecards(counts, "1.0", 2, "today").collect())
+    assert sc.matrix(sc.rule_rows(counts)).columns == ["rule", "k", "m"]
+    assert [r.line for r in matrix_lines(counts).where("part = 2").collect()] == ["| RULE-B | +3 | -2 |"]
+    with pytest.raises(ValueError, match="runners"):
+        sc.matrix(sc.rule_rows(counts), most=1)
+    assert sc.runners_of(sc.rule_rows(counts.limit(0))) == []
