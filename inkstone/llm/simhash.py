@@ -121,16 +121,16 @@ def links(fps: DataFrame, distance: int = 4, limit: int = 1024, most: int = 1000
     # deal by fp itself would be left out as already there, and then coalesced.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.posexplode(_longs(position_masks(shared))).alias("place", "mask"))
-    lists = lists.select("place", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
-    sizes = lists.groupBy("place", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    sizes = cut_lineage(sizes.where("n >= 2"))
-    two = sizes.where("n = 2").where(F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= distance)
-    # A list has a salt for each ``most`` members; the salts of short lists are one, and stand in no table.
-    salts = sizes.where(F.col("n") > most).select("place", "bytes", F.ceil(F.col("n") / most).cast("int").alias("salts"))
-    salted = lists.join(salts, ["place", "bytes"], "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    wanted = sizes.where("n > 2").select("place", "bytes", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)).alias("salt"))
-    members = cut_lineage(salted.join(wanted, ["place", "bytes", "salt"]).select("place", "bytes", "fp", "n"))
-    short = members.where(F.col("n") <= limit).groupBy("place", "bytes").agg(F.collect_list("fp").alias("members"))
+    # A list is named by a hash; should two lists share one, their pairs are tallied together, and refused all the same.
+    lists = lists.select(F.xxhash64("place", F.col("fp").bitwiseAND(F.col("mask"))).alias("list"), "fp")
+    sizes = cut_lineage(lists.groupBy("list").agg(F.count("*").alias("n")).where("n >= 2"))
+    # A list has a salt for each ``most`` members; short lists have one, and stand in no table of salts.
+    salts = sizes.where(F.col("n") > most).select("list", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    salted = lists.join(salts, "list", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    wanted = sizes.select("list", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)).alias("salt"))
+    # One plan at every size: the sizes grow with the documents, so they are never broadcast.
+    members = cut_lineage(salted.join(wanted.hint("merge"), ["list", "salt"]).select("list", "fp", "n"))
+    short = members.where(F.col("n") <= limit).groupBy("list").agg(F.collect_list("fp").alias("members"))
 
     def inside(batches):
         for batch in batches:
@@ -144,7 +144,7 @@ def links(fps: DataFrame, distance: int = 4, limit: int = 1024, most: int = 1000
     probes = probes.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("probe"), "fp")
     centres = probes.groupBy("probe").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("probe", "a")
     star = probes.join(centres, "probe").where("fp > a").select("a", F.col("fp").alias("b"))
-    return two.select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(near).unionAll(star).distinct()
+    return near.unionAll(star).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
