@@ -1,24 +1,26 @@
 """Language-model scoring: masked pseudo-likelihood from a small bidirectional window network.
 
-Tokens are lower-cased words. Symbols of the network are the ``words`` most frequent words of the corpus (10,000) and
-``BUCKETS`` classes (by length and last letters) for all others; id 0 is the edge of a text. The network predicts each
-symbol from the symbols at its two sides: hidden = tanh(left[l] + right[r] + bias); a gate gives the log-probability of
-a symbol's group (``width`` neighbours in the vocabulary), and hidden @ out + offset that of the symbol in its group, so
-that a token costs two short softmaxes, and a small vocabulary is one group. A word of a class adds
-log p(word | class) from its count in all documents. A document's score is the sum over all its tokens.
-
-Words are counted over the whole corpus with a combine before the shuffle. Training visits every document: each task
-trains a copy of the network on mini-batches of the windows of its documents, counted by cell, and sends its changes in
-pieces; Spark adds the pieces, each symbol's weighted by how often the task met it; the driver gets one network. That is
-repeated ``rounds`` times, over another share of the documents each time, so that every document trains once, whatever
-the corpus's size. Scoring is one pass: the next ``listed`` words (200,000) are told with their counts, all others are joined with theirs.
+Tokens are lower-cased words. Symbols of the network are the ``words`` most frequent words of the corpus (1,500) and
+``BUCKETS`` classes (by length and last letters) for all others; id 0 is the edge of a text. Each token is predicted from
+the symbols at its two sides: two branches, softmax(tanh(embedding of the neighbour) @ out + offset), one for each side,
+and the symbols' frequencies are mixed by a gate that depends on how often the two neighbours stand in the corpus. A word
+of a class adds log p(word | class) from its count in all documents. A document's score is the sum over all its tokens.
+
+    counting  Spark counts words, and then which symbol follows which, over all documents, combined in each task. The table
+              of symbols has a size that parameters bound, whatever the corpus's size
+    training  the branches are trained in numpy on those counts, each weighted by its number, with Adam: as if on every
+              window of the corpus, without reading it again
+    gate      one pass over all documents sums, for each pair of frequency classes of the neighbours, how much of its tokens
+              each of the three predictions explains (a step of expectation maximisation); Spark adds the sums
+    scoring   one pass: the branches are told as tables of log-probabilities, the next ``listed`` words (200,000) with their
+              counts, all other words are joined with theirs
 
 Words that the corpus does not hold share the weight of the words that stand once in their class (Good and Turing), at
 six bits a letter.
 
 Defined results: null and empty texts have no tokens, score 0.0 and a null mean. Rows that repeat count and score as rows
-of their own. Extra columns are not carried. An empty corpus leaves the network as it starts, which is near uniform;
-an empty table gives no rows.
+of their own. Extra columns are not carried. Words over ``LONGEST`` bytes are of classes, and joined. An empty corpus
+leaves the network near uniform; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from inkstone.llm.bpe import top_counts
 from inkstone.llm.columns import id_and_text, slices
 from inkstone.runtime import cut_lineage
 
-BUCKETS = 32
+BUCKETS = 256
 EDGE = 0
+LONGEST = 64
+LEVELS = 8  # frequency classes of a neighbour
 LETTER = 6 * math.log(2)
 
 
@@ -59,47 +63,59 @@ class TokenIds(dict):
         return found
 
     def class_of(self, word: str) -> int:
-        return self.first + 4 * (min(len(word) - 1, 15) // 2) + zlib.crc32(word[-2:].encode()) % 4
+        return self.first + 32 * (min(len(word) - 1, 15) // 2) + zlib.crc32(word[-2:].encode()) % 32
 
     def trim(self, most: int = 500_000) -> None:
         if len(self) > most:
             self.clear()
             self.update(self.fixed)
 
-    def of(self, text: str) -> np.ndarray:
-        """Ids of a text's words between two edges."""
-        words = text.lower().split()
-        out = np.zeros(len(words) + 2, np.int64)
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return out
-
     @property
     def size(self) -> int:
         return self.first + BUCKETS
 
 
-def cells(ids: np.ndarray, size: int) -> np.ndarray:
-    """The cell (left, right, token) of each token of a text with its edges."""
-    return (ids[:-2] * size + ids[2:]) * size + ids[1:-1]
+def edged(texts: list[str], ids: TokenIds) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each between two edges, and the number of words of each."""
+    ids.trim()
+    split = [t.lower().split() for t in texts]
+    lengths = np.array([len(w) for w in split], np.int64)
+    codes = np.fromiter((ids[w] for words in split for w in words), np.int64, int(lengths.sum()))
+    out = np.full(len(codes) + 2 * len(split), EDGE, np.int64)
+    out[np.arange(len(codes)) + np.repeat(2 * np.arange(len(split)) + 1, lengths)] = codes
+    return out, lengths
 
 
-def count_cells(texts: list[str], ids: TokenIds) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of some texts and how often each stands there."""
-    ids.trim()
-    found = [cells(ids.of(t), ids.size) for t in texts]
-    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+def windows(lengths: np.ndarray) -> np.ndarray:
+    """The places of the words in ``edged`` ids, of texts of so many words."""
+    return np.arange(lengths.sum()) + np.repeat(2 * np.arange(len(lengths)) + 1, lengths)
 
 
-def window_counts(plain: DataFrame, words: list[str]) -> DataFrame:
-    """``cell, n``: how often each window stands in the corpus."""
+def pair_counts(plain: DataFrame, words: list[str], most: int = 2_000_000) -> DataFrame:
+    """``pair, n``: how often a symbol follows another in a text (``pair`` is the first's number times the symbols, plus the
+    second's), edges included; a task holds about ``most`` pairs at once."""
 
     def run(batches):
-        ids = TokenIds(words)
+        ids, held = TokenIds(words), []
+
+        def told():
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
+
         for batch in slices(batches):
-            cell, n = count_cells(batch.column(1).to_pylist(), ids)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+            out, lengths = edged(batch.column(1).to_pylist(), ids)
+            inner = windows(lengths)
+            ends = np.cumsum(lengths + 2) - 1
+            firsts = np.concatenate((out[inner - 1] * ids.size + out[inner], out[ends[lengths > 0] - 1] * ids.size + EDGE))
+            held.append(np.unique(firsts, return_counts=True))
+            if sum(len(k) for k, _ in held) > most:
+                yield told()
+        if held:
+            yield told()
 
-    return plain.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return plain.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def word_counts(plain: DataFrame, most: int = 300_000) -> DataFrame:
@@ -145,239 +161,105 @@ def class_totals(counted: DataFrame, words: list[str]) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
 
 
-def _softmax_at(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exponentials in place of ``z``, their sums, the log-probability at one column of each row); one exponential a cell."""
-    z -= z.max(axis=1, keepdims=True)
-    chosen = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    sums = z.sum(axis=1)
-    return z, sums, chosen - np.log(sums)
+@dataclass
+class Branch:
+    """One side of the network: softmax(tanh(embedding of a neighbour) @ out + offset)."""
 
+    embedding: np.ndarray
+    out: np.ndarray
+    offset: np.ndarray
 
-def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the sum of the rows of each."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    starts = np.flatnonzero(np.diff(ids, prepend=-1))
-    return ids[starts], np.add.reduceat(rows[order], starts, axis=0)
+    @classmethod
+    def start(cls, frequency: np.ndarray, hidden: int, rng: np.random.Generator) -> Branch:
+        size = len(frequency)
+        return cls(*(x.astype(np.float32) for x in (rng.normal(0, 0.1, (size, hidden)), rng.normal(0, 0.1, (hidden, size)), np.log(frequency))))
+
+    def probabilities(self, rows=slice(None)) -> np.ndarray:
+        return _softmax(np.tanh(self.embedding[rows]) @ self.out + self.offset)
+
+    def gradients(self, rows: np.ndarray, counts: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean loss over windows, and its gradients, for neighbours ``rows`` with a row of token counts each."""
+        h, n = np.tanh(self.embedding[rows]), counts.sum(axis=1, keepdims=True)
+        p = _softmax(h @ self.out + self.offset)
+        total = max(float(n.sum()), 1.0)
+        loss = -float((counts * np.log(np.maximum(p, 1e-30))).sum()) / total
+        d = (p * n - counts) / total
+        return loss, [(d @ self.out.T) * (1 - h * h), h.T @ d, d.sum(axis=0)]
+
+    def train(self, counts: np.ndarray, rng: np.random.Generator, epochs: int = 40, batch: int = 256, rate: float = 0.02, decay: float = 1e-4) -> None:
+        """Adam over mini-batches of neighbours, each weighted by its windows; steps shrink to nothing."""
+        parameters = [self.embedding, self.out, self.offset]
+        first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+        seen = np.flatnonzero(counts.sum(axis=1))
+        steps = epochs * -(-len(seen) // batch)
+        for epoch in range(epochs):
+            mix = rng.permutation(seen)
+            for at in range(0, len(mix), batch):
+                rows = mix[at : at + batch]
+                step = epoch * -(-len(seen) // batch) + at // batch + 1
+                _, grads = self.gradients(rows, counts[rows])
+                for k, (p, g) in enumerate(zip(parameters, grads, strict=True)):
+                    where = rows if k == 0 else slice(None)
+                    g = g + decay * p[where] / len(seen) if k < 2 else g
+                    first[k][where] = 0.9 * first[k][where] + 0.1 * g
+                    second[k][where] = 0.99 * second[k][where] + 0.01 * g * g
+                    p[where] -= rate * (1 - step / (steps + 1)) * (first[k][where] / (1 - 0.9**step)) / (np.sqrt(second[k][where] / (1 - 0.99**step)) + 1e-9)
 
 
 @dataclass
 class Network:
+    """The branches as tables of probabilities [neighbour, token], the symbols' frequencies, and the gate's weights by the
+    frequency classes of the two neighbours."""
+
     left: np.ndarray
     right: np.ndarray
-    bias: np.ndarray
-    out: np.ndarray
-    offset: np.ndarray
+    frequency: np.ndarray
+    level: np.ndarray
     gate: np.ndarray
-    gate_offset: np.ndarray
 
-    @classmethod
-    def start(cls, size: int, hidden: int, seed: int) -> Network:
-        rng = np.random.default_rng(seed)
-        groups = -(-size // cls.width_of(size))
-        return cls(
-            rng.normal(0, 0.3, (size, hidden)), rng.normal(0, 0.3, (size, hidden)), np.zeros(hidden), rng.normal(0, 0.1, (hidden, size)), np.zeros(size),
-            rng.normal(0, 0.1, (hidden, groups)), np.zeros(groups),
-        )
-
-    @staticmethod
-    def width_of(size: int) -> int:
-        return max(64, math.isqrt(size) + 1)
-
-    @property
-    def width(self) -> int:
-        return self.width_of(len(self.offset))
-
-    def hidden(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
-        return np.tanh(self.left[l] + self.right[r] + self.bias)
-
-    def groups(self, token: np.ndarray):
-        """(group, its tokens' places in a sorted array, its columns) of each group there."""
-        group = token // self.width
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], len(token)], strict=True):
-            g = int(group[a])
-            yield g, slice(a, b), slice(g * self.width, min((g + 1) * self.width, len(self.offset)))
-
-    def forward(self, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
-        """Hidden values and log-probabilities of all symbols for windows of left and right symbols."""
-        h = self.hidden(l, r)
-        logp = h @ self.out + self.offset
-        gate = _log_softmax(h @ self.gate + self.gate_offset)
-        for g, _, cols in self.groups(np.arange(len(self.offset))):
-            logp[:, cols] = _log_softmax(logp[:, cols]) + gate[:, g : g + 1]
-        return h, logp
-
-    def log_prob(self, l: np.ndarray, r: np.ndarray, token: np.ndarray, block: int = 8192) -> np.ndarray:  # noqa: E741
-        """Log-probability of one symbol for each window."""
-        found = np.empty(len(token), self.out.dtype)
-        for at in range(0, len(token), block):
-            order = np.argsort((token[at : at + block] // self.width).astype(np.int16), kind="stable")
-            part = order + at
-            t, h = token[part], self.hidden(l[part], r[part])
-            p = _softmax_at(h @ self.gate + self.gate_offset, t // self.width)[2]
-            for _, rows, cols in self.groups(t):
-                p[rows] += _softmax_at(h[rows] @ self.out[:, cols] + self.offset[cols], t[rows] - cols.start)[2]
-            found[part] = p
-        return found
+    def parts(self, l: np.ndarray, r: np.ndarray, token: np.ndarray) -> np.ndarray:  # noqa: E741
+        """The three predictions of each window's token, weighted by the gate."""
+        each = np.stack((self.left[l, token], self.right[r, token], self.frequency[token]), axis=1).astype(np.float64)
+        return each * self.gate[self.level[l], self.level[r]]
 
-    def window_gradients(self, l: np.ndarray, r: np.ndarray, token: np.ndarray, n: np.ndarray, total: float) -> tuple[float, list]:  # noqa: E741
-        """Loss and gradients, over ``total``, of windows that stand n times; those of left and right as (ids, rows)."""
-        group = (token // self.width).astype(np.int16)
-        order = np.argsort(group, kind="stable")
-        l, r, token, n, group = l[order], r[order], token[order], n[order].astype(self.out.dtype), group[order]  # noqa: E741
-        h, every = self.hidden(l, r), np.arange(len(token))
-        w = (n / total).astype(self.out.dtype)
-        d, sums, logp = _softmax_at(h @ self.gate + self.gate_offset, group)
-        loss = -float(n @ logp)
-        d *= (w / sums)[:, None]
-        d[every, group] -= w
-        d_gate, d_gate_offset, dh = h.T @ d, d.sum(axis=0), d @ self.gate.T
-        d_out, d_offset = np.zeros_like(self.out), np.zeros_like(self.offset)
-        for _, rows, cols in self.groups(token):
-            at = token[rows] - cols.start
-            d, sums, logp = _softmax_at(h[rows] @ self.out[:, cols] + self.offset[cols], at)
-            loss -= float(n[rows] @ logp)
-            d *= (w[rows] / sums)[:, None]
-            d[every[: len(at)], at] -= w[rows]
-            d_out[:, cols], d_offset[cols] = h[rows].T @ d, d.sum(axis=0)
-            dh[rows] += d @ self.out[:, cols].T
-        dh *= 1 - h * h
-        return loss / total, [_sums(l, dh), _sums(r, dh), dh.sum(axis=0), d_out, d_offset, d_gate, d_gate_offset]
-
-    def gradients(self, l: np.ndarray, r: np.ndarray, counts: np.ndarray) -> tuple[float, list[np.ndarray]]:  # noqa: E741
-        """Mean loss and its gradients for windows with a row of token counts each."""
-        row, token = np.nonzero(counts)
-        loss, grads = self.window_gradients(l[row], r[row], token, counts[row, token], counts.sum())
-        for k, p in enumerate((self.left, self.right)):
-            ids, rows = grads[k]
-            grads[k] = np.zeros_like(p)
-            grads[k][ids] = rows
-        return loss, grads
-
-    def parameters(self) -> list[np.ndarray]:
-        return [self.left, self.right, self.bias, self.out, self.offset, self.gate, self.gate_offset]
-
-    def copy(self, kind=None) -> Network:
-        return Network(*(p.astype(kind or p.dtype) for p in self.parameters()))
+    def log_prob(self, l: np.ndarray, r: np.ndarray, token: np.ndarray) -> np.ndarray:  # noqa: E741
+        """Log-probability of the token of each window."""
+        return np.log(self.parts(l, r, token).sum(axis=1))
 
     def table(self) -> np.ndarray:
-        """Log-probability of each cell; for small vocabularies."""
-        size = len(self.offset)
-        out = np.empty((size, size, size), np.float32)
-        for l in range(size):  # noqa: E741
-            out[l] = self.forward(np.full(size, l), np.arange(size))[1]
-        return out.reshape(-1)
-
-
-def train(network: Network, cell: np.ndarray, n: np.ndarray, squares: list[np.ndarray], rng: np.random.Generator, least: int = 48, most: int = 8192, rate: float = 0.1) -> None:
-    """Adagrad on counted windows in mini-batches of up to ``most``, about ``least`` steps or more; ``squares`` are its sums so far."""
-    if not len(cell):
-        return
-    size, mean, steps = len(network.offset), n.mean(), 0
-    batch = min(max(len(cell) // least, 256), most)
-    while steps < least:
-        mix = rng.permutation(len(cell))
-        for at in range(0, len(mix), batch):
-            part = mix[at : at + batch]
-            context, token = np.divmod(cell[part], size)
-            _, grads = network.window_gradients(context // size, context % size, token, n[part], mean * len(part))
-            steps += 1
-            for p, g, s in zip(network.parameters(), grads, squares, strict=True):
-                at_rows, g = g if isinstance(g, tuple) else (slice(None), g)
-                s[at_rows] += g * g
-                p[at_rows] -= rate * g / np.sqrt(s[at_rows] + 1e-8)
-
-
-def _pieces(network: Network, rows: int = 1024) -> list[list[tuple]]:
-    """Pieces in which a network travels: for each, (parameter, slice, whose count weighs it)."""
-    size, found = len(network.offset), [[(k, slice(None), None) for k in (2, 5, 6)]]
-    for at in range(0, size, rows):
-        part = slice(at, min(size, at + rows))
-        found.append([(0, part, 0), (1, part, 1), (3, (slice(None), part), 2), (4, part, 2)])
-    return found
-
-
-def train_round(plain: DataFrame, words: list[str], network: Network, seed: int, block: int = 1_000_000) -> Network:
-    """The network after each task has trained on the windows of its documents and their changes have been added up."""
-    shared = plain.sparkSession.sparkContext.broadcast(network.copy(np.float32).parameters())
+        """Probabilities [left, right, token]; for small vocabularies."""
+        g = self.gate[self.level[:, None], self.level[None, :]]
+        return g[..., :1] * self.left[:, None] + g[..., 1:2] * self.right[None] + g[..., 2:] * self.frequency
 
-    def run(batches):
-        start, ids = Network(*shared.value), TokenIds(words)
-        own, rng = start.copy(), np.random.default_rng(seed)
-        squares = [np.full_like(p, 1e-4) for p in own.parameters()]
-        met = np.zeros((3, ids.size))
-        held: list[tuple] = []
-        waiting = 0
-
-        def learn():
-            cell, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([k for _, k in held]))
-            context, token = np.divmod(cell, ids.size)
-            for k, at in enumerate((context // ids.size, context % ids.size, token)):
-                met[k] += np.bincount(at, n, ids.size)
-            train(own, cell, n, squares, rng)
-            held.clear()
 
+def shares(plain: DataFrame, words: list[str], network: Network) -> np.ndarray:
+    """How much of the tokens of all documents each prediction explains, by the frequency classes of the neighbours."""
+    shared = plain.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        ids, total = TokenIds(words), np.zeros((LEVELS * LEVELS, 3))
         for batch in slices(batches):
-            held.append(count_cells(batch.column(1).to_pylist(), ids))
-            waiting += len(held[-1][0])
-            if waiting >= block:
-                learn()
-                waiting = 0
-        if waiting:
-            learn()
-        if not met.any():
-            return
-        change = [a - b for a, b in zip(own.parameters(), start.parameters(), strict=True)]
-        numbers, weights, changes = [], [], []
-        for number, piece in enumerate(_pieces(own)):
-            by = [np.atleast_1d(met[w, s[-1] if isinstance(s, tuple) else s] if w is not None else met[2].sum()).astype(np.float32) for _, s, w in piece]
-            numbers.append(number)
-            weights.append(np.concatenate(by).tobytes())
-            changes.append(np.concatenate([change[k][s].ravel() for k, s, _ in piece]).astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(weights, pa.binary()), pa.array(changes, pa.binary())], ["piece", "weights", "changes"])
-
-    pieces = _pieces(network)
-    shapes = [[(network.parameters()[k][s].shape, w, isinstance(s, tuple)) for k, s, w in piece] for piece in pieces]
-
-    def add(batches):
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for number, weights, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by, all_of, at, out = np.frombuffer(weights, np.float32), np.frombuffer(changes, np.float16).astype(np.float32), 0, []
-                for shape, w, turned in shapes[number]:
-                    n = 1 if w is None else shape[-1] if turned else shape[0]
-                    weight, by = by[:n], by[n:]
-                    many = int(np.prod(shape))
-                    value = all_of[at : at + many].reshape(shape)
-                    at += many
-                    weight = weight if turned or w is None else weight.reshape(-1, *[1] * (len(shape) - 1))
-                    out += [(value * weight).astype(np.float64), weight.astype(np.float64)]
-                old = sums.get(number)
-                sums[number] = out if old is None else [a + b for a, b in zip(old, out, strict=True)]
-        for number, out in sums.items():
-            means = [(v / np.maximum(w, 1e-9)).astype(np.float32).tobytes() for v, w in zip(out[::2], out[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(means)], pa.binary())], ["piece", "means"])
-
-    sent = plain.mapInArrow(run, "piece int, weights binary, changes binary")
-    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = network.copy()
-    for r in sent.repartition(parts, "piece").mapInArrow(add, "piece int, means binary").collect():
-        means, at = np.frombuffer(r.means, np.float32), 0
-        for (k, s, _), (shape, _, _) in zip(pieces[r.piece], shapes[r.piece], strict=True):
-            many = int(np.prod(shape))
-            out.parameters()[k][s] += means[at : at + many].reshape(shape)
-            at += many
+            out, lengths = edged(batch.column(1).to_pylist(), ids)
+            at = windows(lengths)
+            parts = shared.value.parts(out[at - 1], out[at + 1], out[at])
+            parts /= parts.sum(axis=1, keepdims=True)
+            cell = shared.value.level[out[at - 1]] * LEVELS + shared.value.level[out[at + 1]]
+            for k in range(3):
+                total[:, k] += np.bincount(cell, parts[:, k], LEVELS * LEVELS)
+        there = np.flatnonzero(total.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(total[there, k]) for k in range(3)]], ["cell", "s0", "s1", "s2"])
+
+    sums = plain.mapInArrow(run, "cell long, s0 double, s1 double, s2 double").groupBy("cell").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(3)])
+    total = np.zeros((LEVELS * LEVELS, 3))
+    for r in sums.collect():  # at most LEVELS ** 2 rows
+        total[r.cell] = r.s0, r.s1, r.s2
     shared.unpersist()
-    return out
+    return total.reshape(LEVELS, LEVELS, 3)
 
 
 @dataclass
@@ -389,60 +271,67 @@ class Scorer:
     listed: list[tuple[str, int]]  # the most frequent words of classes with their counts; all others are joined
 
 
-def fit(docs: DataFrame, words: int = 10_000, hidden: int = 16, rounds: int = 3, listed: int = 200_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def fit(docs: DataFrame, words: int = 1_500, hidden: int = 48, listed: int = 200_000, epochs: int = 40, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A network of the whole corpus, and the counts of all its words."""
     plain = id_and_text(docs, id_col, text_col)
     counted = cut_lineage(word_counts(plain))
-    frequent = top_counts(counted.where("count > 1"), words + listed)
-    vocabulary = sorted((w for w, _ in frequent[:words]), key=lambda w: w[::-1])  # like endings, one group
-    totals = class_totals(counted, vocabulary)
-    network, tokens = Network.start(TokenIds(vocabulary).size, hidden, seed), int(totals[0].sum())
-    if tokens:
-        network.offset[:] = np.log(totals[0] + 0.1)
-        network.offset -= network.offset.mean()
-        network.gate_offset[:] = np.log(np.add.reduceat(totals[0], np.arange(0, len(totals[0]), network.width)) + 0.1)
-        for k in range(rounds):
-            turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k
-            network = train_round(plain.where(turn).coalesce(1 + tokens // 200_000), vocabulary, network, seed + k)
+    frequent = top_counts(counted.where((F.col("count") > 1) & (F.octet_length("word") <= LONGEST)), words + listed)
+    vocabulary = sorted(w for w, _ in frequent[:words])
+    totals, size, rng = class_totals(counted, vocabulary), TokenIds(vocabulary).size, np.random.default_rng(seed)
+    pairs = pair_counts(plain, vocabulary).toArrow()  # at most as many as symbols, squared
+    follows = np.zeros((size, size), np.float32)
+    follows[np.divmod(pairs["pair"].to_numpy(), size)] = pairs["n"].to_numpy()
+    frequency = (totals[0] + 0.1) / (totals[0] + 0.1).sum()
+    frequency[EDGE] = 1e-12
+    frequency /= frequency.sum()
+    tables = []
+    for counts in (follows, follows.T.copy()):
+        counts[:, EDGE] = 0  # an edge is a neighbour, but is not predicted
+        branch = Branch.start(frequency, hidden, rng)
+        branch.train(counts, rng, epochs)
+        tables.append(branch.probabilities().astype(np.float32))
+    near = follows.sum(axis=1)
+    level = np.clip(np.log2(near + 1) / max(np.log2(near.max() + 1), 1) * LEVELS, 0, LEVELS - 1).astype(np.int64)
+    network = Network(*tables, frequency.astype(np.float32), level, np.full((LEVELS, LEVELS, 3), 1 / 3))
+    explained = shares(plain, vocabulary, network) + 1.0
+    network.gate = explained / explained.sum(axis=2, keepdims=True)
     return Scorer(vocabulary, network, totals, counted, frequent[words:])
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of each text."""
     plain = id_and_text(docs, id_col, text_col)
-    shared = plain.sparkSession.sparkContext.broadcast((scorer.words, scorer.listed, scorer.network.copy(np.float32).parameters()))
+    shared = plain.sparkSession.sparkContext.broadcast((scorer.words, scorer.listed, scorer.network))
     n, once = scorer.totals.astype(float)
     unseen = (once + 1 / (n + 1)) / (n + 1)  # the share of a class that is left to words the corpus does not hold
     per_word = np.log1p(-np.minimum(unseen, 1 - 1e-12)) - np.log(np.maximum(n, 1))
     first = len(scorer.words) + 1
 
     def run(batches):
-        words, listed, parameters = shared.value
-        ids, network = TokenIds(words, [w for w, _ in listed]), Network(*parameters)
+        words, listed, network = shared.value
+        ids = TokenIds(words, [w for w, _ in listed])
         symbols = np.concatenate((np.arange(ids.size), np.fromiter((ids.class_of(w) for w, _ in listed), np.int64, len(listed))))
         own = np.zeros(len(symbols))  # log p(word | class) of listed words
         own[ids.size :] = np.log(np.array([k for _, k in listed], float)) + per_word[symbols[ids.size :]]
         for batch in slices(batches):
             ids.trim()
             split = [t.lower().split() for t in batch.column(1).to_pylist()]
-            lengths = np.array([len(w) for w in split])
+            lengths = np.array([len(w) for w in split], np.int64)
             every = [w for words in split for w in words]
             codes = np.fromiter(map(ids.__getitem__, every), np.int64, len(every))
-            edged = np.zeros(len(codes) + 2 * len(split), np.int64)  # each text between two edges
-            inner = np.arange(len(codes)) + np.repeat(2 * np.arange(len(split)) + 1, lengths)
-            edged[inner] = symbols[codes]
-            cell, where = np.unique((edged[inner - 1] * ids.size + edged[inner + 1]) * ids.size + edged[inner], return_inverse=True)
-            context, token = np.divmod(cell, ids.size)
-            logp = network.log_prob(context // ids.size, context % ids.size, token)[where] + own[codes]
+            symbol = np.full(len(codes) + 2 * len(split), EDGE, np.int64)  # each text between two edges
+            at = windows(lengths)
+            symbol[at] = symbols[codes]
+            logp = network.log_prob(symbol[at - 1], symbol[at + 1], symbol[at]) + own[codes]
             of_text = np.repeat(np.arange(len(split)), lengths)
             total = np.bincount(of_text, logp, len(split)).astype(float)
             rare = np.flatnonzero((codes >= ids.first) & (codes < ids.size))
             offsets = np.concatenate(([0], np.cumsum(np.bincount(of_text[rare], minlength=len(split)))))
-            entries = pa.StructArray.from_arrays([pa.array([every[i] for i in rare.tolist()], pa.string()), pa.array((codes[rare] - ids.first).astype(np.int8))], ["word", "kind"])
+            entries = pa.StructArray.from_arrays([pa.array([every[i] for i in rare.tolist()], pa.string()), pa.array((codes[rare] - ids.first).astype(np.int16))], ["word", "kind"])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(total, pa.float64()), lists], ["doc_id", "n_tokens", "of_symbols", "rare"])
 
-    found = plain.mapInArrow(run, "doc_id long, n_tokens long, of_symbols double, rare array<struct<word:string,kind:tinyint>>")
+    found = plain.mapInArrow(run, "doc_id long, n_tokens long, of_symbols double, rare array<struct<word:string,kind:smallint>>")
     found = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
     each = found.select("row", F.explode("rare").alias("x")).groupBy("row", "x").agg(F.count("*").alias("times")).select("row", "x.word", "x.kind", "times")
     of_kind = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values[first:]]), F.col("kind") + 1)
