@@ -1,6 +1,10 @@
 """Canonical bytes, signatures, marker blocks and paths as Column functions.
 
 ``owner`` names whoever signs a file or owns a block in it.
+
+Defined results: null texts give null; an empty text has the canonical form of one line end, is unsigned and has no
+block. Texts of any length are worked on whole; equal texts give equal results. Only a signature in
+the last line counts. A block that stands more than once is told as ambiguous, and such texts stay as they are.
 """
 
 from __future__ import annotations

@@ -1,7 +1,10 @@
 """The ten detectors as Column functions: each gives an array of ``line, column, excerpt, detail``.
 
 Line detectors take ``lines``, the others ``paras`` or ``lists`` (see ``structure``). Violations stand in the order of
-lines and columns, except for clichés, where phrases come first.
+lines and columns, except for clichés, where phrases come first. Each has a twin that counts without telling where.
+
+Defined results: null and empty texts have no lines, paragraphs or lists, and so no violations. Lines of any length are
+searched whole, in time that is proportional to them. Repeated texts give repeated results.
 """
 
 from __future__ import annotations

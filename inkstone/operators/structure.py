@@ -5,7 +5,8 @@ what follows it, not the closing fence), ``fenced`` the mask of the paragraph de
 between). The text is split at its fence lines; the parity of a piece's place tells whether it lies inside a fence, so
 the masks cost one pass. A fence that is not closed runs to the end of the text.
 
-Null and empty texts have no lines.
+Null and empty texts have no lines. ``with_structure`` adds ``lines``, ``paras`` and ``lists``; columns of the caller's with
+those names give way.
 """
 
 from __future__ import annotations

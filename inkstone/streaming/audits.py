@@ -3,6 +3,10 @@
 An audit looks at one document at a time, so the stream keeps no state: each file is audited once, in the micro-batch that
 finds it, and a restarted query goes on from its checkpoint. Counts by rule over event time do keep state, bounded by the
 watermark.
+
+Defined results: bytes that are no UTF-8 end the query with an error, as they do in batch reading. Files without a byte
+give no row. A file that is written again is a new file. A folder without files gives no batch. Texts of any length are
+audited whole. Columns beside ``file, text, seen`` are kept as in a batch audit.
 """
 
 from __future__ import annotations
@@ -13,11 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkstone.operators.audit import audit, rule_results
 
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
 
 def text_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """``file, text, seen`` of new files below ``path``."""
-    rows = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("seen"))
+    rows = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", files_per_batch).load(path)
+    return rows.select(F.col("path").alias("file"), F.validate_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("seen"))
 
 
 def audit_stream(texts: DataFrame, **options) -> DataFrame:

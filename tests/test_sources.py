@@ -290,3 +290,47 @@ def test_targets_and_outputs(spark):
     texts = lambda *x: spark.createDataFrame(x, "path string, text string")
     states = registry.output_states(texts(("a", "x"), ("b", "x"), ("c", None), ("d", "")), texts(("a", "x"), ("b", "y"), ("d", None), ("e", "z")))
     assert {r.path: r.state for r in states.collect()} == {"a": "current", "b": "out of date", "c": "missing", "d": "current"}
+
+
+def test_stream_refuses_bytes_that_are_no_text(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_bytes(b"It's \xff")
+    found = audits.audit_stream(audits.text_stream(spark, str(tmp_path / "in")))
+    with pytest.raises(StreamingQueryException, match="UTF8"):
+        audits.write_results(found, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
+
+
+def test_stream_of_repeated_and_empty_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.md", "It's — so."), ("b.md", "It's — so."), ("c.md", "")):
+        (tmp_path / "in" / name).write_text(text)
+    found = audits.audit_stream(audits.text_stream(spark, str(tmp_path / "in")))
+    audits.write_results(found, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == 48 and rows.where("count > 0").count() == 4
+
+
+def test_scorecards_of_empty_repeated_and_dressed_tables(spark):
+    from inkstone.operators import scorecard as sc
+    from inkstone.sources import benchmark
+
+    schema = "runner string, task string, generation int, condition string, text string, n int, rule string"
+    rows = [("m", "t", 1, "baseline", "It's.", 9, "x")] * 2 + [("m", "t", 1, "treatment", None, 9, "x"), (None, None, None, "treatment", "", 9, "x")]
+    counts = sc.draft_counts(spark.createDataFrame(rows, schema))
+    assert [(r.runner, r.rule, r.baseline, r.treatment) for r in sc.rule_rows(counts).collect()] == [("m", "RULE-I", 2, 0)]
+    none = sc.draft_counts(spark.createDataFrame([], schema))
+    assert none.count() == sc.task_rows(none).count() == sc.rule_rows(none).count() == benchmark.render_scorecards(none, "1", 1).count() == 0
+
+
+def test_canonical_forms_of_null_empty_and_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from inkstone.functions import canon
+
+    long = "x" * 1_000_000 + "\n" * 1000
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, long), (2, long)], "k int, t string")
+    found = rows.select("k", F.length(canon.canonical(F.col("t"))).alias("n"), canon.verify(F.col("t")).alias("v"), canon.verify(canon.sign(F.col("t"), "1")).alias("s")).orderBy("k").collect()
+    assert [(r.k, r.n, r.v, r.s) for r in found[1:]] == [(1, 1, "unsigned", "valid"), (2, 1_000_001, "unsigned", "valid"), (2, 1_000_001, "unsigned", "valid")]
+    assert found[0].n is None
