@@ -67,4 +67,4 @@ def test_totals_of_known_texts(spark):
         of[r.rule] = of.get(r.rule, 0) + r["count"]
     assert {k: found.get(k, {}) for k in TOTALS} == {k: v[2] for k, v in TOTALS.items()}
     assert {r.doc_id: r.total_violations for r in audited.collect()} == {k: v[1] for k, v in TOTALS.items()}
-    assert rule_results(audited).where("status = 'skipped'").select("rule").distinct().count() == 12
+    assert rule_results(audited).where("status = 'skipped'").select("rule").distinct().count() == 13
