@@ -153,7 +153,7 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         ordered = ordered.drop("level").join(found.hint("shuffle_hash"), ["conv_id", "id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
     ordered = with_positions(ordered, [(F.col("level") < 0).alias("late"), F.col("level"), F.col("turn"), F.col("id")], ["conv_id", "id", "level"])
     rows = calls.join(ordered.hint("shuffle_hash"), ["conv_id", "id"])
-    rows = rows.join(parse_results(messages).hint("shuffle_hash"), ["conv_id", "id"], "full").join(F.broadcast(tools), "name", "left")  # tools are few
+    rows = rows.join(parse_results(messages).hint("shuffle_hash"), ["conv_id", "id"], "full").join(tools, "name", "left")
     rows = rows.withColumn("value", F.try_parse_json("arguments"))
     called = F.col("turn").isNotNull()
     problems = F.when(called, F.array_join(argument_problems(F.col("value"), F.col("schema")), "; ")).otherwise("no call")
