@@ -2,17 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Between stages the rows are written
 as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again, so that a lost executor costs at most the
-running stage. All stages but the last return the columns of documents.
+running stage. All stages but the last return the columns of documents. The tables between stages are removed at the end.
+
+Defined results: a null text counts as no words, and goes in the first stage. Empty texts go with it. Rows that repeat, or
+unlike texts under one doc_id, are judged each on its own, until the third stage keeps one row of each group of texts (the
+smallest doc_id, null last). Very long texts are worked on whole. Extra columns stay, whatever their names, up to the last
+stage, which returns pieces. Empty tables give no rows in any stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstone.llm import near_texts, packing, pii, quality_model, quality_rules
-from inkstone.runtime import ensure_checkpoint_dir, table
+from inkstone.runtime import Scratch, table
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    scratch.remove(docs)
     return docs
