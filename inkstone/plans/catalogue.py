@@ -668,6 +668,20 @@ def matrix_text(spark, sf_dir):
     return benchmark.matrix_lines(counts)
 
 
+@_register(
+    "matrix_document",
+    _ORACLES["matrix_text"].removesuffix("select part, k, line from rows")
+    + """select sha256('# Benchmark v1.0 (matrix)' || chr(10) || chr(10) || '- Models compared: ' || count(*) filter (part = 1) || chr(10) || '- Date: 2001-09-09' || chr(10) || chr(10)
+      || '## Totals' || chr(10) || chr(10) || '| Model | Baseline | Treatment | Δ | Δ% |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) order by k) filter (part = 1)
+      || chr(10) || chr(10) || '## Per-rule Δ (treatment − baseline)' || chr(10) || chr(10) || '| Rule | ' || string_agg(k, ' | ' order by k) filter (part = 1) || ' |' || chr(10)
+      || '|---|' || repeat('---|', (count(*) filter (part = 1))::int) || chr(10) || string_agg(line, chr(10) order by k) filter (part = 2) || chr(10) || chr(10) || '_Numbers are directional._' || chr(10)) as digest from rows""",
+)
+def matrix_document(spark, sf_dir):
+    """The matrix as a whole text, with the runners found in the data and a fixed moment as its date."""
+    counts = sc.draft_counts(_drafts(spark, sf_dir))
+    return benchmark.render_matrix(counts, None, "1.0", date=F.timestamp_seconds(F.lit(1_000_000_000))).select(F.sha2("text", 256).alias("digest"))
+
+
 @_register("task_file_scan", "select 'file-' || lang as file, 'task-' || doc_id as task, regexp_replace(coalesce(text, ''), '[ \\n]+', ' ', 'g') || chr(10) || lang as prompt from documents")
 def task_file_scan(spark, sf_dir):
     rows = _raw(spark, sf_dir).select("lang", "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\n]+", " ").alias("t"))

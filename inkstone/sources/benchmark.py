@@ -87,11 +87,14 @@ def matrix_lines(counts: DataFrame, runners: list[str] | None = None) -> DataFra
     return totals.unionByName(rows)
 
 
-def render_matrix(counts: DataFrame, runners: list[str], version: str, cards: DataFrame | None = None) -> DataFrame:
-    """``text``: the matrix as one Markdown text; its size depends on the numbers of runners and rules only.
+def render_matrix(counts: DataFrame, runners: list[str] | None, version: str, cards: DataFrame | None = None, date: str | Column = "") -> DataFrame:
+    """``text``: the matrix as one Markdown text; its size depends on the numbers of runners and rules only. Without
+    ``runners`` those found in the data are shown; ``date`` is as in scorecards.
 
     With ``cards`` (``file, text`` of scorecards) a folded part follows with each runner's card without its title.
     """
+    runners = sc.runners_of(counts) if runners is None else runners
+    date = utc_date(date) if isinstance(date, Column) else F.lit(date)
     lines = matrix_lines(counts, runners)
     if cards is not None:
         body = F.regexp_replace(F.regexp_replace("text", r"\A# [^\n]*\n+", ""), r"\s+\z", "")
@@ -99,7 +102,7 @@ def render_matrix(counts: DataFrame, runners: list[str], version: str, cards: Da
         lines = lines.unionByName(detail.select(F.lit(3).alias("part"), "k", F.concat(F.lit("### "), "k", F.lit("\n\n"), "line", F.lit("\n")).alias("line")))
     lines = lines.agg(F.sort_array(F.collect_list(F.struct("part", "k", "line"))).alias("all"))
     part = lambda n: F.array_join(F.transform(F.filter("all", lambda x: x["part"] == n), lambda x: x["line"]), "\n")
-    head = f"# Benchmark v{version} (matrix)\n\n- Models compared: {len(runners)}\n\n## Totals\n\n| Model | Baseline | Treatment | Δ | Δ% |\n|---|---|---|---|---|\n"
+    head = F.concat(F.lit(f"# Benchmark v{version} (matrix)\n\n- Models compared: {len(runners)}\n- Date: "), date, F.lit("\n\n## Totals\n\n| Model | Baseline | Treatment | Δ | Δ% |\n|---|---|---|---|---|\n"))
     middle = f"\n\n## Per-rule Δ (treatment − baseline)\n\n| Rule | {' | '.join(runners)} |\n|---|{'---|' * len(runners)}\n"
     folded = [] if cards is None else [F.lit("\n\n<details>\n<summary><b>Detail by model</b></summary>\n\n"), part(3), F.lit("\n</details>")]
-    return lines.select(F.concat(F.lit(head), part(1), F.lit(middle), part(2), *folded, F.lit("\n\n_Numbers are directional._\n")).alias("text"))
+    return lines.select(F.concat(head, part(1), F.lit(middle), part(2), *folded, F.lit("\n\n_Numbers are directional._\n")).alias("text"))
