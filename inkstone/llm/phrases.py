@@ -74,7 +74,7 @@ def count_words(texts: DataFrame, seed: int, most: int = 300_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "h", "n"])
             held.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, chars=1_000_000):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(tokens(text))
             if sum(map(len, held.values())) > most:
@@ -156,7 +156,7 @@ def count_pairs(relation: DataFrame, least: int, most: int = 2_000_000) -> DataF
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "n"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, chars=1_000_000):
             found = grown_occurrences(batch)
             found = found.only(found.early(0))
             held.append((found.a, found.b, np.ones(len(found.a), np.int64)))
@@ -206,7 +206,7 @@ def semi_join(rows: DataFrame, occurrences, frequent: DataFrame, length: int, to
         shared = rows.sparkSession.sparkContext.broadcast(Lookup(*(kept[c].to_numpy() for c in ("a", "b", "id"))))
 
         def run(batches):
-            for batch in slices(batches):
+            for batch in slices(batches, chars=1_000_000):
                 found = candidates(batch)
                 known, ids = shared.value.find(found.a, found.b)
                 found = found.only(known)
@@ -216,7 +216,7 @@ def semi_join(rows: DataFrame, occurrences, frequent: DataFrame, length: int, to
         return rows.mapInArrow(run, RELATION).drop("b")
 
     def nested(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, chars=1_000_000):
             yield candidates(batch).batch()
 
     single = rows.mapInArrow(nested, RELATION).select("doc", "part", "until", F.inline(F.arrays_zip("at", "a", "b")))
