@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.columns import id_and_text, slices
 from inkstone.llm.simhash import components, keep_rows, with_roots
-from inkstone.runtime import Scratch
+from inkstone.runtime import Scratch, shuffle_files_removed
 
 DIM = 1024  # coordinates of the vote sketch
 TIMES = 4  # coordinates of a shingle
@@ -315,21 +315,42 @@ def across_components(asked: DataFrame, docs: DataFrame, classes: DataFrame, roo
     return scratch.write(dealt.mapInArrow(run, "a long, b long"))
 
 
+def tree_roots(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+    """``node, root`` of a forest: each ``b`` has one link to a smaller ``a``; ``root`` is the smallest node of its tree.
+
+    Each round every node takes what its root hangs on as its root, so depths halve; a frequent root is a skewed join.
+    """
+    now = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for _ in range(rounds):
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        moved = now.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        moved = scratch.write(moved)
+        now = moved.select("node", "root")
+        if not moved.where("moved").count():
+            return now
+    raise RuntimeError(f"trees did not settle in {rounds} rounds")
+
+
 def text_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, lists: int = 48, together: int = 3, minimum: int = 16, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, first, root`` of each distinct text: texts of one group have the same ``root``."""
+    with shuffle_files_removed(docs.sparkSession):
+        return _text_groups(docs, similarity, width, lists, together, minimum, block, id_col, text_col)
+
+
+def _text_groups(docs: DataFrame, similarity: float, width: int, lists: int, together: int, minimum: int, block: int, id_col: str, text_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-texts")
     classes = scratch.write(classes_of(docs, width, id_col, text_col))
     members = crowded_lists(classes, lists, together, scratch)
     best = scratch.write(best_centres(members, classes, minimum, similarity, scratch))
     links = verified(best, docs, classes, similarity, width, id_col, text_col, scratch)
-    clusters = with_roots(classes.select("key"), components(best), "key").withColumnRenamed("root", "cluster")
-    rooted = scratch.write(with_roots(clusters, components(links), "key"))
+    clusters = with_roots(classes.select("key"), tree_roots(best, scratch), "key").withColumnRenamed("root", "cluster")
+    rooted = scratch.write(with_roots(clusters, tree_roots(links, scratch), "key"))
     asked = asked_clusters(members, classes, rooted, minimum, similarity, scratch, block)
     more = across_components(asked, docs, classes, rooted, minimum, similarity, width, id_col, text_col, scratch, block)
     # The first links stand in the roots: what is left is to join those.
     of = rooted.select("key", "root")
     between = more.join(of.select(F.col("key").alias("a"), F.col("root").alias("u")), "a").join(of.select(F.col("key").alias("b"), F.col("root").alias("v")), "b")
-    joined = with_roots(rooted.select(F.col("root").alias("old")).distinct(), components(between.select(F.col("u").alias("a"), F.col("v").alias("b"))), "old")
+    joined = with_roots(rooted.select(F.col("root").alias("old")).distinct(), components(between.select(F.col("u").alias("a"), F.col("v").alias("b")), cut=scratch.write), "old")
     found = classes.select("key", "first").join(of, "key").join(joined.select(F.col("old").alias("root"), F.col("root").alias("new")), "root")
     found = scratch.write(found.select("key", "first", F.col("new").alias("root")))
     scratch.remove(found)

@@ -147,14 +147,15 @@ def links(fps: DataFrame, distance: int = 4, limit: int = 1024, most: int = 1000
     return near.unionAll(star).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, cut=cut_lineage) -> DataFrame:
     """``node, root``: the smallest node that each node of ``a, b`` links reaches.
 
     Each round hangs a node's larger neighbours on its smallest neighbour, then its smaller ones; trees become stars in
     a number of rounds that grows as the square of the logarithm of the nodes; more than ``rounds`` are an error. A node with very many neighbours is
-    handled by a minimum (combined before the shuffle) and a join, never gathered.
+    handled by a minimum (combined before the shuffle) and a join, never gathered. ``cut`` writes the links of a round and
+    returns them as read back.
     """
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
@@ -164,7 +165,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        now = cut_lineage(large.join(low, "u").select(hung.alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        now = cut(large.join(low, "u").select(hung.alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         before, state = state, _state(now)
         if state == before:
             break

@@ -1,10 +1,12 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from inkstone.llm import near_texts
+from inkstone.runtime import Scratch
 
 
 def shingle_set(text, width=5):
@@ -162,3 +164,36 @@ def test_written_tables_are_removed(spark):
     (new,) = names() - before
     left = system.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new))
     assert len(left) == 1  # what the result reads
+
+
+def test_roots_of_trees(spark):
+    rng = random.Random(5)
+    above = {k: k - 1 for k in range(-40, 60)} | {k: rng.randrange(100, k) for k in range(101, 300)} | {k: 300 for k in range(301, 600)}
+
+    def top(k):
+        while k in above:
+            k = above[k]
+        return k
+
+    links = spark.createDataFrame([(a, b) for b, a in above.items()], "a long, b long").repartition(3)
+    scratch = Scratch(spark, "trees")
+    assert {r.node: r.root for r in near_texts.tree_roots(links, scratch).collect()} == {k: top(k) for k in above}
+    assert near_texts.tree_roots(links.limit(0), scratch).count() == 0
+
+
+def test_shuffle_files_go_with_their_queries(spark):
+    """Those of all rounds stayed until the driver's garbage was collected."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def ids():
+        found = disk.getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k // 2 * 31 + j) % 97}" for j in range(40 + k % 2))) for k in range(60)], "doc_id long, text string")
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", ids()
+    near_texts.text_groups(docs)
+    deadline = time.time() + 20
+    while ids() - before and time.time() < deadline:  # removal does not block
+        time.sleep(0.2)
+    assert not ids() - before
+    assert spark.conf.get(key, None) is None
