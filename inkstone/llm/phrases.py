@@ -35,9 +35,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.columns import slices
-from inkstone.runtime import Scratch
+from inkstone.runtime import Scratch, setting
 
 BLOCK = 1 << 20
+BATCH = 256  # rows
 LONGEST = 5
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(BREAKS) + b" " + bytes(range(97, 123)))
@@ -71,7 +72,7 @@ def count_words(texts: DataFrame, seed: int, most: int = 300_000) -> DataFrame:
                 names = list(words)
                 hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=_seed(lang, seed)), names), np.uint64, len(names)).view(np.int64)
                 columns = [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(list(words.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "h", "n"])
+                yield from slices([pa.RecordBatch.from_arrays(columns, ["lang", "word", "h", "n"])], rows=65_536)
             held.clear()
 
         for batch in slices(batches, chars=1_000_000):
@@ -145,7 +146,7 @@ def _counted(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_pairs(relation: DataFrame, least: int, most: int = 2_000_000) -> DataFrame:
+def count_pairs(relation: DataFrame, least: int, most: int = 500_000) -> DataFrame:
     """``a, b, n`` of candidates that are seen ``least`` times; a task adds up ``most`` occurrences before it tells them."""
 
     def run(batches):
@@ -154,16 +155,16 @@ def count_pairs(relation: DataFrame, least: int, most: int = 2_000_000) -> DataF
         def told():
             found = _counted(*map(np.concatenate, zip(*held, strict=True)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "n"])
+            yield from slices([pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "n"])], rows=65_536)
 
         for batch in slices(batches, chars=1_000_000):
             found = grown_occurrences(batch)
             found = found.only(found.early(0))
             held.append((found.a, found.b, np.ones(len(found.a), np.int64)))
             if sum(len(x[0]) for x in held) > most:
-                yield told()
+                yield from told()
         if held:
-            yield told()
+            yield from told()
 
     return relation.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -258,6 +259,12 @@ def first_of_each(rows: DataFrame, scratch: Scratch, most: int) -> DataFrame:
 
 def mine(docs: DataFrame, least: int = 100, most: int = 2000, told: int = 2_000_000, block: int = BLOCK, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's first ``most`` phrases."""
+    # A batch of Spark's usual 10,000 rows holds 40 MB of a relation, in the executor and again in its Python worker.
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+        return _mine(docs, least, most, told, block, text_col, lang_col)
+
+
+def _mine(docs: DataFrame, least: int, most: int, told: int, block: int, text_col: str, lang_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "phrases")
     texts, seed = texts_of(docs, text_col, lang_col), 0
     while True:

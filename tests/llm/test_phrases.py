@@ -96,3 +96,23 @@ def test_words_with_one_hash_take_another_seed(spark, rows, monkeypatch):
     monkeypatch.setattr(phrases, "count_words", clashing)
     assert collected(phrases.mine(spark.createDataFrame(rows, SCHEMA), least=9)) == brute(rows, 9)
     assert seeds == [0, 1]
+
+
+def test_tasks_get_and_give_small_batches(spark, monkeypatch):
+    """A batch of 10,000 rows was held whole by the executor and again by its worker, in both directions."""
+    words = " ".join(f"w{k % 4000}" for k in range(100))
+    table = spark.createDataFrame([(k, words, "en") for k in range(1000)], SCHEMA).coalesce(1)
+    true, seen = phrases.slices, spark.sparkContext.accumulator(0)
+
+    def watched(batches, **more):
+        for batch in batches:
+            if batch.num_rows > phrases.BATCH:
+                seen.add(1)
+            yield from true(iter([batch]), **more)
+
+    monkeypatch.setattr(phrases, "slices", watched)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    assert phrases.mine(table, least=1000).count() == 96  # the phrases of five words
+    assert seen.value == 0
+    assert spark.conf.get(key, None) == before
