@@ -100,17 +100,23 @@ def parse(packs: DataFrame, key: str = "file") -> DataFrame:
     )
 
 
-_MARK = "\ufdd0"
+_MARK, _ESCAPE = "\ufdd0", "\ufdd1"
 _PAIR = r"(?msd)\A(?>.*?^(?=- BAD))(.*?^- GOOD.*?)(?=^- BAD|^- GOOD|\z)"
 
 
 def _fences_marked(text: Column) -> Column:
     """``text`` behind a line end, with the noncharacter U+FDD0 before each line from an opening ``` to its closing one,
-    so that line patterns pass them by. (U+FDD0 itself, which no interchanged text holds, is taken out first.)"""
-    pieces = F.split(F.concat(F.lit("\n"), F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK))), r"(?md)(?=^[ \t]*```)", -1)
+    so that line patterns pass them by. U+FDD0 in the text itself is escaped; ``_unmarked`` brings it back."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_ESCAPE), F.lit(f"{_ESCAPE}1")), F.lit(_MARK), F.lit(f"{_ESCAPE}0"))
+    pieces = F.split(F.concat(F.lit("\n"), plain), r"(?md)(?=^[ \t]*```)", -1)
     return F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.regexp_replace(p, r"(?md)^(?=.)", _MARK)).otherwise(p)), "")
 
 
+def _unmarked(text: Column) -> Column:
+    """A piece of a marked text as it was."""
+    return F.replace(F.replace(F.replace(text, F.lit(_MARK), F.lit("")), F.lit(f"{_ESCAPE}0"), F.lit(_MARK)), F.lit(f"{_ESCAPE}1"), F.lit(_ESCAPE))
+
+
 def _no_blank_end(text: Column) -> Column:
     return F.regexp_replace(text, r"\n+\z", "")
 
@@ -121,7 +127,7 @@ def headings(packs: DataFrame, key: str = "file") -> DataFrame:
     lines = packs.select(key, F.posexplode(F.split(_fences_marked(F.col("text")), "\n", -1)).alias("line", "t"))
     heading = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$"
     found = lines.where(F.col("t").rlike(heading))
-    return found.select(key, "line", F.length(F.regexp_extract("t", heading, 1)).alias("level"), F.regexp_extract("t", heading, 2).alias("title"))
+    return found.select(key, "line", F.length(F.regexp_extract("t", heading, 1)).alias("level"), _unmarked(F.regexp_extract("t", heading, 2)).alias("title"))
 
 
 def compact(packs: DataFrame, key: str = "file", intro: str | None = None) -> DataFrame:
@@ -133,13 +139,15 @@ def compact(packs: DataFrame, key: str = "file", intro: str | None = None) -> Da
     lines included, lines in fences not looked at.
 
     Defined results: ``errors`` names a missing title, directive or pair and headings of level 4 that are no rule (they
-    stay as they are). A null or empty text gives one line end and the error of the title. Repeated rows are repeated.
+    stay as they are). A directive without text keeps its blank lines but the one before the next heading. A null or empty
+    text gives one line end and the error of the title. Repeated rows are repeated.
     """
     opens = lambda section, pattern: section.rlike(rf"(?d)\A {{0,3}}{pattern}")
     first_line = lambda x: F.substring_index(x, "\n", 1)
     is_rule = lambda s: opens(s, r"####[ \t]+RULE-")
     part = lambda s, pattern: F.coalesce(F.get(F.filter(F.split(s, r"(?md)(?=^ {0,3}#####[ \t])", -1), lambda x: opens(x, pattern)), F.lit(0)), F.lit(""))
-    directive = lambda s: _no_blank_end(part(s, r"#####[ \t]+Directive[ \t]*(?:\n|\z)"))
+    empty = r"\A([^\n]*+\n*?)\n{1,2}\z"
+    directive = lambda s: let(part(s, r"#####[ \t]+Directive[ \t]*(?:\n|\z)"), lambda d: F.when(d.rlike(empty), F.regexp_extract(d, empty, 1)).otherwise(_no_blank_end(d)))
     pairs = lambda s: part(s, r"#####[ \t](?=[^\n]*BAD)(?=[^\n]*GOOD)")
     pair = lambda s: _no_blank_end(F.regexp_extract(pairs(s), _PAIR, 1))
     joined = lambda xs: F.array_join(F.filter(xs, lambda x: x != ""), "\n\n")
@@ -160,8 +168,8 @@ def compact(packs: DataFrame, key: str = "file", intro: str | None = None) -> Da
     return split.select(
         key,
         F.size(F.filter("sections", is_rule)).alias("rules"),
-        F.concat(_no_blank_end(F.replace(text, F.lit(_MARK))), F.lit("\n")).alias("compact"),
-        F.filter(errors, lambda e: e.isNotNull()).alias("errors"),
+        F.concat(_no_blank_end(_unmarked(text)), F.lit("\n")).alias("compact"),
+        F.transform(F.filter(errors, lambda e: e.isNotNull()), _unmarked).alias("errors"),
     )
 
 

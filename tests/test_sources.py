@@ -249,6 +249,16 @@ def test_compact_of_odd_packs(spark):
     assert rulepack.compact(rows.limit(0)).count() == 0 == rulepack.headings(rows.limit(0)).count()
 
 
+def test_compact_of_directives_without_text_and_with_noncharacters(spark):
+    pack = "# Pack\n\n#### RULE-01: {0}\n\n##### Directive\n\n{0}\n\n##### BAD → GOOD\n\n- BAD: one\n- GOOD: two\n"
+    texts = ["", "Do.", "x\ufdd0\ufdd1 0\ufdd10"]
+    rows = spark.createDataFrame([(k, pack.format(t)) for k, t in enumerate(texts)] + [(9, pack.format("x\ufdd0").replace("- GOOD", "- OTHER"))], "file int, text string")
+    got = {r.file: (r.compact, r.errors) for r in rulepack.compact(rows).collect()}
+    assert {k: got[k] for k in range(3)} == {k: (pack.format(t), []) for k, t in enumerate(texts)}
+    assert got[9][1] == ["#### RULE-01: x\ufdd0: no pair"]
+    assert [r.title for r in rulepack.headings(rows.where("file = 2")).orderBy("line").collect()][1] == f"RULE-01: {texts[2]}"
+
+
 def test_bytes_that_are_no_utf8_are_an_error(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"")
     (tmp_path / "b.md").write_bytes("ü\r\n".encode())
