@@ -50,3 +50,12 @@ def test_a_matrix_reads_its_rules_once(counts):
     given, seen = watched(rules)
     found = sc.matrix(given).collect()
     assert seen.value == rules.count() == 4 and found and {*found} == {*sc.matrix(rules, ["aa", "b"]).collect()}
+
+
+def test_task_rows_read_counts_once(counts):
+    given, seen = watched(counts)
+    found = {(r.runner, r.task): (r.baseline, r.treatment, r.delta, r.dominant) for r in sc.task_rows(given).collect()}
+    assert seen.value == 32 and len(found) == 4
+    parts = sc.dominant_rules(counts).collect()
+    assert {(r.runner, r.task): r.dominant for r in parts} == {k: v[3] for k, v in found.items()}
+    assert sum(v[0] + v[1] for v in found.values()) == counts.agg(F.sum("n")).first()[0] and all(v[2] == v[1] - v[0] for v in found.values())
