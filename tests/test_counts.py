@@ -59,3 +59,9 @@ def test_task_rows_read_counts_once(counts):
     parts = sc.dominant_rules(counts).collect()
     assert {(r.runner, r.task): r.dominant for r in parts} == {k: v[3] for k, v in found.items()}
     assert sum(v[0] + v[1] for v in found.values()) == counts.agg(F.sum("n")).first()[0] and all(v[2] == v[1] - v[0] for v in found.values())
+
+
+def test_matrix_lines_read_counts_once(counts):
+    given, seen = watched(counts)
+    lines = benchmark.matrix_lines(given)
+    assert {*lines.collect()} == {*benchmark.matrix_lines(counts, ["aa", "b"]).collect()} and seen.value == 32
