@@ -65,3 +65,9 @@ def test_matrix_lines_read_counts_once(counts):
     given, seen = watched(counts)
     lines = benchmark.matrix_lines(given)
     assert {*lines.collect()} == {*benchmark.matrix_lines(counts, ["aa", "b"]).collect()} and seen.value == 32
+
+
+def test_a_rendered_matrix_reads_counts_once(counts):
+    given, seen = watched(counts)
+    text = benchmark.render_matrix(given, None, "1.0").first().text
+    assert text == benchmark.render_matrix(counts, ["aa", "b"], "1.0").first().text and seen.value == 32
