@@ -71,3 +71,9 @@ def test_a_rendered_matrix_reads_counts_once(counts):
     given, seen = watched(counts)
     text = benchmark.render_matrix(given, None, "1.0").first().text
     assert text == benchmark.render_matrix(counts, ["aa", "b"], "1.0").first().text and seen.value == 32
+
+
+def test_scorecards_read_counts_once(counts):
+    given, seen = watched(counts)
+    cards = benchmark.render_scorecards(given, "1.0", 2)
+    assert benchmark.scan_scorecards(cards).count() == 4 and seen.value == 32
